@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secret_scan, token_files
+from . import bpe, flac, quality_rules, secret_scan, simhash, token_files
 from .common import table
 
 #: The id that closes a document in token files.
@@ -23,6 +23,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.to_flac(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_OF_DOCUMENT)
 
@@ -34,6 +42,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_secret_scan": op4_secret_scan,
+    "op5_flac": op5_flac,
+    "op6_simhash": op6_simhash,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
