@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, mixing, perplexity, quality_rules, secret_scan, simhash, token_files, url_filter
+from . import bpe, flac, mixing, perplexity, quality_rules, secret_scan, simhash, suffix_dedup, token_files, url_filter
 from .common import table
 
 #: The id that closes a document in token files.
@@ -43,6 +43,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_OF_DOCUMENT)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_flac": op5_flac,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
