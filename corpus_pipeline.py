@@ -1,15 +1,64 @@
-"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, BPE."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, mixing, BPE.
+
+Every stage takes ``(spark, docs, sf_dir)``. The first four return the columns of
+``documents``; the last returns the encoded documents' digests. No stage collects
+rows; what they keep between jobs is written to the shared folder.
+
+Defined cases follow the operators: null and empty texts are rejected by the first
+stage; documents without an id are never dropped as copies; extra columns are carried.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from meterlake.llm import bpe, mixing, quality_rules, secret_scan, simhash
+from meterlake.llm.common import shared_dir
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; failing lines of the others go."""
+    return quality_rules.clean_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays (five-word shingles, similarity 0.8)."""
+    return simhash.one_of_each(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secret_scan.redact_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say; clean ones at least once."""
+    return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and digests of every document drawn."""
+    return bpe.bpe_digests(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secrets),
+    ("mixing", mixture),
+    ("bpe", encode),
+]
+
+#: Hashing and encoding have no SQL form; tests hold the rows against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = shared_dir(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -76,7 +76,7 @@ def map_rows(
     """
     small_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    arrow = to_arrow_schema(struct)
+    arrow = to_arrow_schema(struct, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,4 +86,23 @@ def map_rows(
                 out = fn(*(x[a:b] for x in lists))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.select(*(F.col(c) for c in columns)).mapInArrow(run, struct)
+    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, struct)
+
+
+def rewrite_texts(docs: DataFrame, fn: Callable[[str | None], str | None], keep: Callable[[str | None], bool] | None = None, *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The same columns with ``fn`` applied to the text, its size updated where there is
+    such a column; rows whose new text ``keep`` refuses go. ``fn`` may return None for a null text."""
+    others = [c for c in docs.columns if c != text_col]
+    sized = size_col in others
+
+    def run(*lists: list) -> dict[str, list]:
+        cols, new = dict(zip([*others, text_col], lists)), [fn(t) for t in lists[-1]]
+        at = [i for i, t in enumerate(new) if keep is None or keep(t)]
+        out = {c: [x[i] for i in at] for c, x in cols.items()}
+        out[text_col] = [new[i] for i in at]
+        if sized:
+            out[size_col] = [n if t is None else len(t) for n, t in zip(out[size_col], out[text_col])]
+        return out
+
+    schema = T.StructType([docs.schema[c] for c in [*others, text_col]])
+    return map_rows(docs, [*others, text_col], run, schema).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, rewrite_texts
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
@@ -147,3 +147,13 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), *, id_col: str = "doc
         return out
 
     return map_rows(docs, [id_col, text_col], run, schema)
+
+
+def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The kept documents with the same columns, their failing lines removed."""
+
+    def cleaned(text: str | None) -> str | None:
+        row = judge(text, rules)
+        return row[9] if row[6] else None
+
+    return rewrite_texts(docs, cleaned, lambda text: text is not None)

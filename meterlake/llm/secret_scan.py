@@ -16,9 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, rewrite_texts
 
 # The base patterns.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -179,8 +178,7 @@ def redact(text: str | None, model: MarkovPair, mark: str = "[SECRET]") -> str |
     return "".join(out) + text[at:] if out else text
 
 
-def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, *, text_col: str = "text") -> DataFrame:
+def redact_secrets(docs: DataFrame, model: MarkovPair | None = None) -> DataFrame:
     """The same rows and columns, secrets replaced by a mark."""
     model = model or train(labelled_samples())
-    scrub = F.pandas_udf(lambda texts: texts.map(lambda t: redact(t, model), na_action="ignore"), "string")
-    return docs.withColumn(text_col, scrub(F.col(text_col)))
+    return rewrite_texts(docs, lambda text: redact(text, model))

@@ -246,3 +246,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, *, id_col: str = "doc_i
     ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
     found = stored(of.join(ids, "component").select("node", "component_id"), "found")
     return prints.withColumn("node", hex_of(lanes)).join(found, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """The documents with the least id of their group; rows without an id all stay."""
+    found = near_duplicates(docs, plan)
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
