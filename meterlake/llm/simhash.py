@@ -123,7 +123,7 @@ def anchors(plan: Plan) -> Column:
     flip = lambda i: f"if({i} = 0, 0L, shiftleft(1L, {i} - 1))"
     blocks = []
     for number, offset in enumerate(plan.offsets):
-        value = f"(shiftrightunsigned(f{offset // 64}, {offset % 64}) & {n}L)"
+        value = f"(shiftrightunsigned(f{offset // 64}, {offset % 64}) & {(1 << n) - 1}L)"
         parity = []
         for j in range(plan.r):
             mask = sum(1 << (i - 1) for i in range(1, n + 1) if i >> j & 1)
