@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name as it is, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches, so that long texts do not meet in one of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -86,7 +91,7 @@ def map_rows(
                 out = fn(*(x[a:b] for x in lists))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, struct)
+    return df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, struct)
 
 
 def rewrite_texts(docs: DataFrame, fn: Callable[[str | None], str | None], keep: Callable[[str | None], bool] | None = None, *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
@@ -105,4 +110,4 @@ def rewrite_texts(docs: DataFrame, fn: Callable[[str | None], str | None], keep:
         return out
 
     schema = T.StructType([docs.schema[c] for c in [*others, text_col]])
-    return map_rows(docs, [*others, text_col], run, schema).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return map_rows(docs, [*others, text_col], run, schema).select(*map(quoted, docs.columns))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, quoted, stored
 
 #: Domains by label: toxic, else low quality, else clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -219,4 +219,5 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: Targets = Targe
 
     count = F.pandas_udf(copies, "int")(F.col("text"), F.xxhash64("doc_id", F.lit("draw")))
     drawn = docs.withColumn("__copies", count).filter("__copies > 0")
-    return drawn.select(*docs.columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).select(*docs.columns)
+    columns = [quoted(c) for c in docs.columns]
+    return drawn.select(*columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).select(*columns)

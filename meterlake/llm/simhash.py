@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, quoted, stored
 from .components import components
 
 #: Rows of one anchor that one task group compares.
@@ -252,4 +252,4 @@ def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """The documents with the least id of their group; rows without an id all stay."""
     found = near_duplicates(docs, plan)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
