@@ -66,24 +66,25 @@ def shape(raw: bytes, words: list[bytes]) -> list[bytes]:
     return [w for w, holds in found.items() if holds]
 
 
-_buckets: dict[bytes, int] = {}
+class Buckets(dict):
+    """Feature of a word, without closing marks; remembered by a worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[word] = zlib.crc32(word.strip(b".,;:\"'()")) % BUCKETS
+        return found
+
+
+_buckets = Buckets()
 
 
 def buckets(text: str | None) -> np.ndarray:
-    """Feature of each word of a text, lower-cased (A-Z), without closing marks."""
+    """Features of a text: of each distinct word, lower-cased (A-Z), and of its make-up."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.lower().split()
-    words += shape(raw, words)
-    if len(_buckets) > REMEMBERED:
-        _buckets.clear()
-    known = _buckets.get
-    out = np.empty(len(words), np.int64)
-    for i, w in enumerate(words):
-        b = known(w)
-        if b is None:
-            b = _buckets[w] = zlib.crc32(w.strip(b".,;:\"'()")) % BUCKETS
-        out[i] = b
-    return out
+    found = {*words, *shape(raw, words)}
+    return np.unique(np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found)))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -97,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     def run(domains: list, texts: list) -> dict[str, list]:
         held = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
         for d, t in zip(domains, texts):
-            held[d, np.unique(buckets(t))] += 1
+            held[d, buckets(t)] += 1
             held[d, BUCKETS] += 1
         at = np.nonzero(held)
         return {"domain": at[0], "bucket": at[1], "n": held[at]}
@@ -122,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 def posterior(text: str | None, model: np.ndarray) -> tuple[int, np.ndarray]:
     """Words of a text, and its domains' probabilities."""
     found = buckets(text)
-    score = model[:, BUCKETS] + model[:, np.unique(found)].sum(1)
+    score = model[:, BUCKETS] + model[:, found].sum(1)
     e = np.exp(score - score.max())
     return len((text or "").split()), e / e.sum()
 
