@@ -72,12 +72,13 @@ def map_rows(
     columns: list[str],
     fn: Callable[..., dict[str, list]],
     schema: str | T.StructType,
+    most: int = BATCH_BYTES,
 ) -> DataFrame:
     """``fn(*columns as lists) -> {output column: list}`` over bounded Arrow batches.
 
     Only ``columns`` are read, so extra columns, whatever their names, neither
     clash nor cost anything. The last of ``columns`` is the one whose bytes
-    bound a batch.
+    bound a batch (``most``).
     """
     small_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -87,7 +88,7 @@ def map_rows(
         for batch in batches:
             lists = [c.to_pylist() for c in batch.columns]
             sizes = [len(x) if x is not None else 0 for x in lists[-1]]
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, most):
                 out = fn(*(x[a:b] for x in lists))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 

@@ -26,6 +26,8 @@ FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 #: Precision and shift of the encoder's own predictor coefficients.
 LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 2, 8, 6
 RATE = 8000
+#: Bytes that are encoded or decoded side by side; their arrays take some fifty times as much.
+AT_ONCE = 3 << 19
 
 
 def crc_table(poly: int, bits: int) -> np.ndarray:
@@ -456,7 +458,7 @@ def to_flac(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         payloads = [payload_of(t) for t in texts]
         return {"doc_id": ids, "n_bytes": [n for n, _ in payloads], "media": encode([p for _, p in payloads])}
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id bigint, n_bytes bigint, media binary")
+    return map_rows(docs, [id_col, text_col], run, "doc_id bigint, n_bytes bigint, media binary", AT_ONCE)
 
 
 def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -476,7 +478,7 @@ def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", m
         return out
 
     schema = "doc_id bigint, block bigint, first_sample bigint, n_samples bigint, pcm binary"
-    return map_rows(media, [id_col, media_col], run, schema)
+    return map_rows(media, [id_col, media_col], run, schema, AT_ONCE)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -506,4 +508,4 @@ def media_features(media: DataFrame) -> DataFrame:
         "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
         "media_bytes bigint, media_sha256 string, feature string"
     )
-    return map_rows(media, ["doc_id", "n_bytes", "media"], run, schema)
+    return map_rows(media, ["doc_id", "n_bytes", "media"], run, schema, AT_ONCE)
