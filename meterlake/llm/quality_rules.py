@@ -157,3 +157,39 @@ def clean_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return row[9] if row[6] else None
 
     return rewrite_texts(docs, cleaned, lambda text: text is not None)
+
+
+#: The same in DuckDB, with the default rules and without the cleaned text.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+), g AS (
+  SELECT doc_id, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS k FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), twice AS (
+  SELECT doc_id, i FROM g WHERE k IS NOT NULL QUALIFY COUNT(*) OVER (PARTITION BY doc_id, k) > 1
+), r AS (
+  SELECT doc_id, COUNT(DISTINCT i + s) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS s) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), m AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+         length(line) - length(regexp_replace(line, '[#*$%&|<>{}~^\\!]', '', 'g')) AS marks, lower(line) AS low FROM l
+), f AS (
+  SELECT doc_id, line, len(w) AS n,
+         (len(w) <= 3 AND NOT regexp_matches(line, '[.!?…:;,"'')\]”’»。！？]\s*$')) OR 100 * marks > 10 * chars
+         OR 100 * len(list_filter(w, lambda x: x IN ('|', '>', '>>', '»', '›', '•', '·', '::', '/'))) >= 20 * len(w) OR (PHRASES) AS fails
+  FROM m WHERE len(w) > 0
+), a AS (
+  SELECT doc_id, COUNT(*) - COUNT(DISTINCT line) AS dups, CAST(SUM(CASE WHEN fails THEN 1 ELSE 0 END) AS BIGINT) AS gone, CAST(SUM(CASE WHEN fails THEN n ELSE 0 END) AS BIGINT) AS words_gone FROM f GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, COALESCE(dups, 0) AS n_dup_lines, COALESCE(r.n, 0) AS n_repeat_words,
+         COALESCE(gone, 0) AS n_lines_removed, COALESCE(words_gone, 0) AS n_words_removed
+  FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_removed <= 30 * n_words AS kept, n_lines_removed, n_words_removed
+FROM c
+""".replace("PHRASES", " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE))

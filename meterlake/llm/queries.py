@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
