@@ -1,8 +1,7 @@
 """Suffix sorting by external induction, with capped common-prefix values.
 
-Suffixes are sorted from the seeds (positions where a rising stretch begins): the
-order of the seeds comes from names of ever longer pieces, each level naming pairs of
-the level below; then falling (L) suffixes are induced from left to right and rising
+Suffixes are sorted from the seeds (positions where a rising stretch begins): seeds are
+ordered by their next symbols, and recursively those that a level leaves equal; then falling (L) suffixes are induced from left to right and rising
 (S) ones from right to left. Both passes draw tuples (position, common prefix with the
 tuple before) from a monotone priority queue keyed by first symbol: induced tuples
 never go back, so the queue keeps one run a symbol, in memory up to a budget and
@@ -95,28 +94,37 @@ def rising(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
-    """Seeds in the order of their suffixes' first ``depth`` symbols.
-
-    Names cover 4 symbols first; a level names the pair of a piece and the one that
-    follows it, so that each level doubles the length, until names are unique or deep enough."""
-    n = len(text)
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(4 + depth * 2, np.uint64)])
-    name = np.zeros(len(padded) - 3, np.uint64)
-    for k in range(4):
-        name = (name << np.uint64(16)) | padded[k : len(padded) - 3 + k]
-    length = 4
-    rank = name
-    while True:
-        key = rank[seeds]
-        if length >= depth or len(np.unique(key)) == len(key):
-            return seeds[np.argsort(key, kind="stable")]
-        _, dense = np.unique(rank, return_inverse=True)
-        dense = dense.astype(np.uint64)
-        after = np.zeros(len(dense), np.uint64)
-        after[: len(dense) - length] = dense[length:]
-        rank = dense << np.uint64(32) | after
-        length *= 2
+def sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds in the order of their suffixes' first ``depth`` symbols, and their common prefixes.
+
+    A level orders the seeds that the levels before left equal by their next 7 symbols
+    (9 bits each), recursively, until all differ or the depth is reached."""
+    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth + 8, np.uint64)])
+    n = len(padded) - 6
+    symbols = padded[:n].copy()
+    for k in range(1, 7):
+        symbols <<= np.uint64(9)
+        symbols |= padded[k : n + k]
+    del padded
+    order = seeds.copy()
+    prefix = np.full(len(order), depth, np.int64)
+    prefix[:1] = 0
+    live, group, done = np.arange(len(order)), np.zeros(len(order), np.int64), 0
+    while len(live) and done < depth:
+        key = symbols[order[live] + done]
+        by = np.lexsort((key, group)) if done else np.argsort(key, kind="stable")
+        order[live], key = order[live][by], key[by]
+        apart = group[1:] != group[:-1]
+        split = ~apart & (key[1:] != key[:-1])
+        at = np.flatnonzero(split) + 1
+        differ = key[at] ^ key[at - 1]
+        same = sum((differ >> np.uint64(9 * (6 - k))) == 0 for k in range(7))
+        prefix[live[at]] = np.minimum(done + same, depth)
+        group = np.concatenate([[0], np.cumsum(apart | split)])
+        tied = np.append(group[1:] == group[:-1], False)
+        tied[1:] |= tied[:-1]
+        live, group, done = live[tied], group[tied], done + 7
+    return order, prefix
 
 
 def least_between(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,9 +230,8 @@ def suffix_order(text: np.ndarray, depth: int, symbols: int = 257, in_memory: in
     kind = np.uint8 if depth < 256 else np.int32
     types = rising(text)
     seeds = np.flatnonzero(types[1:] & ~types[:-1]) + 1
-    order = sorted_seeds(text, seeds, depth) if len(seeds) else np.array([n - 1])
-    prefix = np.zeros(len(order), kind)
-    prefix[1:] = common_prefix(text, order[:-1], order[1:], depth)
+    order, prefix = sorted_seeds(text, seeds, depth) if len(seeds) else (np.array([n - 1]), np.zeros(1, np.int64))
+    prefix = prefix.astype(kind)
     falling = induce(text, by_symbol(text, order, prefix, symbols), types, False, depth, symbols, in_memory)
     # the second pass reads backwards: a tuple's value is then with its neighbour above
     turned = [None if x is None else (x[0][::-1].copy(), np.append(x[1][1:], x[1][:1])[::-1].copy()) for x in falling]

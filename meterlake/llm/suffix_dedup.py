@@ -2,20 +2,19 @@
 
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (in a
 smaller document, or earlier in the same one). Strings are sampled by minimizers: each
-window of that length names the place of its least hashed 24-byte piece, so that equal
-windows name equal pieces. Runs of windows with one place are a stretch; a stretch
-whose piece is found only once in the corpus holds no repeat and needs no sorting.
+window of that length names its least hashed 48-byte piece, so that equal windows name
+equal pieces. A run of windows with one piece is a stretch; a stretch whose piece names
+no other and stands in it only once holds no repeat and needs no sorting.
 
-The others are dealt by piece. A piece's distinct stretches (with the least place of
-each; equal ones are combined before they are shuffled) are joined into one text for
-each task, whose suffixes :mod:`induced` sorts with their common prefixes; windows with
-a common prefix of the full length form a class, and the class's least place stays.
-A stretch then knows which windows are repeats for every one of its occurrences, and
-all windows of all but its least occurrence are. A last join brings that back to the
-occurrences; a hot stretch is one row on one side there, so its occurrences can be split.
+The others are dealt by piece. Of equal stretches all but the least are repeats whole;
+equal ones of a batch are told before the exchange, so that a hot stretch is one row a
+batch in it. What may still repeat another is the least of each of a piece's distinct
+stretches: these are fetched, joined into one text for each task, and :mod:`induced`
+sorts its suffixes with their common prefixes; windows with a common prefix of the full
+length form a class, and the class's least place stays.
 
-A filter of fixed size (a bit for each repeated piece's hash) keeps unrepeated pieces
-out of the exchange; its false hits are only sorted in vain.
+Filters of fixed size (a bit for each repeated piece's hash, and for each stretch to be
+fetched) keep the rest out of the exchanges; their false hits only cost time.
 
 Defined cases: a null or empty text has no bytes; texts shorter than the length stay
 whole; rows with equal ids and equal texts count as one document, those with equal
@@ -35,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, slices, stored
 from .induced import suffix_order
 
 LENGTH = 100
-PIECE = 24
+PIECE = 48
 #: Bits of the filter of repeated pieces, as a power of two (16 MB).
 FILTER = 27
 #: Bytes of stretches that one suffix sort takes at once, at a piece's end.
@@ -54,116 +53,211 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").ravel()
     h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for k in (8, 16):
+    for k in range(8, PIECE, 8):
         h = (h ^ (h >> np.uint64(29)) ^ word[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def stretches(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: pieces' hashes, first windows and numbers of windows of its stretches.
-
-    Each window takes the leftmost of its least hashes."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = piece_hashes(data)
-    span = length - PIECE + 1
-    # least of 2**k neighbours, doubling; then two such cover the span
+def windows_least(h: np.ndarray, span: int) -> np.ndarray:
+    """The least of ``span`` neighbours from each place on: of 2**k by doubling, then of two such."""
     least, reach = h, 1
     while 2 * reach <= span:
         least = np.minimum(least[: len(least) - reach], least[reach:])
         reach *= 2
-    best = np.minimum(least[:n], least[span - reach : span - reach + n])
-    change = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
-    first, count = change, np.diff(np.append(change, n))
-    # a run of one least hash may still hold several places of equal pieces
-    hash_, out = best[change], ([], [], [])
-    long = count > 0
-    place = place_of(h, first, hash_, span)
-    last = place_of(h, first + count - 1, hash_, span)
-    tie = place != last
-    for i in np.flatnonzero(tie).tolist():
-        long[i] = False
-        a, b = int(first[i]), int(first[i] + count[i])
-        spots = a + np.flatnonzero(h[a : b - 1 + span] == hash_[i])
-        at = spots[np.searchsorted(spots, np.arange(a, b))]
-        cut = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out[0].append(np.full(len(cut), hash_[i]))
-        out[1].append(a + cut)
-        out[2].append(np.diff(np.append(cut, b - a)))
-    if out[0]:
-        hash_, first, count = (np.concatenate([x[long], *y]) for x, y in zip((hash_, first, count), out))
-    return hash_, first, count
-
-
-def place_of(h: np.ndarray, window: np.ndarray, value: np.ndarray, span: int) -> np.ndarray:
-    """The leftmost place of the value in each window."""
-    out = np.full(len(window), -1, np.int64)
-    live = np.arange(len(window))
-    for k in range(span):
-        hit = h[window[live] + k] == value[live]
-        out[live[hit]] = window[live[hit]] + k
-        live = live[~hit]
-        if not len(live):
-            break
-    return out
+    n = len(h) - span + 1
+    return np.minimum(least[:n], least[span - reach : span - reach + n])
+
+
+def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of a batch of texts: each stretch's text, piece hash, first window, number of windows,
+    and whether its piece stands in it more than once (then it may repeat itself).
+
+    A stretch is a run of windows of one text with the same least hash."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    span, n = length - PIECE + 1, len(data) - length + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none, none.astype(bool)
+    h = piece_hashes(data)
+    best = windows_least(h, span)
+    # a window may not leave its text
+    ends = np.cumsum(sizes)
+    inside = np.ones(n + length, bool)
+    for k in range(1, length):
+        inside[np.minimum(np.maximum(ends - k, 0), n)] = False
+    small = sizes < length
+    for e, size in zip(ends[small].tolist(), sizes[small].tolist()):
+        inside[max(0, e - size) : min(e, n)] = False
+    inside = inside[:n]
+    begins = inside.copy()
+    begins[1:] &= (best[1:] != best[:-1]) | ~inside[:-1]
+    first = np.flatnonzero(begins)
+    stops = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True))
+    key = best[first]
+    every = np.lib.stride_tricks.sliding_window_view(h, span)
+    place = np.empty(len(first), np.int64)
+    last = np.empty(len(first), np.int64)
+    for a in range(0, len(first), 8192):
+        cut = slice(a, a + 8192)
+        place[cut] = first[cut] + (every[first[cut]] == key[cut, None]).argmax(1)
+        last[cut] = stops[cut] + span - 1 - (every[stops[cut]] == key[cut, None])[:, ::-1].argmax(1)
+    text = np.searchsorted(ends, first, "right")
+    return text, key, first - (ends - sizes)[text], stops - first + 1, place != last
 
 
 def raw_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def parts_of(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, about a megabyte at a time, with the place of the first."""
+    raw = [raw_of(t) for t in texts]
+    for a, b in slices([len(r) for r in raw], most):
+        yield a, raw[a:b]
+
+
 def order_key(i: int | None) -> int:
     return LAST if i is None else i
 
 
+def filter_words(keys: DataFrame) -> np.ndarray:
+    """A bit for each ``key``, from its upper bits: 2**FILTER bits at most reach the driver."""
+    place = F.shiftrightunsigned("key", 64 - FILTER)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER}) & 63 as int))")
+    bits = keys.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (FILTER - 6), np.uint64)
+    if bits.num_rows:
+        words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def holds(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key >> np.uint64(64 - FILTER)
+    return words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
+
+
 def repeated_pieces(docs: DataFrame) -> DataFrame:
-    """The filter's words: ``word``, ``bits``, of pieces that name two stretches or more."""
+    """Hashes (``key``) of pieces that name two stretches or stand twice in one."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        found = [stretches(np.frombuffer(raw_of(t), np.uint8))[0] for t in texts]
+        found = []
+        for _, part in parts_of(texts):
+            _, key, _, _, multi = stretches(part)
+            found += [key, key[multi]]  # a piece twice in its stretch counts as two
         keys, n = np.unique(np.concatenate(found), return_counts=True)
         return {"key": keys.view(np.int64), "n": n}
 
-    counts = map_rows(docs, ["doc_id", "text"], run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = F.shiftrightunsigned("key", 64 - FILTER)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER}) & 63 as int))")
-    return counts.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    counts = map_rows(docs, ["doc_id", "text"], run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.filter("n > 1").select("key")
+
+
+def place_hash(key: list[int], mark: list[int], doc: list[int], at: list[int]) -> np.ndarray:
+    """One hash of a stretch and its place."""
+    h = np.array(key, np.int64).view(np.uint64)
+    for x in (mark, doc, at):
+        h = (h ^ np.array(x, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
 
+PLACE = "key bigint, mark bigint, doc bigint, sub bigint, at bigint, n int, multi boolean"
 
-def sampled(docs: DataFrame, held, contents: bool) -> DataFrame:
-    """Stretches that pass the filter: by content, combined within a batch, with their
-    bytes and least occurrence; or every occurrence, without the bytes."""
+
+def found_in(part: list[bytes], ids: list, words: np.ndarray) -> tuple[list, ...]:
+    """Columns key, mark, doc, sub, at, n, multi of the stretches that pass the filter, and their bytes."""
+    text, key, first, count, multi = stretches(part)
+    hit = holds(words, key)
+    text, key, first, count, multi = (x[hit].tolist() for x in (text, key.view(np.int64), first, count, multi))
+    doc, sub = [order_key(i) for i in ids], [zlib.crc32(r) for r in part]
+    pieces = [part[t][a : a + n + LENGTH - 1] for t, a, n in zip(text, first, count)]
+    digest = xxhash.xxh3_64_intdigest
+    return key, [digest(p, 7) - (1 << 63) for p in pieces], [doc[t] for t in text], [sub[t] for t in text], first, count, multi, pieces
+
+
+def occurrences(docs: DataFrame, held) -> DataFrame:
+    """Every stretch that passes the filter; ``whole`` where the batch has an equal one
+    with a smaller place, so that it is a repeat without further ado."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        words = held.value
-        out: dict[str, list] = {c: [] for c in (("key", "mark", "doc", "sub", "at", "n", "bytes") if contents else ("key", "mark", "doc", "sub", "at", "n"))}
+        cols: list[list] = [[] for _ in range(7)]
+        for start, part in parts_of(texts):
+            for col, x in zip(cols, found_in(part, ids[start : start + len(part)], held.value)):
+                col += x
         least: dict[tuple[int, int], tuple] = {}
-        for i, t in zip(ids, texts):
-            raw = raw_of(t)
-            key, first, count = stretches(np.frombuffer(raw, np.uint8))
-            spot = key >> np.uint64(64 - FILTER)
-            hit = np.flatnonzero(words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1))
-            if not len(hit):
+        for k, m, *place in zip(*cols[:5]):
+            if (old := least.get((k, m))) is None or place < old:
+                least[k, m] = place
+        whole = [least[k, m] != place for k, m, *place in zip(*cols[:5])]
+        return dict(zip(["key", "mark", "doc", "sub", "at", "n", "multi"], cols)) | {"whole": whole}
+
+    return map_rows(docs, ["doc_id", "text"], run, PLACE + ", whole boolean")
+
+
+def sorted_out(rows: DataFrame) -> DataFrame:
+    """All occurrences with ``state``: 0 a repeat whole, 1 the least of its kind with nothing
+    else of its piece, 2 the least of its kind to be sorted against others."""
+    dealt = F.when(F.col("whole"), F.xxhash64("doc", "at")).otherwise(F.col("key"))
+    parts = rows.withColumn("to", dealt).repartition("to").drop("to").sortWithinPartitions("whole", "key", "mark", "doc", "sub", "at")
+    names = ["key", "mark", "doc", "sub", "at", "n", "multi"]
+    arrow = pa.schema([(c, pa.bool_() if c == "multi" else pa.int32() if c == "n" else pa.int64()) for c in names] + [("state", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last piece's least stretches, until the next piece begins
+        last: tuple | None = None
+        for batch in batches:
+            cols = dict(zip([*names, "whole"], batch.columns))
+            key, mark, whole = (c.to_numpy(zero_copy_only=False) for c in (cols["key"], cols["mark"], cols["whole"]))
+            same = np.zeros(len(key), bool)
+            same[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1]) & ~whole[:-1]
+            if last is not None and len(key):
+                same[0] = (int(key[0]), int(mark[0])) == last
+            repeat = whole | same
+            rest = pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+            yield stated(rest.filter(pa.array(repeat)), 0)
+            mine = rest.filter(pa.array(~repeat))
+            if len(key) and not whole[-1]:
+                last = (int(key[-1]), int(mark[-1]))
+            held.append(mine)
+            table = pa.Table.from_batches(held).combine_chunks()
+            if not table.num_rows:
                 continue
-            doc, sub = order_key(i), zlib.crc32(raw)
-            for k, a, n in zip(key[hit].view(np.int64).tolist(), first[hit].tolist(), count[hit].tolist()):
-                piece = raw[a : a + n + LENGTH - 1]
-                mark = xxhash.xxh3_64_intdigest(piece, 7) - (1 << 63)
-                if contents:
-                    if (k, mark) not in least or (doc, sub, a) < least[k, mark][:3]:
-                        least[k, mark] = (doc, sub, a, n, piece)
-                else:
-                    for c, v in zip(out, (k, mark, doc, sub, a, n)):
-                        out[c].append(v)
-        if contents:
-            for (k, mark), row in least.items():
-                for c, v in zip(out, (k, mark, *row)):
-                    out[c].append(v)
-        return out
-
-    schema = "key bigint, mark bigint, doc bigint, sub bigint, at bigint, n int" + ", bytes binary" * contents
-    return map_rows(docs, ["doc_id", "text"], run, schema)
+            keys = table["key"].to_numpy()
+            cut = int(np.searchsorted(np.cumsum(keys[::-1] != keys[-1]), 1))  # rows of the last piece
+            ready = table.slice(0, table.num_rows - cut)
+            yield from judged_rows(ready)
+            held = table.slice(table.num_rows - cut).to_batches()
+        if held:
+            yield from judged_rows(pa.Table.from_batches(held).combine_chunks())
+
+    def stated(batch: pa.RecordBatch, state: int | np.ndarray) -> pa.RecordBatch:
+        column = pa.array(np.full(batch.num_rows, state, np.int32) if isinstance(state, int) else state.astype(np.int32))
+        return pa.RecordBatch.from_arrays([*batch.columns, column], schema=arrow)
+
+    def judged_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if table.num_rows:
+            keys = table["key"].to_numpy()
+            equal = keys[1:] == keys[:-1]
+            several = np.append(False, equal) | np.append(equal, False) | table["multi"].to_numpy(zero_copy_only=False)
+            yield stated(table.to_batches()[0], 1 + several)
+
+    return parts.mapInArrow(run, PLACE + ", state int")
+
+
+def fetched(docs: DataFrame, held, wanted) -> DataFrame:
+    """The stretches whose places the second filter knows, with their bytes."""
+
+    def run(ids: list, texts: list) -> dict[str, list]:
+        names = ["key", "mark", "doc", "sub", "at", "n", "multi", "bytes"]
+        cols: list[list] = [[] for _ in names]
+        for start, part in parts_of(texts):
+            found = found_in(part, ids[start : start + len(part)], held.value)
+            hit = np.flatnonzero(holds(wanted.value, place_hash(found[0], found[1], found[2], found[4]))).tolist()
+            for col, x in zip(cols, found):
+                col += [x[i] for i in hit]
+        return dict(zip(names, cols))
+
+    return map_rows(docs, ["doc_id", "text"], run, PLACE + ", bytes binary")
 
 
 def repeats(batch: list[tuple]) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -204,74 +298,67 @@ def repeats(batch: list[tuple]) -> list[tuple[int, list[tuple[int, int]]]]:
     return out
 
 
-def judged(contents: DataFrame) -> DataFrame:
-    """For each distinct stretch its least occurrence, and the windows that are repeats
-    even there (``from`` and ``len`` of runs)."""
-    parts = contents.repartition("key").sortWithinPartitions("key", "mark", "doc", "sub", "at")
-    arrow = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("at", pa.int64()), ("froms", pa.list_(pa.int32())), ("lens", pa.list_(pa.int32()))])
+def sorted_stretches(rows: DataFrame) -> DataFrame:
+    """Byte ranges (``doc``, ``sub``, ``from``, ``end``) that repeat a smaller place's, among least stretches."""
+    parts = rows.repartition("key").sortWithinPartitions("key", "mark", "doc", "sub", "at")
+    arrow = pa.schema([(c, pa.int64()) for c in ("doc", "sub", "from", "end")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text: list[tuple] = []  # stretches of pieces that have several
+        text: list[tuple] = []  # stretches of whole pieces
         piece: list[tuple] = []
-        size = 0
+        size, last = 0, None
 
-        def rows(stretch: list[tuple], found: list) -> pa.RecordBatch:
-            gone = dict(found)
+        def spans() -> pa.RecordBatch:
             cols: list[list] = [[] for _ in arrow]
-            for i, (key, place, _, _, mark) in enumerate(stretch):
-                runs = gone.get(i, [])
-                for c, v in zip(cols, (key, mark, *place, [a for a, _ in runs], [n for _, n in runs])):
-                    c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
-
-        alone: list[tuple] = []
-        last = None
+            for i, runs in repeats(text):
+                doc, sub, at = text[i][1]
+                for a, n in runs:
+                    for c, v in zip(cols, (doc, sub, at + a, at + a + n + LENGTH - 1)):
+                        c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=arrow)
+
         for batch in batches:
-            for key, mark, doc, sub, at, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, mark, doc, sub, at, n, multi, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if last == (key, mark):
-                    continue  # the same stretch from another batch; the least came first
+                    continue  # a false hit of the filter; the least place came first
                 if piece and piece[0][0] != key:
-                    if len(piece) == 1:
-                        alone += piece
-                    else:
+                    if len(piece) > 1 or piece[0][4]:
                         text += piece
                         size += sum(len(x[3]) for x in piece)
                     piece = []
-                    if len(alone) >= 20_000:
-                        yield rows(alone, [])
-                        alone = []
                     if size >= TEXT:
-                        yield rows(text, repeats(text))
+                        yield spans()
                         text, size = [], 0
                 last = (key, mark)
-                piece.append((key, (doc, sub, at), n, raw, mark))
-        (alone if len(piece) == 1 else text).extend(piece)
-        if alone:
-            yield rows(alone, [])
+                piece.append((key, (doc, sub, at), n, raw, multi))
+        if len(piece) > 1 or piece and piece[0][4]:
+            text += piece
         if text:
-            yield rows(text, repeats(text))
+            yield spans()
 
-    return parts.mapInArrow(run, "key bigint, mark bigint, doc bigint, sub bigint, `at` bigint, froms array<int>, lens array<int>")
+    return parts.mapInArrow(run, "doc bigint, sub bigint, `from` bigint, `end` bigint")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``doc``, ``sub``, ``froms``, ``ends``: byte ranges to remove, a row a document that has any (unsorted, may overlap)."""
-    spark = docs.sparkSession
-    bits = repeated_pieces(docs).toArrow()  # at most 2**FILTER bits
-    words = np.zeros(1 << (FILTER - 6), np.uint64)
-    if bits.num_rows:
-        words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    held = spark.sparkContext.broadcast(words)
-    verdicts = stored(judged(sampled(docs, held, True)), "verdicts")
-    verdicts = verdicts.withColumnsRenamed({"doc": "doc0", "sub": "sub0", "at": "at0"})
-    met = sampled(docs, held, False).join(verdicts, ["key", "mark"])
-    least = (F.col("doc") == F.col("doc0")) & (F.col("sub") == F.col("sub0")) & (F.col("at") == F.col("at0"))
-    # of the least occurrence only the windows with a smaller class, of the others all
-    froms = F.when(least, F.expr("transform(froms, x -> at + x)")).otherwise(F.array("at"))
-    ends = F.when(least, F.expr(f"transform(froms, (x, i) -> at + x + lens[i] + {LENGTH - 1})")).otherwise(F.array(F.expr(f"at + n + {LENGTH - 1}")))
-    spans = met.select("doc", "sub", froms.alias("froms"), ends.alias("ends")).filter("size(froms) > 0")
-    flat = spans.groupBy("doc", "sub").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("ends")).alias("ends"))
-    return flat
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(filter_words(repeated_pieces(docs)))  # of fixed size
+    found = stored(sorted_out(occurrences(docs, held)), "occurrences")
+    least = found.filter("state = 2")
+    wanted = context.broadcast(filter_words(hashed(least)))  # of fixed size
+    spans = sorted_stretches(fetched(docs, held, wanted))
+    whole = found.filter("state = 0").select("doc", "sub", F.col("at").alias("from"), (F.col("at") + F.col("n") + LENGTH - 1).alias("end"))
+    every = whole.unionByName(spans)
+    return every.groupBy("doc", "sub").agg(F.collect_list("from").alias("froms"), F.collect_list("end").alias("ends"))
+
+
+def hashed(places: DataFrame) -> DataFrame:
+    """:func:`place_hash` of rows, as ``key``."""
+
+    def run(key: list, mark: list, doc: list, at: list) -> dict[str, list]:
+        return {"key": place_hash(key, mark, doc, at).view(np.int64)}
+
+    return map_rows(places.withColumn("at", F.col("at").cast("bigint")), ["key", "mark", "doc", "at"], run, "key bigint")
 
 
 def cut_out(raw: bytes, froms: list | None, ends: list | None) -> tuple[int, int, bytes]:
