@@ -1,7 +1,7 @@
 """BPE encoding and decoding with forced boundaries.
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so
-a word is cut there; the fragments are encoded independently (and remembered)
+a word is cut there; the fragments are encoded independently, many at a time,
 and their ids concatenated. Words are cut at ASCII white space first, which no
 rule of the tokenizer file looks across.
 
@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import map_rows
+from .common import map_rows, remembers
 
 #: Entries that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Longer fragments are encoded one by one.
 LONG = 64
 #: Marks that close a run of letters and form one word of their own.
@@ -228,7 +228,7 @@ class ForcedBoundaryBPE:
 
     def remember(self, texts: list[list[bytes]]) -> None:
         """Encode the words of a batch that are not known yet."""
-        for known in (self.words, self.parts, self.fragments):
+        for known in (self.words, self.parts):
             if len(known) > REMEMBERED:
                 known.clear()
         parts = {raw: self.parts_of(raw) for raw in set().union(*texts).difference(self.words)}
@@ -240,6 +240,7 @@ class ForcedBoundaryBPE:
             known = self.fragments
             for w, c in zip(new, cuts):
                 self.parts[w] = known[w, True] if len(c) == 1 else b"".join([*(known[x, False] for x in c[:-1]), known[c[-1], True]])
+            known.clear()  # whole words are remembered
         known = self.parts
         for raw, p in parts.items():
             if len(p) == 1 and p[0].__class__ is bytes:
@@ -279,6 +280,7 @@ class ForcedBoundaryBPE:
 @lru_cache(2)
 def encoder(path: str) -> ForcedBoundaryBPE:
     """One encoder per worker process; its memory outlives a task."""
+    remembers(__name__, encoder.cache_clear)
     return ForcedBoundaryBPE(path)
 
 

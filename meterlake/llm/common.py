@@ -21,6 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a reused Python worker remembers, by the module whose operator it served.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Tell that a module holds memory in this worker, and how to drop it."""
+    _memories[module] = forget
+
+
+def serve(module: str) -> None:
+    """A worker that turns to another operator drops what it held for the last one."""
+    for other in [m for m in _memories if m != module]:
+        _memories.pop(other)()
+
+
 def quoted(name: str) -> Column:
     """A column by its name as it is, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -85,9 +100,10 @@ def map_rows(
     arrow = to_arrow_schema(struct, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve(fn.__module__)
         for batch in batches:
             lists = [c.to_pylist() for c in batch.columns]
-            sizes = [len(x) if x is not None else 0 for x in lists[-1]]
+            sizes = [len(x) if isinstance(x, (str, bytes)) else 8 for x in lists[-1]]
             for a, b in slices(sizes, most):
                 out = fn(*(x[a:b] for x in lists))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, quoted, stored
+from .common import map_rows, quoted, remembers, stored
 
 #: Domains by label: toxic, else low quality, else clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 #: Labelled documents that the classifier is fitted on, those of least hashed id.
 SAMPLE = 20_000
 #: Word types that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A feature counts as evidence if it stands in so many sampled documents at least, and
 #: in so many standard errors more of some domain's than chance would have it.
 LEAST_DOCUMENTS, LEAST_SURPLUS = 5, 6.0
@@ -83,6 +83,7 @@ def buckets(text: str | None) -> np.ndarray:
     """Features of a text: of each distinct word, lower-cased (A-Z), and of its make-up."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.lower().split()
+    remembers(__name__, _buckets.clear)
     found = {*words, *shape(raw, words)}
     return np.unique(np.fromiter(map(_buckets.__getitem__, found), np.int64, len(found)))
 
