@@ -136,7 +136,11 @@ def anchors(plan: Plan) -> Column:
 
 
 def linked(f: np.ndarray, g: np.ndarray, threshold: int) -> np.ndarray:
-    return np.bitwise_count(f ^ g).sum(-1, dtype=np.int64) <= threshold
+    """Whether fingerprints (lanes on the last axis) differ in few enough bits."""
+    bits = np.bitwise_count(f[..., 0] ^ g[..., 0])
+    for lane in range(1, f.shape[-1]):
+        bits = bits + np.bitwise_count(f[..., lane] ^ g[..., lane])  # below 256 for three lanes
+    return bits <= threshold
 
 
 def group_labels(f: np.ndarray, home: np.ndarray, threshold: int) -> np.ndarray:
@@ -144,18 +148,21 @@ def group_labels(f: np.ndarray, home: np.ndarray, threshold: int) -> np.ndarray:
     n = len(f)
     label = np.arange(n)
     homes = np.flatnonzero(home)
-    step = max(1, (1 << 20) // n)
-    while True:
+    step = max(1, (1 << 19) // n)
+    parts = [homes[a : a + step] for a in range(0, len(homes), step)]
+    # a first look: in most groups no row is near another, and the others need only the rows that are
+    busy = [rows for rows in parts if np.count_nonzero(linked(f[rows][:, None], f[None], threshold)) > len(rows)]
+    while busy:
         before = label.copy()
-        for a in range(0, len(homes), step):
-            rows = homes[a : a + step]
+        for rows in busy:
             near = linked(f[rows][:, None], f[None], threshold)
             least = np.where(near, label, n).min(1)
             label[rows] = np.minimum(label[rows], least)
             label = np.minimum(label, np.where(near, label[rows][:, None], n).min(0))
         label = label[label]
         if (label == before).all():
-            return label
+            break
+    return label
 
 
 def compare(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
