@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import BATCH_BYTES, shared_dir, slices, small_batches
+from .common import BATCH_BYTES, remembers, serve, shared_dir, slices, small_batches
 
 BLOCK = 128
 #: The place, within a sorted block, of the value whose width the block gets.
@@ -38,7 +38,7 @@ PERCENTILE = (BLOCK * 9 + 9) // 10 - 1
 #: Ids after which a segment is closed, at the next document's end.
 SEGMENT = 1 << 18
 MAGIC = b"PFR1"
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 #: Marks that end a run of letters and form one piece of their own.
 CLOSING = b".,;:!?*#$%&)"
 #: White space beyond ASCII, and ASCII separators that the two sides class differently.
@@ -60,34 +60,49 @@ class PieceEncoder:
         self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
         self.parts: dict[bytes, bytes] = {}
         self.feed = self.pack("\n")
+        self.feed_id = int(np.frombuffer(self.feed, self.dtype)[0])
 
     def pack(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    @staticmethod
-    def parts_of(raw: bytes, spaced: bool) -> list[bytes]:
-        body = raw.rstrip(CLOSING)
-        lead = b" " if spaced else b""
-        if body and (body.isalpha() if body.isascii() else (t := body.decode()).isalpha() and max(t) < "ɐ"):
-            return [lead + body] if len(body) == len(raw) else [lead + body, raw[len(body) :]]
-        return [lead + raw]
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encode pieces, many in one text: a line feed between two is a piece of its own."""
+        for a in range(0, len(pieces), 8192):
+            some = pieces[a : a + 8192]
+            ids = np.array(self.library.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.feed_id), len(ids)) * self.dtype.itemsize
+            packed, start = ids.tobytes(), 0
+            for piece, end in zip(some, ends.tolist(), strict=True):
+                self.parts[piece] = packed[start:end]
+                start = end + self.dtype.itemsize
 
     def remember(self, lines: list[list[bytes]]) -> None:
         for known in (*self.words, self.parts):
             if len(known) > REMEMBERED:
                 known.clear()
         new = ({x[0] for x in lines}.difference(self.words[0]), set().union(*(x[1:] for x in lines)).difference(self.words[1]))
-        cut = [{w: self.parts_of(w, bool(k)) for w in words} for k, words in enumerate(new)]
-        want = list({p for c in cut for x in c.values() for p in x}.difference(self.parts))
-        for a in range(0, len(want), 4096):
-            some = want[a : a + 4096]
-            found = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
-            for p, e in zip(some, found):
-                self.parts[p] = np.array(e.ids, self.dtype).tobytes()
+        whole: list[list[tuple[bytes, bytes]]] = []
+        split: list[list[tuple[bytes, bytes, bytes]]] = []
+        for lead, words in zip((b"", b" "), new):
+            single, double = [(w, lead + w) for w in words if w.isalpha()], []
+            for w in words:
+                if not w.isalpha():
+                    body = w.rstrip(CLOSING)
+                    if body and (body.isalpha() if body.isascii() else (t := body.decode()).isalpha() and max(t) < "\u0250") and len(body) < len(w):
+                        double.append((w, lead + body, w[len(body) :]))
+                    else:
+                        single.append((w, lead + w))
+            whole.append(single)
+            split.append(double)
+        want = {p for x in whole for _, p in x}
+        want.update(p for x in split for _, p, _ in x)
+        want.update(q for x in split for _, _, q in x)
+        self.learn([p for p in want.difference(self.parts) if p])
         known = self.parts
-        for words, c in zip(self.words, cut):
-            for w, x in c.items():
-                words[w] = known[x[0]] if len(x) == 1 else known[x[0]] + known[x[1]]
+        known[b""] = b""
+        for words, single, double in zip(self.words, whole, split):
+            words.update([(w, known[p]) for w, p in single])
+            words.update([(w, known[p] + known[q]) for w, p, q in double])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of a batch of bounded size."""
@@ -114,6 +129,7 @@ class PieceEncoder:
 
 @lru_cache(2)
 def piece_encoder(path: str) -> PieceEncoder:
+    remembers(__name__, piece_encoder.cache_clear)
     return PieceEncoder(path)
 
 
@@ -192,6 +208,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, *, i
     arrow = to_arrow_schema(T.StructType.fromDDL(FILES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve(__name__)
         encoder, part = piece_encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
         seq, first, held, owners, sizes = 0, 0, [], [], []
