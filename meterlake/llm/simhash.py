@@ -8,8 +8,11 @@ is nearest to the first, and are compared there in full.
 
 With 64 bits and at most 3 differences, one of two blocks has at most 1, so none
 are lost (31 of each half's 32 bits are coded; leaving a bit out only lowers a
-distance). Wider fingerprints for a share of common shingles use more blocks; the
-chance to miss a pair is then that of exceeding 1 in all of them.
+distance).
+
+A share of common shingles (:data:`SIMILAR`) is not decided by the sketch: wider
+fingerprints of the distinct shingles with more blocks only name candidates, and the
+exact Jaccard similarity of the shingle sets decides inside each group of candidates.
 
 Equal fingerprints are one row before any replication. Anchors with many rows
 are compared in pairs of chunks, each its own task group; nothing is capped. Each
@@ -32,32 +35,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, quoted, stored
+from .common import map_rows, quoted, small_batches, stored
 from .components import components
 
 #: Rows of one anchor that one task group compares.
 CHUNK = 4096
+#: Rows of one group of candidates whose shingles one task group compares.
+SETS = 1024
 #: Shingles whose bits are counted at once.
 STEP = 1 << 17
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Shingle words, 64-bit lanes, bits of a block's code (2**r - 1), blocks' places, threshold."""
+    """Shingle words, 64-bit lanes, bits of a block's code (2**r - 1), blocks' places, threshold,
+    and the Jaccard similarity that decides on candidates (0: the threshold decides; shingles
+    then count as often as they stand in a text)."""
 
     words: int = 3
     lanes: int = 1
     r: int = 5
     offsets: tuple[int, ...] = (0, 32)
     threshold: int = 3
+    similarity: float = 0.0
 
 
 #: The contract's: exact for 3 differing bits.
 EXACT = Plan()
-#: For five-word shingles and a similarity of 0.8: two lanes, eight blocks of 15 bits. Pairs
-#: of similarity 0.8 differ in 15 % of the bits (19 of 128) on average, and meet with
-#: probability 0.95; pairs of 0.9 with 0.998.
-SIMILAR = Plan(words=5, lanes=2, r=4, offsets=tuple(range(0, 128, 16)), threshold=24)
+#: For five-word shingles and a similarity of 0.8: three lanes, twelve blocks of 15 bits. Pairs
+#: of similarity 0.8 differ in 15 % of the bits (29 of 192, standard deviation 5) on average. They
+#: meet surely in a block with at most 1 difference, and often in one with 2 or 3.
+SIMILAR = Plan(words=5, lanes=3, r=4, offsets=tuple(range(0, 192, 16)), threshold=56, similarity=0.8)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -86,8 +94,13 @@ def mixed(h: np.ndarray, lane: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, plan: Plan = EXACT) -> list[int]:
-    """A lane's bit is 1 if it is set in over half of the hashes; lanes as signed 64-bit integers."""
+    """The lanes of a text's shingles."""
     hashes = shingle_hashes(text, plan.words)
+    return lanes_of(np.unique(hashes) if plan.similarity else hashes, plan)
+
+
+def lanes_of(hashes: np.ndarray, plan: Plan) -> list[int]:
+    """A lane's bit is 1 if it is set in over half of the hashes; lanes as signed 64-bit integers."""
     out = []
     for lane in range(plan.lanes):
         ones = np.zeros(64, np.int64)
@@ -255,8 +268,112 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, *, id_col: str = "doc_i
     return prints.withColumn("node", hex_of(lanes)).join(found, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set (sorted) the least one that pairs of that similarity or more connect it to."""
+    size = np.array([len(x) for x in sets], np.int64)
+    label = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        if not size[i]:
+            continue
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1  # connected ones need no look
+        other = other[np.minimum(size[other], size[i]) / np.maximum(size[other], size[i]) >= similarity]
+        if not len(other):
+            continue
+        every = np.concatenate([sets[j] for j in other.tolist()])
+        hit = sets[i][np.minimum(np.searchsorted(sets[i], every), size[i] - 1)] == every
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[other]) - size[other])
+        near = other[common / (size[other] + size[i] - common) >= similarity]
+        if len(near):
+            met = np.append(label[near], label[i])
+            label[np.isin(label, met)] = met.min()
+    return label
+
+
+def verify(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Edges between names, of groups (runs of equal ``cluster`` and ``pair``) in a sorted partition."""
+    names: list[str] = []
+    sets: list[np.ndarray] = []
+    last = None
+
+    def edges() -> pa.RecordBatch:
+        label = alike(sets, plan.similarity).tolist()
+        tied = [i for i, j in enumerate(label) if i != j]
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in tied], pa.string()), pa.array([names[label[i]] for i in tied], pa.string())], schema=schema)
+
+    for batch in batches:
+        for cluster, pair, name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if last != (cluster, pair):
+                if len(sets) > 1:
+                    yield edges()
+                names, sets, last = [], [], (cluster, pair)
+            names.append(name)
+            sets.append(np.frombuffer(raw, np.uint64))
+    if len(sets) > 1:
+        yield edges()
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
+    """Edges ``a``, ``b`` (names) that connect all shingle sets of the similarity.
+
+    ``nodes``: a row a distinct set with its ``name``, ``mark``, the hash ``t`` of one of its
+    texts, and its fingerprint. Only sets with a candidate are fetched."""
+    spark = docs.sparkSession
+    lanes = [f"f{k}" for k in range(plan.lanes)]
+    groups = components(links(nodes.select(*lanes).distinct(), plan))
+    placed = nodes.withColumn("node", hex_of(lanes)).join(groups, "node", "left")
+    placed = placed.select("name", "mark", "t", F.coalesce("component", "node").alias("cluster"))
+    many = placed.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(placed.join(many, "cluster"), "candidates")
+
+    def run(texts_of: list, texts: list) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(t, plan.words)) for t in texts]
+        return {"t": texts_of, "mark": [mark_of(x) for x in sets], "shingles": [x.tobytes() for x in sets]}
+
+    wanted = docs.select(text_hash(), "text").join(members.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
+    sets = stored(map_rows(wanted, ["t", "text"], run, "t bigint, mark bigint, shingles binary"), "shingles")
+    chunks = F.ceil(F.col("n") / SETS).cast("int")
+    rows = (
+        members.withColumns({"chunks": chunks, "mine": F.pmod(F.xxhash64("name"), chunks).cast("int")})
+        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select("cluster", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"), "name", "t", "mark")
+    )
+    dealt = rows.join(sets, ["t", "mark"]).select("cluster", "pair", "name", "shingles").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "name")
+    small_batches(spark)
+    arrow = pa.schema([("a", pa.string()), ("b", pa.string())])
+    return stored(dealt.mapInArrow(lambda batches: verify(batches, plan, arrow), "a string, b string"), "verified")
+
+
+def mark_of(hashes: np.ndarray) -> int:
+    """One hash of a set of shingles (sorted)."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), 7) - (1 << 63)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+
+
+def similar_documents(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """``doc_id``, ``component_id`` (least id of the documents that pairs of the similarity connect)."""
+    lanes = [f"f{k}" for k in range(plan.lanes)]
+
+    def run(ids: list, texts_of: list, texts: list) -> dict[str, list]:
+        sets = [np.unique(shingle_hashes(t, plan.words)) for t in texts]
+        found = [lanes_of(x, plan) for x in sets]
+        return {"doc_id": ids, "t": texts_of, "mark": [mark_of(x) for x in sets]} | {c: [f[k] for f in found] for k, c in enumerate(lanes)}
+
+    schema = ", ".join(["doc_id bigint, t bigint, mark bigint", *(f"{c} bigint" for c in lanes)])
+    prints = stored(map_rows(docs.select("doc_id", text_hash(), "text"), ["doc_id", "t", "text"], run, schema), "fingerprints")
+    name = F.concat(hex_of(lanes), hex_of(["mark"])).alias("name")
+    nodes = stored(prints.groupBy(*lanes, "mark").agg(F.min("doc_id").alias("least"), F.min("t").alias("t")).select("*", name), "sets")
+    groups = components(verified_links(docs, nodes, plan))
+    of = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = stored(of.join(ids, "component").select(*lanes, "mark", "component_id"), "found")
+    return prints.join(found, [*lanes, "mark"]).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """The documents with the least id of their group; rows without an id all stay."""
-    found = near_duplicates(docs, plan)
+    found = similar_documents(docs, plan)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*map(quoted, docs.columns))

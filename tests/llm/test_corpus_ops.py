@@ -201,6 +201,36 @@ def test_similar_documents_meet():
     assert hits >= 54
 
 
+def test_similar_documents_equal_exact_jaccard(spark, monkeypatch):
+    rng = random.Random(12)
+    line = prose(700, 30, 400)
+    texts = [None, "", "one two", "one two three four five six"]
+    for trial in range(60):
+        words = prose(800 + trial, rng.choice([60, 150, 400]), 400).split()
+        other = list(words)
+        for at in range(5, len(words), max(6, round(5 / rng.uniform(0.06, 0.2)))):  # similarity of 0.65 to 0.9
+            other[at] = "changed%d" % rng.randint(0, 10**6)
+        texts += [" ".join(words), " ".join(other)]
+    texts += [" ".join([line] * 40 + [prose(950 + i, 100, 400)]) for i in range(3)]  # bags alike, sets not
+    texts += [prose(960, 200, 400), " ".join([prose(960, 200, 400)] + prose(960, 200, 400).split()[-5:] * 30)]  # sets alike, bags not
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    share = {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            share[i, j] = len(a & sets[j]) / len(a | sets[j]) if a | sets[j] else 1.0
+            if share[i, j] >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert sum(0.65 <= x < 0.8 for x in share.values()) >= 10 and sum(0.8 <= x < 0.9 for x in share.values()) >= 10
+    for chunk in (1024, 2):  # pairs of chunks
+        monkeypatch.setattr(simhash, "SETS", chunk)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == label
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents(spark, texts)).collect()}
+    assert kept == set(label)
+
+
 # -- suffix dedup --------------------------------------------------------------------
 
 
