@@ -196,7 +196,8 @@ def occurrences(docs: DataFrame, held) -> DataFrame:
 
 def sorted_out(rows: DataFrame) -> DataFrame:
     """All occurrences with ``state``: 0 a repeat whole, 1 the least of its kind with nothing
-    else of its piece, 2 the least of its kind to be sorted against others."""
+    else of its piece, 2 the least of its kind to be sorted against others. A place that a
+    repeated row names again is one occurrence."""
     dealt = F.when(F.col("whole"), F.xxhash64("doc", "at")).otherwise(F.col("key"))
     parts = rows.withColumn("to", dealt).repartition("to").drop("to").sortWithinPartitions("whole", "key", "mark", "doc", "sub", "at")
     names = ["key", "mark", "doc", "sub", "at", "n", "multi"]
@@ -208,16 +209,19 @@ def sorted_out(rows: DataFrame) -> DataFrame:
         for batch in batches:
             cols = dict(zip([*names, "whole"], batch.columns))
             key, mark, whole = (c.to_numpy(zero_copy_only=False) for c in (cols["key"], cols["mark"], cols["whole"]))
-            same = np.zeros(len(key), bool)
+            place = [cols[c].to_numpy() for c in ("doc", "sub", "at")]
+            same, again = np.zeros(len(key), bool), np.zeros(len(key), bool)
             same[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1]) & ~whole[:-1]
+            again[1:] = same[1:] & np.logical_and.reduce([x[1:] == x[:-1] for x in place])
             if last is not None and len(key):
-                same[0] = (int(key[0]), int(mark[0])) == last
-            repeat = whole | same
+                same[0] = (int(key[0]), int(mark[0])) == last[:2]
+                again[0] = same[0] and tuple(int(x[0]) for x in place) == last[2:]
+            repeat = (whole | same) & ~again
             rest = pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
             yield stated(rest.filter(pa.array(repeat)), 0)
-            mine = rest.filter(pa.array(~repeat))
+            mine = rest.filter(pa.array(~repeat & ~again))
             if len(key) and not whole[-1]:
-                last = (int(key[-1]), int(mark[-1]))
+                last = (int(key[-1]), int(mark[-1]), *(int(x[-1]) for x in place))
             held.append(mine)
             table = pa.Table.from_batches(held).combine_chunks()
             if not table.num_rows:

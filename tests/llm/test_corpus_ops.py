@@ -272,6 +272,19 @@ def test_dedup_equals_brute_force(spark):
     assert suffix_dedup.suffix_dedup(documents(spark, [])).collect() == []
 
 
+def test_dedup_keeps_the_first_of_repeated_rows(spark):
+    passage, other, third = prose(70, 40), prose(71, 40), prose(72, 50)
+    rows = [(3, passage), (3, passage), (5, "y " + passage + third), (5, "y " + passage + third), (1, "short"), (1, "short")]
+    rows += [(None, other), (None, other), (None, other), (None, third), (None, None), (7, "a" * 300), (7, "a" * 300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", 1) for i, t in rows], DOCS)
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode())))
+    plain = plain_dedup([(place, (t or "").encode()) for place, (_, t) in enumerate(order)], 100)
+    want = sorted((str(r[0]), *plain[order.index(r)]) for r in rows)
+    for parts in (1, 4):  # copies in one batch, and in several
+        got = suffix_dedup.suffix_dedup(docs.repartition(parts)).collect()
+        assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == want
+
+
 # -- pages ---------------------------------------------------------------------------
 
 PAGES = [
