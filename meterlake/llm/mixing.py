@@ -3,9 +3,10 @@
 A naive Bayes classifier, fitted on labelled documents over hashed words, gives each
 document a posterior over domains. Projected gradient steps (accelerated) then fit
 nonnegative document rates, least squares from 1, whose expected domain token totals
-match the targets. A step sends one vector of domain totals to the driver; a
-document's rate follows from its posterior and the steps so far, so that nothing
-is kept between steps and a lost executor costs nothing but its tasks.
+match the targets. Residuals count in units of each domain's own tokens, so that rare
+domains are met as soon and as well as common ones. A step sends two vectors of domain
+totals to the driver; a document's rate follows from its posterior and the steps so far,
+so that nothing is kept between steps and a lost executor costs nothing but its tasks.
 
 Defined cases: a null or empty text has no tokens, takes the prior as posterior and
 weighs nothing; documents without a label are only scored; with no labelled
@@ -40,11 +41,13 @@ LEAST_DOCUMENTS, LEAST_SURPLUS = 5, 6.0
 
 @dataclass(frozen=True)
 class Targets:
-    """Shares of the expected tokens; weight of staying near rate 1; steps."""
+    """Shares of the expected tokens; weight of staying near rate 1; steps at most; and the
+    share of its target by which a domain's total may miss it when the steps end."""
 
     shares: tuple[float, ...] = (0.90, 0.08, 0.02)
-    near_one: float = 0.01
-    steps: int = 40
+    near_one: float = 1e-7
+    steps: int = 500
+    within: float = 1e-3
 
 
 CAPITALS = bytes(range(65, 91))
@@ -145,7 +148,8 @@ def rates_of(p: np.ndarray, history: list[np.ndarray], near_one: float) -> tuple
     """Rates of documents (rows of posteriors) after the steps so far, and the point of the next step.
 
     ``history``: the residual vectors at the points of the steps. One step divides by
-    1 + near_one, a bound of the curvature, as masses add up to 1."""
+    1 + near_one, a bound of the curvature, as a document's posterior adds up to 1 and a
+    residual is in units of its domain's mass."""
     rate, point, t = np.ones(len(p)), np.ones(len(p)), 1.0
     for e in history:
         new = np.maximum(0.0, point - (p @ e + near_one * (point - 1)) / (1 + near_one))
@@ -155,29 +159,38 @@ def rates_of(p: np.ndarray, history: list[np.ndarray], near_one: float) -> tuple
 
 
 def fit(members: DataFrame, targets: Targets, scale: float = 1.0) -> list[np.ndarray]:
-    """The residuals of all steps; ``scale`` times the shares are the targets in units of all tokens."""
+    """The residuals of all steps; ``scale`` times the shares are the targets in units of all tokens.
+
+    The steps end when every domain's total is ``within`` its target, or no longer changes
+    (targets that the posteriors cannot meet, as of a domain without documents)."""
     names = [f"p_{d}" for d in DOMAINS]
-    total = members.agg(F.sum("n_tokens")).first()[0] or 0
+    masses = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(c)) for c in names)).first()
     history: list[np.ndarray] = []
-    sums = ", ".join(f"s{k} double" for k in range(len(DOMAINS)))
-    if not total:
+    if not masses[0]:
         return history
-    for _ in range(targets.steps):
+    total, mass = masses[0], np.array(masses[1:], float) / masses[0]
+    goal = scale * np.array(targets.shares)
+    width = 2 * len(DOMAINS)
+    sums = ", ".join(f"s{k} double" for k in range(width))
+    before = None
+    while True:
 
         def run(batches: Iterator[pa.RecordBatch], done=tuple(history)) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(len(DOMAINS))
+            held = np.zeros(width)
             for b in batches:
                 n, *p = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.columns)
                 p = np.stack(p, 1)
-                held += (n * rates_of(p, done, targets.near_one)[1]) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=[f"s{k}" for k in range(len(DOMAINS))])
-
-        got = members.select("n_tokens", *names).mapInArrow(run, sums).agg(*(F.sum(f"s{k}") for k in range(len(DOMAINS)))).first()
-        e = np.array(got, float) / total - scale * np.array(targets.shares)
-        history.append(e)
-        if np.abs(e).max() < 1e-4 and len(history) > 5:
-            break
-    return history
+                held += np.concatenate([(n * r) @ p for r in rates_of(p, done, targets.near_one)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=[f"s{k}" for k in range(width)])
+
+        got = members.select("n_tokens", *names).mapInArrow(run, sums).agg(*(F.sum(f"s{k}") for k in range(width))).first()
+        at_rate, at_point = np.array(got, float).reshape(2, -1) / total
+        met = (np.abs(at_rate - goal) <= targets.within * goal).all()
+        still = before is not None and np.abs(at_rate - before).max() < 1e-9
+        if met or still or len(history) >= targets.steps:
+            return history
+        before = at_rate
+        history.append(np.where(mass > 0, (at_point - goal) / np.where(mass > 0, mass, 1), 0.0))
 
 
 def with_rates(members: DataFrame, history: list[np.ndarray], near_one: float) -> DataFrame:

@@ -384,6 +384,17 @@ def test_mixing_meets_targets(spark):
     assert np.abs(share - targets.shares).max() < 0.02
 
 
+@pytest.mark.parametrize("shares", [None, (0.97, 0.02, 0.01), (0.85, 0.14, 0.01)])
+def test_mixing_meets_rare_targets_as_production_fits_them(spark, shares):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    targets = mixing.Targets(shares=shares) if shares else mixing.Targets()
+    rows = mixing.mix(docs, labels, targets).collect()
+    p = np.array([[r[f"p_{d}"] for d in mixing.DOMAINS] for r in rows])
+    n, rate = (np.array([r[c] for r in rows], float) for c in ("n_tokens", "rate"))
+    share = (n * rate) @ p / n.sum()
+    assert (rate >= 0).all() and share == pytest.approx(targets.shares, rel=0.005)
+
+
 def test_mixing_of_nothing(spark):
     docs = documents(spark, [])
     assert mixing.mix(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).collect() == []
