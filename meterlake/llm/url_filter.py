@@ -8,7 +8,8 @@ explicitly.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no
 rule and is allowed; a null html has no links; relative targets are resolved against
-the page's host; repeated pages get equal rows.
+the page's host and directory, dot segments taken out; targets of schemes without ``//``
+name no page; every link of a page counts; repeated pages get equal rows.
 """
 
 from __future__ import annotations
@@ -75,18 +76,33 @@ def decide(rules: tuple[Rule, ...], host: Column, path: Column) -> tuple[Column,
     return name, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """A path (from its first slash) with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/", -1)
+    above = lambda held: F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(1)))  # noqa: E731  (the first is before the root)
+    step = lambda held, x: F.when(x == "..", above(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(closed, "/")).otherwise(path)
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``a`` (the page's node) and ``b`` (a target's node), from ``url`` and ``html``."""
-    linked = pages.filter(F.contains("html", F.lit("anonical")) | F.contains("html", F.lit("ANONICAL")) | F.contains("html", F.lit("efresh")) | F.contains("html", F.lit("EFRESH")))
-    targets = F.array(*(F.regexp_extract("html", p, 1) for p in (CANONICAL, CANONICAL_LATE, REFRESH)))
+    linked = pages.filter(F.rlike("html", F.lit("(?i)canonical|refresh")))
+    targets = F.concat(*(F.regexp_extract_all("html", F.lit(p), 1) for p in (CANONICAL, CANONICAL_LATE, REFRESH)))
     found = linked.select("url", F.explode(F.array_distinct(targets)).alias("target")).filter("target <> ''")
-    host = host_of(F.col("url"))
+    found = found.select("target", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    own, given = F.concat(F.lit("http://"), "host"), F.regexp_extract("target", r"\A[^?#]*", 0)
+    folder = F.when(F.col("path") == "", "/").otherwise(F.regexp_extract("path", r"\A(.*/)", 1))
     whole = (
-        F.when(F.contains("target", F.lit("://")), F.col("target"))
+        F.when(F.rlike("target", F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*://")), F.col("target"))
+        .when(F.rlike("target", F.lit(r"\A[A-Za-z][A-Za-z0-9+.-]*:")), None)
         .when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target"))
-        .when(F.startswith("target", F.lit("/")), F.concat(F.lit("http://"), host, "target"))
+        .when(F.startswith("target", F.lit("/")), F.concat(own, without_dots(given)))
+        .when(given == "", F.concat(own, F.col("path")))
+        .otherwise(F.concat(own, without_dots(F.concat(folder, given))))
     )
-    found = found.select(F.concat(host, path_of(F.col("url"))).alias("a"), whole.alias("to")).filter("`to` is not null and a <> ''")
+    found = found.select(F.concat("host", "path").alias("a"), whole.alias("to")).filter("`to` is not null and a <> ''")
     return found.select("a", F.concat(host_of(F.col("to")), path_of(F.col("to"))).alias("b")).filter("b <> '' and a <> b")
 
 

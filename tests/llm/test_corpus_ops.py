@@ -316,6 +316,30 @@ def test_url_filter(spark):
     assert sorted(con.sql(ORACLE["op2_url_filter"]).fetchall(), key=repr) == sorted((tuple(got[i][c] for c in ("page_id", "host", "path", "rule", "verdict", "by")) for i in got), key=repr)
 
 
+def test_every_link_of_a_page_is_resolved(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    link = '<link rel="canonical" href="%s">'
+    targets = ["new.html", "../a", "page/2", "./x/./y", "../../../up", "..", "?q=1", "#top", "/login?next=http://bad.net/x", "/c/../d/.", "//Other.org/e/f", "http://third.org/g?h", "a/../../b?x=/../z"]
+    bases = ["http://site.org/one/two/three", "http://site.org/one/two/", "http://site.org"]
+    pages = [(i, base, link % t) for i, (base, t) in enumerate((b, t) for b in bases for t in targets)] + [(99, bases[0], link % "mailto:x@y.org")]
+    want = set()
+    for _, base, html in pages[:-1]:
+        at = urlsplit(base), urlsplit(urljoin(base, html[len(link) - 4 : -2]))
+        a, b = (x.netloc.lower() + x.path for x in at)
+        want |= {(a, b)} - {(a, a)}
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {tuple(r) for r in url_filter.alias_edges(frame).collect()} == want
+
+    rows = [
+        (0, "http://www.example.com/de/1", link % "../alias/page.html"), (1, "http://www.example.com/alias/page.html", ""),
+        (2, "http://many.org/a", link % "first" + link % "http://bad.net/x" + "<META HTTP-EQUIV=Refresh CONTENT='0; URL=p'><meta http-equiv=refresh content='1; url=q'>"),
+        (3, "http://many.org/first", ""), (4, "http://many.org/p", ""), (5, "http://many.org/q", ""), (6, "http://many.org/r", "<link rel=CaNoNiCaL href=q>"), (7, "http://many.org/s", ""),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "allow" if i == 7 else "block" for i in range(8)}
+
+
 # -- models --------------------------------------------------------------------------
 
 
