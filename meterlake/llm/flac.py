@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, small_batches, stored
 
 BLOCK = 576
 #: Fixed predictors of the format, as coefficients of the samples before.
@@ -481,6 +484,52 @@ def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", m
     return map_rows(media, [id_col, media_col], run, schema, AT_ONCE)
 
 
+def stored_features(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`media_features` by way of the shared folder: streams are written and
+    read back, so are their PCM blocks, and the payload's digests come from the blocks."""
+    media = stored(to_flac(docs).withColumn("row", F.monotonically_increasing_id()), "media")
+    blocks = stored(pcm_blocks(media, id_col="row"), "pcm_blocks")
+    parts = blocks.select(F.col("doc_id").alias("row"), "first_sample", "pcm").repartition("row").sortWithinPartitions("row", "first_sample")
+    found = pa.schema([("row", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, digest, tail, size, total, squares, changes, last = None, None, b"", 0, 0, 0, 0, None
+
+        def ended() -> tuple:
+            feature = f"blocks={size // BLOCK};sum={total};squares={squares};sign_changes={changes}"
+            return row, size, digest.hexdigest(), zlib.crc32(tail), feature
+
+        def of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), found.types)], schema=found)
+
+        for batch in batches:
+            done = []
+            for number, first, pcm in zip(*(c.to_pylist() for c in batch.columns)):
+                if number != row:
+                    if row is not None:
+                        done.append(ended())
+                    row, digest, tail, size, total, squares, changes, last = number, hashlib.sha256(), b"", 0, 0, 0, 0, None
+                if first != size:
+                    raise ValueError("a block is missing")
+                x = np.frombuffer(pcm, "<i1").astype(np.int64)
+                payload = (x + 128).astype(np.uint8).tobytes()
+                digest.update(payload)
+                tail, size = (tail + payload)[-32:], size + len(payload)
+                sign = x < 0
+                changes += int((sign[1:] != sign[:-1]).sum()) + (last is not None and last != bool(sign[0]))
+                total, squares, last = total + int(x.sum()), squares + int((x * x).sum()), bool(sign[-1])
+            if done:
+                yield of(done)
+        if row is not None:
+            yield of([ended()])
+
+    small_batches(docs.sparkSession)
+    payloads = parts.mapInArrow(run, "row bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string")
+    streams = media.select("doc_id", "row", "n_bytes", F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return streams.join(payloads, "row").select(*columns)
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Read the streams of :func:`to_flac` back: digests, and as feature the number of
     blocks, sum, sum of squares and sign changes of the samples."""

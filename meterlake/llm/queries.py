@@ -32,7 +32,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.to_flac(table(spark, sf_dir, "documents")))
+    return flac.stored_features(table(spark, sf_dir, "documents"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,21 @@ def test_flac_query(spark):
     assert (np.frombuffer(samples, np.int8).astype(int) + 128).astype(np.uint8).tobytes() == flac.payload_of(texts[3])[1]
 
 
+def test_flac_query_reads_back_what_it_stores(spark, monkeypatch, tmp_path):
+    from meterlake.llm import common, queries
+
+    docs = documents(spark, [None, "", "é" * 400, prose(2, 9000), prose(2, 9000), prose(3, 3000)]).union(documents(spark, ["again", "again"]))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    written = []
+    monkeypatch.setattr(common, "shared_dir", lambda spark, what: written.append(what) or str(tmp_path / what))
+    got = queries.op5_flac(spark, str(tmp_path))
+    want = flac.media_features(flac.to_flac(docs))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert written == ["media", "pcm_blocks"]
+    assert spark.read.parquet(str(tmp_path / "pcm_blocks")).agg(F.sum("n_samples")).first()[0] == sum(r["payload_bytes"] for r in want.collect())
+
+
 # -- near duplicates -----------------------------------------------------------------
 
 
