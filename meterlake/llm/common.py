@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,10 +31,24 @@ def remembers(module: str, forget: Callable[[], None]) -> None:
     _memories[module] = forget
 
 
+#: glibc's call that hands freed memory back to the system, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hand memory that is free in this worker back to the system: what one stage needed
+    at its most would otherwise stand beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def serve(module: str) -> None:
     """A worker that turns to another operator drops what it held for the last one."""
     for other in [m for m in _memories if m != module]:
         _memories.pop(other)()
+        gc.collect()
+    give_back()
 
 
 def quoted(name: str) -> Column:
@@ -50,12 +65,14 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh path under the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; only a session without it (a unit test)
-    gets a temporary folder of its own.
+    ``spark.checkpoint.dir`` names it. A session on one machine without it (a test, the
+    driver's local runs) gets a folder in its warehouse; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
@@ -107,6 +124,8 @@ def map_rows(
             for a, b in slices(sizes, most):
                 out = fn(*(x[a:b] for x in lists))
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
+            del lists
+        give_back()
 
     return df.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, struct)
 

@@ -10,19 +10,22 @@ Documents are range-partitioned and sorted by id before they are encoded, so
 that the files are in ascending order and only partition totals reach the driver.
 
 Defined cases: a null text counts as empty and gives the end id alone; null ids
-come first; rows with equal ids are ordered by text; other columns are passed over.
+come first; rows with equal ids are ordered by a hash of the text, then the text; other columns are passed over.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from tokenizers import Tokenizer
 
-from .common import BATCH_BYTES, remembers, serve, shared_dir, slices, small_batches
+from .bpe import byte_symbols
+from .common import give_back, remembers, serve, shared_dir, small_batches
 
 BLOCK = 128
 #: The place, within a sorted block, of the value whose width the block gets.
@@ -38,99 +42,75 @@ PERCENTILE = (BLOCK * 9 + 9) // 10 - 1
 #: Ids after which a segment is closed, at the next document's end.
 SEGMENT = 1 << 18
 MAGIC = b"PFR1"
-REMEMBERED = 800_000
-#: Marks that end a run of letters and form one piece of their own.
-CLOSING = b".,;:!?*#$%&)"
-#: White space beyond ASCII, and ASCII separators that the two sides class differently.
-ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: Characters of a text that are encoded at once, at least.
+PART = 1 << 18
+BETWEEN_WORDS = re.compile("[a-z] (?=[a-z])")
+#: Separators below U+0250 that not everyone counts as white space.
+ODD_ASCII, ODD_SPACE = "\x1c\x1d\x1e\x1f", "\x85\xa0"
 
 
-class PieceEncoder:
-    """The tokenizers library over whole texts, with a memory of pieces.
+class WholeTextEncoder:
+    """A byte-level BPE file over whole texts, one text at a time.
 
-    Pieces are cut only where the pre-tokenizer always cuts: before a single space
-    after a non-space, around a single line feed, and before closing marks. A text
-    with any other white space goes through the library whole.
+    Where the file is plain (no normalizer, the usual byte-level pieces, tokens numbered in
+    the order of their merges) its vocabulary is also given to tiktoken, which takes a third of the
+    time; texts of letters that all Unicode versions class alike go there. All else,
+    texts that hold a special token among them, goes through the tokenizers library.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: tuple[dict[bytes, bytes], dict[bytes, bytes]] = ({}, {})
-        self.parts: dict[bytes, bytes] = {}
-        self.feed = self.pack("\n")
-        self.feed_id = int(np.frombuffer(self.feed, self.dtype)[0])
-
-    def pack(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces, many in one text: a line feed between two is a piece of its own."""
-        for a in range(0, len(pieces), 8192):
-            some = pieces[a : a + 8192]
-            ids = np.array(self.library.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.feed_id), len(ids)) * self.dtype.itemsize
-            packed, start = ids.tobytes(), 0
-            for piece, end in zip(some, ends.tolist(), strict=True):
-                self.parts[piece] = packed[start:end]
-                start = end + self.dtype.itemsize
-
-    def remember(self, lines: list[list[bytes]]) -> None:
-        for known in (*self.words, self.parts):
-            if len(known) > REMEMBERED:
-                known.clear()
-        new = ({x[0] for x in lines}.difference(self.words[0]), set().union(*(x[1:] for x in lines)).difference(self.words[1]))
-        whole: list[list[tuple[bytes, bytes]]] = []
-        split: list[list[tuple[bytes, bytes, bytes]]] = []
-        for lead, words in zip((b"", b" "), new):
-            single, double = [(w, lead + w) for w in words if w.isalpha()], []
-            for w in words:
-                if not w.isalpha():
-                    body = w.rstrip(CLOSING)
-                    if body and (body.isalpha() if body.isascii() else (t := body.decode()).isalpha() and max(t) < "\u0250") and len(body) < len(w):
-                        double.append((w, lead + body, w[len(body) :]))
-                    else:
-                        single.append((w, lead + w))
-            whole.append(single)
-            split.append(double)
-        want = {p for x in whole for _, p in x}
-        want.update(p for x in split for _, p, _ in x)
-        want.update(q for x in split for _, _, q in x)
-        self.learn([p for p in want.difference(self.parts) if p])
-        known = self.parts
-        known[b""] = b""
-        for words, single, double in zip(self.words, whole, split):
-            words.update([(w, known[p]) for w, p in single])
-            words.update([(w, known[p] + known[q]) for w, p, q in double])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of a batch of bounded size."""
-        plain: list[list[list[bytes]] | None] = []
-        for t in texts:
-            raw = (t or "").encode("utf-8", "replace")
-            if len(raw.split()) == raw.count(b" ") + raw.count(b"\n") + 1 and not (t and any(c in t for c in ODD_SPACE)):
-                plain.append([line.split(b" ") for line in raw.split(b"\n")])
-            else:
-                plain.append(None)
-        collects = gc.isenabled()
-        gc.disable()  # nothing cyclic is made, and passes over the memory are slow
-        try:
-            self.remember([line for lines in plain if lines for line in lines])
-        finally:
-            if collects:
-                gc.enable()
-        first, rest = self.words[0], self.words[1].__getitem__
-        return [
-            self.pack((t or "").encode("utf-8", "replace").decode()) if lines is None else self.feed.join([first[x[0]] + b"".join(map(rest, x[1:])) for x in lines])
-            for t, lines in zip(texts, plain)
-        ]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.core = plain_core(spec)
+
+    def quick(self, text: str) -> bool:
+        """Whether both libraries cut the text alike."""
+        if self.core is None or any(t in text for t in self.special):
+            return False
+        return not any(c in text for c in ODD_ASCII) and (text.isascii() or max(text) < "\u0250" and not any(c in text for c in ODD_SPACE))
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.quick(text):
+            return np.array(self.core.encode_ordinary(text), self.dtype)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids. A very long text is cut between two letters' words, where a piece always begins."""
+        text = (text or "").encode("utf-8", "replace").decode()
+        out, start = [], 0
+        while len(text) - start > 2 * PART and (cut := BETWEEN_WORDS.search(text, start + PART)):
+            out.append(self.ids(text[start : cut.start() + 1]).tobytes())
+            start = cut.start() + 1
+        out.append(self.ids(text[start:]).tobytes())
+        return out[0] if len(out) == 1 else b"".join(out)
+
+
+def plain_core(spec: dict):
+    """tiktoken's encoder of the same vocabulary, or None where the file is not plain."""
+    model, pieces = spec["model"], spec["pre_tokenizer"] or {}
+    usual = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space")
+    odd = [model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    if spec["normalizer"] or not usual or any(odd):
+        return None
+    byte_of, vocab = {c: b for b, c in enumerate(byte_symbols())}, model["vocab"]
+    pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+    merged = [vocab["".join(p)] for p in pairs]
+    special = {t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i not in special}
+    in_order = merged == list(range(256, 256 + len(merged))) and sorted(vocab[c] for c in byte_of) == list(range(256))
+    if not in_order or len(ranks) != 256 + len(merged):
+        return None
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
 @lru_cache(2)
-def piece_encoder(path: str) -> PieceEncoder:
-    remembers(__name__, piece_encoder.cache_clear)
-    return PieceEncoder(path)
+def whole_text_encoder(path: str) -> WholeTextEncoder:
+    remembers(__name__, whole_text_encoder.cache_clear)
+    return WholeTextEncoder(path)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -209,9 +189,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, *, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serve(__name__)
-        encoder, part = piece_encoder(path), TaskContext.get().partitionId()
+        encoder, part = whole_text_encoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], encoder.dtype).tobytes()
-        seq, first, held, owners, sizes = 0, 0, [], [], []
+        seq, first, held, owners, sizes, waiting = 0, 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), encoder.dtype)
@@ -219,22 +199,24 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, target: str, *, i
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in batches:
-            names, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices([len(t or "") for t in texts], BATCH_BYTES):
-                for name, ids in zip(names[a:b], encoder.encode(texts[a:b])):
-                    held.append(ids + end)
-                    owners.append(name)
-                    sizes.append(len(held[-1]) // encoder.dtype.itemsize)
-                    if sum(sizes[-64:]) >= SEGMENT or len(sizes) % 64 == 0 and sum(sizes) >= SEGMENT:
-                        yield close()
-                        seq, first, held, owners, sizes = seq + 1, first + sum(sizes), [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(encoder.encode(text.as_py()) + end)
+                owners.append(name)
+                sizes.append(len(held[-1]) // encoder.dtype.itemsize)
+                waiting += sizes[-1]
+                if waiting >= SEGMENT:
+                    yield close()
+                    seq, first, held, owners, sizes, waiting = seq + 1, first + waiting, [], [], [], 0
         if owners:
             yield close()
+        give_back()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    dealt.mapInArrow(run, FILES).write.parquet(target)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    order = [F.asc_nulls_first(c) for c in ("doc_id", "hash", "text")]
+    # the hash parts rows of one id, or of none, into several ranges
+    dealt = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(run, FILES).write.parquet(target)
 
 
 def read_token_files(spark, source: str, *, with_ids: bool = False) -> DataFrame:
@@ -253,7 +235,8 @@ def read_token_files(spark, source: str, *, with_ids: bool = False) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 packed = unpack(row["payload"]).tobytes()
                 size = np.array(row["lengths"], np.int64)
                 stop = np.cumsum(size)
@@ -267,7 +250,7 @@ def read_token_files(spark, source: str, *, with_ids: bool = False) -> DataFrame
                 }
                 yield pa.RecordBatch.from_pydict(out | ({"ids": cut} if with_ids else {}), schema=arrow)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    small_batches(spark)
     found = files.select("part", "first", "doc_ids", "lengths", "payload").mapInArrow(run, schema)
     return found.join(F.broadcast(base), "part").select(
         "doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids
