@@ -1,5 +1,11 @@
 """Secret scan: fixed patterns, plus strings that a character Markov model of
-random strings explains better than one of ordinary identifiers.
+random strings explains better than one of ordinary identifiers, words and numbers.
+
+The log-likelihood ratio alone decides on every run of :data:`MIN_CANDIDATE` characters
+or more, letters only and digits only among them, and on what is left of a run beside a
+pattern's span. Its threshold is one a length class, where at most one ordinary held-out
+sample in a thousand passes. Shorter runs hold too little evidence: they are found by
+the patterns or not at all.
 
 Defined cases: a null text counts as empty and has no spans; offsets are code
 points with an exclusive end; added spans never overlap a pattern's span; equal
@@ -9,9 +15,9 @@ texts give equal rows; other columns of the input are passed over.
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +34,13 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
 #: Candidates of the Markov models: runs of so many characters at least.
-MIN_CANDIDATE = 20
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
+MIN_CANDIDATE = 16
+#: Least lengths of the classes that have a threshold each.
+CLASSES = (16, 20, 24, 32, 48)
+#: Share of the ordinary held-out samples that may pass a threshold.
+FALSE_POSITIVES = 0.001
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_CANDIDATE},}}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-PLACE = {c: i for i, c in enumerate(ALPHABET)}
 
 # The stems of ordinary identifiers, from which negative samples are made.
 STEMS = (
@@ -47,27 +56,43 @@ STEMS = (
 ).split()
 
 
-def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+# Syllables of English, German, French and Spanish, from which long words are made.
+SYLLABLES = (
+    "the and ing her hat his tha ere for ent ion ter was you ith ver all wit thi tio er re on an en at es ed st ou ly ness ment able "
+    "der die und ein sch ich ung heit keit lich ver ber ge be auf zu tz pf ach ck isch schaft "
+    "le la que les des est ent eau eux oi ai ou elle aux ment tion eur our ieu ique "
+    "el los las del por con una ar or ado cion que ez oso idad rr ll mente ando ista"
+).split()
+
+
+def ordinary(rng: random.Random, kind: int) -> str:
+    """One ordinary run: an identifier in some style, a long word, or a number."""
+    words = [rng.choice(STEMS) for _ in range(rng.randint(3, 9))]
+    if kind < 6:
+        joined = {0: "_", 1: "-", 2: "", 3: "", 4: "_", 5: "/"}[kind].join(words)
+        text = words[0] + "".join(w.capitalize() for w in words[1:]) if kind == 2 else joined.upper() if kind == 4 else joined
+        return text + (str(rng.randint(0, 2030)) if rng.random() < 0.2 else "")
+    if kind < 9:
+        text = "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(5, 14)))
+        return text.capitalize() if kind == 7 else text.upper() if kind == 8 and rng.random() < 0.3 else text
+    if kind == 9:
+        return "".join(rng.choice("0123456789") for _ in range(rng.randint(MIN_CANDIDATE, 32)))
+    if kind == 10:
+        return "-".join(str(rng.randint(0, 10 ** rng.randint(2, 4))) for _ in range(rng.randint(5, 8)))
+    return rng.choice(ALPHABET[:26] + ALPHABET[52:] + "-_=+/" * 5) * rng.randint(MIN_CANDIDATE, 80)
+
+
+def labelled_samples(n: int = 12_000, seed: int = 7) -> list[tuple[str, int]]:
     """``(text, 1 for random or 0 for ordinary)``, made by a rule from a seed."""
     rng = random.Random(seed)
     hexa, lower = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789"
-    alphabets = [hexa, hexa.upper(), lower, lower.upper(), ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-"]
+    letters = ALPHABET[:52]
+    alphabets = [hexa, hexa.upper(), lower, lower.upper(), ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", letters, letters[:26], letters[26:]]
     out: list[tuple[str, int]] = []
     for i in range(n):
-        a = alphabets[i % len(alphabets)]
-        out.append(("".join(rng.choice(a) for _ in range(rng.randint(MIN_CANDIDATE, 64))), 1))
-        words = [rng.choice(STEMS) for _ in range(rng.randint(3, 8))]
-        style = i % 6
-        text = {
-            0: "_".join(words),
-            1: "-".join(words),
-            2: words[0] + "".join(w.capitalize() for w in words[1:]),
-            3: "".join(words),
-            4: "_".join(words).upper(),
-            5: "/".join(words),
-        }[style]
-        if rng.random() < 0.2:
-            text += str(rng.randint(0, 2030))
+        size = rng.randint(MIN_CANDIDATE, 40) if i % 3 else rng.randint(40, 80)
+        out.append(("".join(rng.choices(alphabets[i % len(alphabets)], k=size)), 1))
+        text = ordinary(rng, i % 12)
         if len(text) >= MIN_CANDIDATE:
             out.append((text, 0))
     return out
@@ -75,41 +100,57 @@ def labelled_samples(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """Log-likelihood ratios of each character after another, and the decision's threshold per character."""
+    """Log-likelihood ratios of each character after another, and the decision's threshold
+    per character, one a length class."""
 
     first: np.ndarray
     steps: np.ndarray
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def score(self, text: str) -> float:
         """Log-likelihood ratio per character; above 0 the random model explains more."""
-        code = np.fromiter((PLACE[c] for c in text), np.int64, len(text))
+        code = CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
         return float(self.first[code[0]] + self.steps[code[:-1], code[1:]].sum()) / len(text)
 
     def is_random(self, text: str) -> bool:
-        return self.score(text) > self.threshold
+        return self.score(text) > self.thresholds[length_class(len(text))]
+
+
+CODE = np.zeros(128, np.int64)
+CODE[list(ALPHABET.encode())] = range(len(ALPHABET))
+
+
+def length_class(size: int) -> int:
+    return max(bisect_right(CLASSES, size) - 1, 0)
 
 
 def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     k = len(ALPHABET)
     first, steps = np.full(k, 0.5), np.full((k, k), 0.1)
     for t in texts:
-        code = [PLACE[c] for c in t]
+        code = CODE[np.frombuffer(t.encode("ascii"), np.uint8)]
         first[code[0]] += 1
         np.add.at(steps, (code[:-1], code[1:]), 1)
     return np.log(first / first.sum()), np.log(steps / steps.sum(1, keepdims=True))
 
 
 def train(samples: list[tuple[str, int]]) -> MarkovPair:
-    """Fit both models on four of five samples and set the threshold on the fifth:
-    halfway between the ordinary samples' 99.5 % and the random samples' 1 % quantile."""
-    fit = [x for i, x in enumerate(samples) if i % 5]
-    held = [x for i, x in enumerate(samples) if not i % 5]
+    """Fit both models on half of the samples and set the thresholds on the other half: in each
+    length class where the share :data:`FALSE_POSITIVES` of the ordinary ones passes, or halfway
+    from there to the random samples' 1 % quantile if that is higher."""
+    fit, held = samples[::2] + samples[1::4], samples[3::4]
     (f1, s1), (f0, s0) = (counts([t for t, y in fit if y == label]) for label in (1, 0))
-    pair = MarkovPair(f1 - f0, s1 - s0, 0.0)
-    score = {label: [pair.score(t) for t, y in held if y == label] for label in (1, 0)}
-    low, high = np.quantile(score[0], 0.995), np.quantile(score[1], 0.01)
-    return MarkovPair(pair.first, pair.steps, float((low + high) / 2))
+    pair = MarkovPair(f1 - f0, s1 - s0, (0.0,) * len(CLASSES))
+    score: dict[tuple[int, int], list[float]] = {}
+    for t, y in held:
+        score.setdefault((y, length_class(len(t))), []).append(pair.score(t))
+    every = [x for (y, _), xs in score.items() if not y for x in xs]
+    thresholds = []
+    for k in range(len(CLASSES)):
+        low = float(np.quantile(score.get((0, k)) or every or [0.0], 1 - FALSE_POSITIVES))
+        high = float(np.quantile(score.get((1, k)) or [low], 0.01))
+        thresholds.append(max(low, (low + high) / 2))
+    return MarkovPair(pair.first, pair.steps, tuple(thresholds))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -126,16 +167,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: MarkovPair) -> list[tuple[str, int, int]]:
-    """Random-looking runs outside the base spans; numbers are none."""
+    """Random-looking runs outside the base spans (sorted by start)."""
     if max(map(len, text.split()), default=0) < MIN_CANDIDATE:
         return []
-    out = []
+    out, i = [], 0
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for _, x, y in base) or m[0].isalpha() and m[0][1:].islower():
-            continue
-        if any(c.isdigit() for c in m[0]) and not m[0].isdigit() and model.is_random(m[0]):
-            out.append(("random", a, b))
+        at, stop = m.span()
+        while i < len(base) and base[i][1] < stop:
+            _, a, b = base[i]
+            if a - at >= MIN_CANDIDATE and model.is_random(text[at:a]):
+                out.append(("random", at, a))
+            at, i = max(at, b), i + 1
+        if stop - at >= MIN_CANDIDATE and model.is_random(text[at:stop]):
+            out.append(("random", at, stop))
     return out
 
 
