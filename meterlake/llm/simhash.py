@@ -178,6 +178,18 @@ def group_labels(f: np.ndarray, home: np.ndarray, threshold: int) -> np.ndarray:
     return label
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """The batches' columns, ``most`` rows or a few more at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= most:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+
 def compare(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Edges of groups (runs of equal ``key`` and ``pair``) in a sorted partition."""
 
@@ -212,10 +224,7 @@ def compare(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) ->
         return pa.RecordBatch.from_arrays([pa.array(c) for c in ends.T], schema=schema)
 
     held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
-        if not len(cols[0]):
-            continue
+    for cols in gathered(batches):
         held.append(cols)
         key, pair = cols[0], cols[1]
         last = np.flatnonzero((key != key[-1]) | (pair != pair[-1]))
@@ -247,7 +256,7 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
         .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other") + 1).alias("pair"), "home", *lanes)
     )
     dealt = few.unionByName(many).repartition("key", "pair").sortWithinPartitions("key", "pair")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    small_batches(spark)
     ends = [f"{side}{k}" for side in "ab" for k in range(plan.lanes)]
     arrow = pa.schema([(c, pa.int64()) for c in ends])
     found = dealt.mapInArrow(lambda batches: compare(batches, plan, arrow), ", ".join(f"{c} bigint" for c in ends))
@@ -352,8 +361,9 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
 
 
-def similar_documents(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
-    """``doc_id``, ``component_id`` (least id of the documents that pairs of the similarity connect)."""
+def similar_rows(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """``doc_id``, ``t`` (hash of the text) and ``least``: the least ``(doc_id, t)`` of the documents
+    that pairs of the similarity connect (rows without an id name none)."""
     lanes = [f"f{k}" for k in range(plan.lanes)]
 
     def run(ids: list, texts_of: list, texts: list) -> dict[str, list]:
@@ -364,16 +374,32 @@ def similar_documents(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     schema = ", ".join(["doc_id bigint, t bigint, mark bigint", *(f"{c} bigint" for c in lanes)])
     prints = stored(map_rows(docs.select("doc_id", text_hash(), "text"), ["doc_id", "t", "text"], run, schema), "fingerprints")
     name = F.concat(hex_of(lanes), hex_of(["mark"])).alias("name")
-    nodes = stored(prints.groupBy(*lanes, "mark").agg(F.min("doc_id").alias("least"), F.min("t").alias("t")).select("*", name), "sets")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
+    nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min("t").alias("t")).select("*", name), "sets")
     groups = components(verified_links(docs, nodes, plan))
     of = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = stored(of.join(ids, "component").select(*lanes, "mark", "component_id"), "found")
-    return prints.join(found, [*lanes, "mark"]).select("doc_id", "component_id")
+    ids = of.groupBy("component").agg(F.min("least").alias("first"))
+    found = stored(of.join(ids, "component").select(*lanes, "mark", "first"), "found")
+    return prints.join(found, [*lanes, "mark"]).select("doc_id", "t", F.col("first").alias("least"))
+
+
+def similar_documents(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
+    """``doc_id``, ``component_id`` (least id of the documents that pairs of the similarity connect)."""
+    return similar_rows(docs, plan).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
-    """The documents with the least id of their group; rows without an id all stay."""
-    found = similar_documents(docs, plan)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    """The document of the least id (then hash of the text) of each group, once; rows without an id all stay.
+
+    Rows with one id and different texts are different documents. Of rows equal in both
+    the one whose columns hash least stays."""
+    found = stored(similar_rows(docs, plan).filter("doc_id is not null"), "groups")
+    gone = stored(found.filter("doc_id <> least.doc_id or t <> least.t").select("doc_id", "t").distinct(), "gone")
+    again = stored(found.filter("doc_id = least.doc_id and t = least.t").groupBy("doc_id", "t").count().filter("count > 1"), "again")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id"), text_hash())
+    left = rows.join(gone, ["doc_id", "t"], "left_anti")
+    if not again.isEmpty():
+        whole = F.struct(*(F.xxhash64(F.col("row").getField(c)) for c in docs.columns))
+        once = left.join(again, ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.min_by("row", whole).alias("row"))
+        left = left.join(again, ["doc_id", "t"], "left_anti").select("row").union(once.select("row"))
+    return left.select("row.*")
