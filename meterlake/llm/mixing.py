@@ -5,12 +5,14 @@ document a posterior over domains. Projected gradient steps (accelerated) then f
 nonnegative document rates, least squares from 1, whose expected domain token totals
 match the targets. Residuals count in units of each domain's own tokens, so that rare
 domains are met as soon and as well as common ones. A step sends two vectors of domain
-totals to the driver; a document's rate follows from its posterior and the steps so far,
-so that nothing is kept between steps and a lost executor costs nothing but its tasks.
+totals to the driver; a document's rate follows from its posterior and the last few steps,
+before which its state is written to the shared folder, so that a lost executor costs
+nothing but its tasks.
 
 Defined cases: a null or empty text has no tokens, takes the prior as posterior and
-weighs nothing; documents without a label are only scored; with no labelled
-document at all every domain is equally likely; no tokens leave every rate at 1.
+weighs nothing; documents without a label are only scored; of clashing labels of one
+document the worst counts (toxic, low, clean); with no labelled document at all every
+domain is equally likely; no tokens leave every rate at 1.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, quoted, remembers, stored
+from .common import map_rows, quoted, remembers, serve, small_batches, stored
 
 #: Domains by label: toxic, else low quality, else clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -32,8 +34,10 @@ DOMAINS = ("clean", "low", "toxic")
 BUCKETS = 1 << 16
 #: Labelled documents that the classifier is fitted on, those of least hashed id.
 SAMPLE = 20_000
-#: Word types that a worker remembers.
-REMEMBERED = 200_000
+#: Word types that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
+#: Steps after which the documents' state is written down.
+REPLAYED = 32
 #: A feature counts as evidence if it stands in so many sampled documents at least, and
 #: in so many standard errors more of some domain's than chance would have it.
 LEAST_DOCUMENTS, LEAST_SURPLUS = 5, 6.0
@@ -73,9 +77,11 @@ class Buckets(dict):
     """Feature of a word, without closing marks; remembered by a worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        found = self[word] = zlib.crc32(word.strip(b".,;:\"'()")) % BUCKETS
+        found = zlib.crc32(word.strip(b".,;:\"'()")) % BUCKETS
+        if len(word) <= LONGEST:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -95,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     """Log-odds of a feature's presence, a row a domain; in the last column the domain's
     log-prior and the log-probability that all features are absent."""
     label = labels.filter("doc_id is not null").select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("domain"))
-    some = label.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    some = label.groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most `sample` rows of two numbers
     taught = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("domain", "text")
 
@@ -132,107 +138,115 @@ def posterior(text: str | None, model: np.ndarray) -> tuple[int, np.ndarray]:
     return len((text or "").split()), e / e.sum()
 
 
-def memberships(docs: DataFrame, model: np.ndarray, *, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id``, ``n_tokens`` and a probability a domain (``p_clean``, ...)."""
+def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """``row`` (the document whole) and ``m``: its ``n_tokens`` and a probability a domain (``p_clean``, ...).
+
+    A struct holds the document's own columns, so that their names cannot clash."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))  # of fixed size
-    names = [f"p_{d}" for d in DOMAINS]
 
-    def run(ids: list, texts: list) -> dict[str, list]:
+    def judge(texts):
+        import pandas as pd
+
+        serve(__name__)
         found = [posterior(t, shared.value) for t in texts]
-        return {"doc_id": ids, "n_tokens": [n for n, _ in found]} | {c: [float(p[k]) for _, p in found] for k, c in enumerate(names)}
+        return pd.DataFrame({"n_tokens": [n for n, _ in found]} | {c: [float(p[k]) for _, p in found] for k, c in enumerate(SHARES)})
 
-    return map_rows(docs, [id_col, "text"], run, ", ".join(["doc_id bigint, n_tokens bigint", *(f"{c} double" for c in names)]))
+    schema = ", ".join(["n_tokens bigint", *(f"{c} double" for c in SHARES)])
+    return docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.pandas_udf(judge, schema)(quoted("text")).alias("m"))
 
 
-def rates_of(p: np.ndarray, history: list[np.ndarray], near_one: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents (rows of posteriors) after the steps so far, and the point of the next step.
+SHARES = tuple(f"p_{d}" for d in DOMAINS)
 
-    ``history``: the residual vectors at the points of the steps. One step divides by
-    1 + near_one, a bound of the curvature, as a document's posterior adds up to 1 and a
-    residual is in units of its domain's mass."""
-    rate, point, t = np.ones(len(p)), np.ones(len(p)), 1.0
+
+def rates_of(p: np.ndarray, state: tuple[np.ndarray, np.ndarray, float], history: list[np.ndarray], near_one: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Rates of documents (rows of posteriors), the point of the next step and its momentum, after ``history``.
+
+    ``state``: the same before the history; ``history``: the residual vectors at the points of the
+    steps. One step divides by 1 + near_one, a bound of the curvature, as a document's posterior
+    adds up to 1 and a residual is in units of its domain's mass."""
+    rate, point, t = state
     for e in history:
         new = np.maximum(0.0, point - (p @ e + near_one * (point - 1)) / (1 + near_one))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         rate, point, t = new, new + (t - 1) / after * (new - rate), after
-    return rate, point
+    return rate, point, t
+
 
+def with_state(members: DataFrame, history: list[np.ndarray], momentum: float, near_one: float) -> DataFrame:
+    """``members`` with ``state`` (``rate``, ``point``) moved on by ``history``."""
 
-def fit(members: DataFrame, targets: Targets, scale: float = 1.0) -> list[np.ndarray]:
-    """The residuals of all steps; ``scale`` times the shares are the targets in units of all tokens.
+    def moved(*columns):
+        import pandas as pd
+
+        p, rate, point = np.stack([np.asarray(x, float) for x in columns[:-2]], 1), *(np.asarray(x, float) for x in columns[-2:])
+        rate, point, _ = rates_of(p, (rate, point, momentum), history, near_one)
+        return pd.DataFrame({"rate": rate, "point": point})
+
+    return members.withColumn("state", F.pandas_udf(moved, "rate double, point double")(*(f"m.{c}" for c in SHARES), "state.rate", "state.point"))
+
+
+def fitted(documents: DataFrame, targets: Targets, scale: float = 1.0) -> DataFrame:
+    """``documents`` (of :func:`scored`, stored) with ``state.rate``; ``scale`` times the shares are
+    the targets in units of all tokens.
 
     The steps end when every domain's total is ``within`` its target, or no longer changes
-    (targets that the posteriors cannot meet, as of a domain without documents)."""
-    names = [f"p_{d}" for d in DOMAINS]
-    masses = members.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(c)) for c in names)).first()
-    history: list[np.ndarray] = []
+    (targets that the posteriors cannot meet, as of a domain without documents). Steps read
+    the numbers alone, not the documents."""
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point")).alias("state")
+    members, momentum = documents.select("row", "m", start), 1.0
+    masses = documents.agg(F.sum("m.n_tokens"), *(F.sum(F.col("m.n_tokens") * F.col(f"m.{c}")) for c in SHARES)).first()
     if not masses[0]:
-        return history
+        return members
     total, mass = masses[0], np.array(masses[1:], float) / masses[0]
     goal = scale * np.array(targets.shares)
     width = 2 * len(DOMAINS)
-    sums = ", ".join(f"s{k} double" for k in range(width))
+    names = [f"s{k}" for k in range(width)]
+    history: list[np.ndarray] = []
     before = None
-    while True:
+    for _ in range(targets.steps + 1):
 
-        def run(batches: Iterator[pa.RecordBatch], done=tuple(history)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], done=tuple(history), momentum=momentum) -> Iterator[pa.RecordBatch]:
             held = np.zeros(width)
             for b in batches:
-                n, *p = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.columns)
+                n, rate, point, *p = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in b.columns)
                 p = np.stack(p, 1)
-                held += np.concatenate([(n * r) @ p for r in rates_of(p, done, targets.near_one)])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=[f"s{k}" for k in range(width)])
+                rate, point, _ = rates_of(p, (rate, point, momentum), done, targets.near_one)
+                held += np.concatenate([(n * r) @ p for r in (rate, point)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=names)
 
-        got = members.select("n_tokens", *names).mapInArrow(run, sums).agg(*(F.sum(f"s{k}") for k in range(width))).first()
+        numbers = members.select("m.n_tokens", "state.rate", "state.point", *(f"m.{c}" for c in SHARES))
+        got = numbers.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*map(F.sum, names)).first()
         at_rate, at_point = np.array(got, float).reshape(2, -1) / total
         met = (np.abs(at_rate - goal) <= targets.within * goal).all()
         still = before is not None and np.abs(at_rate - before).max() < 1e-9
-        if met or still or len(history) >= targets.steps:
-            return history
+        if met or still:
+            break
         before = at_rate
         history.append(np.where(mass > 0, (at_point - goal) / np.where(mass > 0, mass, 1), 0.0))
-
-
-def with_rates(members: DataFrame, history: list[np.ndarray], near_one: float) -> DataFrame:
-    names = [f"p_{d}" for d in DOMAINS]
-
-    def rate(*p):
-        import pandas as pd
-
-        return pd.Series(rates_of(np.stack([np.asarray(x, float) for x in p], 1), history, near_one)[0])
-
-    return members.withColumn("rate", F.pandas_udf(rate, "double")(*names))
+        if len(history) == REPLAYED:
+            members = stored(with_state(members, history, momentum, targets.near_one), "rates")
+            none = np.zeros((0, len(DOMAINS)))
+            momentum, history = rates_of(none, (np.zeros(0), np.zeros(0), momentum), history, targets.near_one)[2], []
+    return with_state(members, history, momentum, targets.near_one)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """``doc_id``, ``n_tokens``, the posterior, and ``rate``: how often the document is to be drawn."""
-    model = train(docs, labels)
-    members = stored(memberships(docs, model), "members")
-    return with_rates(members, fit(members, targets), targets.near_one)
+    texts = docs.select("doc_id", "text")
+    documents = scored(texts, train(texts, labels)).select(F.struct("row.doc_id").alias("row"), "m")
+    return fitted(stored(documents, "members"), targets).select("row.doc_id", "m.*", "state.rate")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: Targets = Targets(shares=(0.97, 0.02, 0.01))) -> DataFrame:
     """The documents, each as often as its rate says; the fraction is drawn by a hash of its id.
 
     The total is as large as the clean documents need to stay at a rate of 1 or more."""
-    spark = docs.sparkSession
-    model = train(docs, labels)
-    members = stored(memberships(docs, model), "members")
-    n, clean = members.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("p_clean"))).first()
+    documents = stored(scored(docs, train(docs.select("doc_id", "text"), labels)), "members")
+    n, clean = documents.agg(F.sum("m.n_tokens"), F.sum(F.col("m.n_tokens") * F.col("m.p_clean"))).first()
     scale = max(1.0, (clean or 0) / (n or 1) / targets.shares[0])
-    history = fit(members, targets, scale)
-    shared = spark.sparkContext.broadcast(model.astype(np.float32))
-    near_one = targets.near_one
-
-    def copies(texts, keys):
-        import pandas as pd
-
-        p = np.stack([posterior(t, shared.value)[1] for t in texts]) if len(texts) else np.zeros((0, len(DOMAINS)))
-        rate = rates_of(p, history, near_one)[0]
-        draw = (keys.to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(11)) / float(1 << 53)
-        return pd.Series((np.floor(rate + 1e-3) + (draw < rate - np.floor(rate + 1e-3))).astype(np.int32))
-
-    count = F.pandas_udf(copies, "int")(F.col("text"), F.xxhash64("doc_id", F.lit("draw")))
-    drawn = docs.withColumn("__copies", count).filter("__copies > 0")
-    columns = [quoted(c) for c in docs.columns]
-    return drawn.select(*columns, F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).select(*columns)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("row.doc_id"), F.lit("draw")), 11) / float(1 << 53)
+    whole = F.floor(F.col("state.rate") + 1e-3)
+    copies = (whole + (draw < F.col("state.rate") - whole).cast("bigint")).alias("copies")
+    drawn = fitted(documents, targets, scale).select("row", copies).filter("copies > 0")
+    return drawn.select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
