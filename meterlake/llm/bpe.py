@@ -26,8 +26,11 @@ from tokenizers import Tokenizer
 
 from .common import map_rows, remembers
 
-#: Entries that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+#: Bytes of words that a worker remembers before it starts anew, and of text that it encodes at once.
+REMEMBERED = 48 << 20
+AT_ONCE = 1 << 20
+#: What an entry of a memory takes besides its key's and value's own bytes.
+ENTRY = 200
 #: Longer fragments are encoded one by one.
 LONG = 64
 #: Marks that close a run of letters and form one word of their own.
@@ -50,6 +53,7 @@ class ForcedBoundaryBPE:
     path: str
     words: dict[bytes, bytes] = field(default_factory=dict)
     parts: dict[bytes, bytes] = field(default_factory=dict)
+    remembered: int = 0
     fragments: dict[tuple[bytes, bool], bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -228,9 +232,9 @@ class ForcedBoundaryBPE:
 
     def remember(self, texts: list[list[bytes]]) -> None:
         """Encode the words of a batch that are not known yet."""
-        for known in (self.words, self.parts):
-            if len(known) > REMEMBERED:
-                known.clear()
+        if self.remembered > REMEMBERED:
+            self.words.clear(), self.parts.clear()
+            self.remembered = 0
         parts = {raw: self.parts_of(raw) for raw in set().union(*texts).difference(self.words)}
         new = list({x for p in parts.values() for x in p if x.__class__ is bytes}.difference(self.parts))
         if new:
@@ -240,6 +244,7 @@ class ForcedBoundaryBPE:
             known = self.fragments
             for w, c in zip(new, cuts):
                 self.parts[w] = known[w, True] if len(c) == 1 else b"".join([*(known[x, False] for x in c[:-1]), known[c[-1], True]])
+                self.remembered += len(w) + len(self.parts[w]) + ENTRY
             known.clear()  # whole words are remembered
         known = self.parts
         for raw, p in parts.items():
@@ -247,6 +252,7 @@ class ForcedBoundaryBPE:
                 self.words[raw] = known[p[0]]
             else:
                 self.words[raw] = b"".join([known[x] if x.__class__ is bytes else x.to_bytes(4, "little") for x in p])
+            self.remembered += len(raw) + len(self.words[raw]) + ENTRY
 
     @staticmethod
     def split_at(text: str, content: str, i: int) -> list[tuple[str, int | None]]:
@@ -290,7 +296,7 @@ def bpe_encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     def run(ids: list, texts: list) -> dict[str, list]:
         return {"doc_id": ids, "ids": encoder(path).encode_batch(texts)}
 
-    return map_rows(docs, [id_col, text_col], run, "doc_id bigint, ids binary")
+    return map_rows(docs, [id_col, text_col], run, "doc_id bigint, ids binary", AT_ONCE)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -300,7 +306,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
         decode = encoder(path).decode
         return {"doc_id": ids, "text": [decode(p or b"") for p in packed]}
 
-    return map_rows(encoded, ["doc_id", "ids"], run, "doc_id bigint, text string")
+    return map_rows(encoded, ["doc_id", "ids"], run, "doc_id bigint, text string", AT_ONCE)
 
 
 def bpe_digests(docs: DataFrame, path: str, *, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,4 +324,4 @@ def bpe_digests(docs: DataFrame, path: str, *, with_ids: bool = False, id_col: s
         return out | ({"ids": packed} if with_ids else {})
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_rows(docs, [id_col, text_col], run, schema + ", ids binary" * with_ids)
+    return map_rows(docs, [id_col, text_col], run, schema + ", ids binary" * with_ids, AT_ONCE)
