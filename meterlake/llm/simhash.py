@@ -13,6 +13,9 @@ distance).
 A share of common shingles (:data:`SIMILAR`) is not decided by the sketch: wider
 fingerprints of the distinct shingles with more blocks only name candidates, and the
 exact Jaccard similarity of the shingle sets decides inside each group of candidates.
+There an anchor is a codeword together with two min-hashes of the shingles, others for
+each block: texts that have nothing in common do not meet however many there are, so
+that an anchor's rows do not grow with the corpus, while its code may be short.
 
 Equal fingerprints are one row before any replication. Anchors with many rows
 are compared in pairs of chunks, each its own task group; nothing is capped. Each
@@ -49,8 +52,8 @@ STEP = 1 << 17
 @dataclass(frozen=True)
 class Plan:
     """Shingle words, 64-bit lanes, bits of a block's code (2**r - 1), blocks' places, threshold,
-    and the Jaccard similarity that decides on candidates (0: the threshold decides; shingles
-    then count as often as they stand in a text)."""
+    the Jaccard similarity that decides on candidates (0: the threshold decides; shingles
+    then count as often as they stand in a text), and the min-hashes of an anchor (0: none)."""
 
     words: int = 3
     lanes: int = 1
@@ -58,14 +61,16 @@ class Plan:
     offsets: tuple[int, ...] = (0, 32)
     threshold: int = 3
     similarity: float = 0.0
+    least: int = 0
 
 
 #: The contract's: exact for 3 differing bits.
 EXACT = Plan()
-#: For five-word shingles and a similarity of 0.8: three lanes, twelve blocks of 15 bits. Pairs
-#: of similarity 0.8 differ in 15 % of the bits (29 of 192, standard deviation 5) on average. They
-#: meet surely in a block with at most 1 difference, and often in one with 2 or 3.
-SIMILAR = Plan(words=5, lanes=3, r=4, offsets=tuple(range(0, 192, 16)), threshold=56, similarity=0.8)
+#: For five-word shingles and a similarity of 0.8: three lanes, ten blocks of 7 bits. Bits of pairs of
+#: similarity 0.8 differ with probability 0.15 (29 of 192, standard deviation 5). Such a pair meets in a
+#: block with probability 0.72 (at most 1 difference) x 0.64 (two equal min-hashes), and in none of ten
+#: with 0.002.
+SIMILAR = Plan(words=5, lanes=3, r=3, offsets=tuple(range(0, 160, 16)), threshold=56, similarity=0.8, least=2)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -111,6 +116,23 @@ def lanes_of(hashes: np.ndarray, plan: Plan) -> list[int]:
     return out
 
 
+def min_hashes(hashes: np.ndarray, plan: Plan) -> list[int]:
+    """For each block a hash of ``plan.least`` min-hashes of the shingles, as signed 64-bit integers."""
+    out = []
+    for block in range(len(plan.offsets)):
+        found = np.uint64(block)
+        for k in range(plan.least):
+            salt = 1000 + block * plan.least + k
+            parts = [mixed(hashes[a : a + STEP], salt).min() for a in range(0, len(hashes), STEP)]
+            found = mixed(np.array([found ^ (min(parts) if parts else np.uint64(0))], np.uint64), 7 + k)[0]
+        out.append(int(found.view(np.int64)))
+    return out
+
+
+def block_names(plan: Plan) -> list[str]:
+    return [f"m{k}" for k in range(len(plan.offsets))] if plan.least else []
+
+
 def fingerprints(docs: DataFrame, plan: Plan = EXACT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and a lane a column (``f0``, ``f1``, ...)."""
     lanes = [f"f{k}" for k in range(plan.lanes)]
@@ -144,7 +166,10 @@ def anchors(plan: Plan) -> Column:
         syndrome = "(" + " | ".join(parity) + ")"
         pairs = f"filter(sequence(0, {n}), i -> i < (i ^ {syndrome}) or ({syndrome} = 0 and i = 0))"
         word = f"{value} ^ {flip('i')} ^ {flip(f'(i ^ {syndrome})')}"
-        blocks.append(f"transform({pairs}, i -> struct(shiftleft({number}L, 40) | ({word}) as key, i = 0 as home))")
+        key = f"shiftleft({number}L, 40) | ({word})"
+        if plan.least:
+            key = f"xxhash64({key}, m{number})"
+        blocks.append(f"transform({pairs}, i -> struct({key} as key, i = 0 as home))")
     return F.expr(f"concat({', '.join(blocks)})")
 
 
@@ -255,7 +280,8 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
         .select("key", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other") + 1).alias("pair"), "home", *lanes)
     )
-    dealt = few.unionByName(many).repartition("key", "pair").sortWithinPartitions("key", "pair")
+    # the least row of a group is that of most other groups of its copies, so that edges repeat each other
+    dealt = few.unionByName(many).repartition("key", "pair").sortWithinPartitions("key", "pair", *lanes)
     small_batches(spark)
     ends = [f"{side}{k}" for side in "ab" for k in range(plan.lanes)]
     arrow = pa.schema([(c, pa.int64()) for c in ends])
@@ -328,7 +354,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     texts, and its fingerprint. Only sets with a candidate are fetched."""
     spark = docs.sparkSession
     lanes = [f"f{k}" for k in range(plan.lanes)]
-    groups = components(links(nodes.select(*lanes).distinct(), plan))
+    groups = components(links(nodes.select(*lanes, *block_names(plan)).distinct(), plan))
     placed = nodes.withColumn("node", hex_of(lanes)).join(groups, "node", "left")
     placed = placed.select("name", "mark", "t", F.coalesce("component", "node").alias("cluster"))
     many = placed.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
@@ -369,13 +395,16 @@ def similar_rows(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     def run(ids: list, texts_of: list, texts: list) -> dict[str, list]:
         sets = [np.unique(shingle_hashes(t, plan.words)) for t in texts]
         found = [lanes_of(x, plan) for x in sets]
-        return {"doc_id": ids, "t": texts_of, "mark": [mark_of(x) for x in sets]} | {c: [f[k] for f in found] for k, c in enumerate(lanes)}
+        least = [min_hashes(x, plan) for x in sets]
+        out = {"doc_id": ids, "t": texts_of, "mark": [mark_of(x) for x in sets]} | {c: [f[k] for f in found] for k, c in enumerate(lanes)}
+        return out | {c: [m[k] for m in least] for k, c in enumerate(block_names(plan))}
 
-    schema = ", ".join(["doc_id bigint, t bigint, mark bigint", *(f"{c} bigint" for c in lanes)])
+    schema = ", ".join(["doc_id bigint, t bigint, mark bigint", *(f"{c} bigint" for c in (*lanes, *block_names(plan)))])
     prints = stored(map_rows(docs.select("doc_id", text_hash(), "text"), ["doc_id", "t", "text"], run, schema), "fingerprints")
     name = F.concat(hex_of(lanes), hex_of(["mark"])).alias("name")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
-    nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min("t").alias("t")).select("*", name), "sets")
+    same = [F.min(c).alias(c) for c in block_names(plan)]  # of one set
+    nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min("t").alias("t"), *same).select("*", name), "sets")
     groups = components(verified_links(docs, nodes, plan))
     of = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     ids = of.groupBy("component").agg(F.min("least").alias("first"))
