@@ -84,6 +84,11 @@ def local_date(instant: Column, zone: Column) -> Column:
     return F.date_format(F.from_utc_timestamp(instant, zone), "yyyy-MM-dd")
 
 
+def local_time(instant: Column, zone: Column) -> Column:
+    """Wall clock of an instant (UTC timestamp) in a zone, to the minute."""
+    return F.date_format(F.from_utc_timestamp(instant, zone), "HH:mm")
+
+
 def wall_to_utc(wall: Column, zone: Column, rounds: int = 3) -> Column:
     """UTC instant of a wall time, by fixed-point steps: in a gap or an overlap the result
     is where the steps lead, which ``to_utc_timestamp`` does not promise."""

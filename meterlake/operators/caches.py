@@ -5,12 +5,14 @@ a repeated or reordered batch leads to the same tables."""
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlake.operators.facts import dedupe_legacy, summarize, sums
-from meterlake.schema import LOGICAL, PHYSICAL, SUMMED, TOKENS
+from meterlake.schema import LOGICAL, PHYSICAL, SUMMED, TOKENS, unused
 
 SUMMARY_MEASURES = SUMMED
 TOTAL_MEASURES = ["total_tokens", "tokens_without_cache_read", "cost_micros", "session_count"]
@@ -18,24 +20,26 @@ TOTAL_MEASURES = ["total_tokens", "tokens_without_cache_read", "cost_micros", "s
 
 def last_of_batch(incoming: DataFrame) -> DataFrame:
     """The last row of a batch for each physical key (by ``ordinal``)."""
-    latest = F.row_number().over(W.partitionBy(*PHYSICAL).orderBy(F.desc("ordinal")))
-    return incoming.withColumn("__n", latest).filter("__n = 1").drop("__n")
+    latest, place = F.row_number().over(W.partitionBy(*PHYSICAL).orderBy(F.desc("ordinal"))), unused(incoming, "place")
+    return incoming.withColumn(place, latest).filter(F.col(place) == 1).drop(place)
 
 
 def changed_rows(incoming: DataFrame, usage: DataFrame) -> DataFrame:
     """Last rows of a batch whose key is new or whose stored hash is null or differs."""
-    known = usage.select(*PHYSICAL, F.col("snapshot_hash").alias("__hash"), F.lit(True).alias("__there"))
+    stored = unused(incoming, "stored")
+    known = usage.select(*PHYSICAL, F.struct("snapshot_hash").alias(stored))
     found = last_of_batch(incoming).join(known, PHYSICAL, "left")
-    return found.filter(F.col("__there").isNull() | F.col("__hash").isNull() | (F.col("__hash") != F.col("snapshot_hash"))).drop("__hash", "__there")
+    old = F.col(f"{stored}.snapshot_hash")
+    return found.filter(old.isNull() | (old != F.col("snapshot_hash"))).drop(stored)
 
 
 def upserted_count(incoming: DataFrame, usage: DataFrame) -> DataFrame:
     """How many rows of a batch take effect if they are applied in order."""
-    known = usage.select(*PHYSICAL, F.col("snapshot_hash").alias("__hash"))
+    known = usage.select(*PHYSICAL, F.col("snapshot_hash").alias("old_hash"))
     order = W.partitionBy(*PHYSICAL).orderBy("ordinal")
-    before = F.coalesce(F.lag("snapshot_hash").over(order), F.col("__hash"))
-    rows = incoming.join(known, PHYSICAL, "left").withColumn("__before", before)
-    effect = F.col("__before").isNull() | (F.col("__before") != F.col("snapshot_hash"))
+    before = F.coalesce(F.lag("snapshot_hash").over(order), F.col("old_hash"))
+    rows = incoming.select(*PHYSICAL, "ordinal", "snapshot_hash").join(known, PHYSICAL, "left").withColumn("before", before)
+    effect = F.col("before").isNull() | (F.col("before") != F.col("snapshot_hash"))
     return rows.agg(F.sum(effect.cast("bigint")).alias("upserted"), F.count("*").alias("received"))
 
 
@@ -77,8 +81,9 @@ def totals_of(summary: DataFrame) -> DataFrame:
 
 def gated(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Rows only while the backfill is in its totals phase or done; no state row shuts the gate."""
-    gate = state.filter("phase = 'totals' or completed_at is not null").select(F.lit(1).alias("__open")).limit(1)
-    return rows.crossJoin(F.broadcast(gate)).drop("__open")  # one row at most
+    mark = unused(rows, "open")
+    gate = state.filter("phase = 'totals' or completed_at is not null").select(F.lit(1).alias(mark)).limit(1)
+    return rows.crossJoin(F.broadcast(gate)).drop(mark)  # one row at most
 
 
 def stale_totals_users(users: DataFrame, summary: DataFrame, totals: DataFrame, state: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def known_hashes(keys: DataFrame, user: str, device: str, usage: DataFrame, summ
     """Stored hashes of a device's keys; withheld where a cache is stale, so that the client sends again."""
     mine = keys.withColumn("user_id", F.lit(user)).select(*LOGICAL).distinct()
     stored = usage.filter((F.col("user_id") == user) & (F.col("device_id") == device) & F.col("snapshot_hash").isNotNull())
-    found = stored.join(F.broadcast(mine), LOGICAL, "left_semi")  # one request's keys
+    found = stored.join(mine, LOGICAL, "left_semi")
     stale = stale_summary_keys(mine, usage, summary)
     behind = stale_totals_users(mine.select("user_id"), summary.filter(F.col("user_id") == user), totals, state)
     return found.join(stale, LOGICAL, "left_anti").join(behind, "user_id", "left_anti").select("source", "usage_date", "model", "snapshot_hash")
@@ -148,14 +153,27 @@ def invalid_reasons(sources: tuple[str, ...]):
     return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())), lambda x: x.isNotNull())
 
 
+def zone_names(spark) -> DataFrame:
+    """The time zones that are known: some 600 names (``zone``)."""
+    return spark.createDataFrame([(z,) for z in sorted(available_timezones())], "zone string")
+
+
 def validated(snapshots: DataFrame, zones: DataFrame | None, sources: tuple[str, ...]) -> DataFrame:
     """Snapshots with ``reasons``; a zone that the dimension does not hold is one of them."""
     rows = snapshots.withColumn("reasons", invalid_reasons(sources))
     if zones is None:
         return rows
-    known = F.broadcast(zones.select(F.col("zone").alias("timezone"), F.lit(True).alias("__zone")).distinct())  # some 600 zone names
-    wrong = F.when(F.col("__zone").isNull(), F.array(F.lit("zone"))).otherwise(F.array().cast("array<string>"))
-    return rows.join(known, "timezone", "left").withColumn("reasons", F.concat("reasons", wrong)).drop("__zone")
+    mark = unused(rows, "known_zone")
+    known = F.broadcast(zones.select(F.col("zone").alias("timezone"), F.lit(True).alias(mark)).distinct())  # some 600 zone names
+    wrong = F.when(F.col(mark).isNull(), F.array(F.lit("zone"))).otherwise(F.array().cast("array<string>"))
+    return rows.join(known, "timezone", "left").withColumn("reasons", F.concat("reasons", wrong)).drop(mark)
+
+
+def accepted(snapshots: DataFrame, zones: DataFrame | None, sources: tuple[str, ...]) -> DataFrame:
+    """The snapshots of a request all of whose rows are valid; one bad row fails the whole request."""
+    rows = validated(snapshots, zones, sources)
+    failed = F.raise_error(F.concat(F.lit("invalid snapshot: "), F.array_join("reasons", ", "))).cast("boolean")
+    return rows.filter(F.when(F.size("reasons") > 0, failed).otherwise(F.lit(True))).select(*snapshots.columns)
 
 
 def snapshot_text():

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterlake.schema import unused
+
 COUNTERS = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens"]
 TOLERANCE = 1e-6
 
@@ -17,15 +19,23 @@ TOLERANCE = 1e-6
 def apportion(rows: DataFrame, keys: list[str], order: list[str], total: Column, weight: Column, name: str) -> DataFrame:
     """Whole shares of ``total`` by weight within ``keys``; the last slot takes the rest; no weight at all splits evenly."""
     group, running = W.partitionBy(*keys), W.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumns({"__total": total, "__weight": weight})
-    rows = rows.withColumns({"__sum": F.sum("__weight").over(group), "__n": F.count("*").over(group), "__i": F.row_number().over(running)})
-    share = F.floor(F.col("__total") * (F.col("__weight") / F.when(F.col("__sum") != 0, F.col("__sum"))))
-    rows = rows.withColumn("__share", share)
-    before = F.coalesce(F.sum("__share").over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = F.floor(F.col("__total") / F.col("__n"))
-    even = base + F.when(F.col("__i") <= F.col("__total") - base * F.col("__n"), 1).otherwise(0)
-    value = F.when(F.col("__sum") == 0, even).when(F.col("__i") == F.col("__n"), F.col("__total") - before).otherwise(F.col("__share"))
-    return rows.withColumn(name, value.cast("bigint")).drop("__total", "__weight", "__sum", "__n", "__i", "__share")
+    whole, n, i = F.sum(weight).over(group), F.count("*").over(group), F.row_number().over(running)
+    share = F.floor(total * (weight / F.when(whole != 0, whole)))
+    held = unused(rows, f"{name}_parts")
+    rows = rows.withColumn(held, F.struct(total.alias("total"), whole.alias("sum"), n.alias("n"), i.alias("i"), share.alias("share")))
+    x = lambda c: F.col(f"{held}.{c}")
+    before = F.coalesce(F.sum(x("share")).over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = F.floor(x("total") / x("n"))
+    even = base + F.when(x("i") <= x("total") - base * x("n"), 1).otherwise(0)
+    value = F.when(x("sum") == 0, even).when(x("i") == x("n"), x("total") - before).otherwise(x("share"))
+    return rows.withColumn(name, value.cast("bigint")).drop(held)
+
+
+def nonnegative(left: Column, right: Column, what: str) -> Column:
+    """``left - right``; slightly below zero is zero, and further below an error."""
+    less = left - right
+    failed = F.raise_error(F.lit(f"the correction exceeds {what}")).cast("bigint")
+    return F.when(less < -TOLERANCE, failed).otherwise(F.greatest(less, F.lit(0)))
 
 
 def child_usage(records: DataFrame, children: DataFrame) -> DataFrame:
@@ -35,7 +45,8 @@ def child_usage(records: DataFrame, children: DataFrame) -> DataFrame:
     ``children``: session_id, started_at (text)."""
     after = records.join(children, "session_id").filter(F.col("ts") >= F.col("started_at"))
     first = F.row_number().over(W.partitionBy("session_id", "cumulative").orderBy("line_no"))
-    own = after.withColumn("__n", first).filter("__n = 1")
+    place = unused(after, "place")
+    own = after.withColumn(place, first).filter(F.col(place) == 1)
     return own.groupBy("session_id", "usage_date").agg(*(F.sum(c).alias(c) for c in COUNTERS))
 
 
@@ -49,7 +60,7 @@ def corrections(sessions: DataFrame, usage: DataFrame) -> DataFrame:
     child = usage.withColumn("c_total", F.sum("total_tokens").over(whole))
     # corrected day: input without cached, no cache creation
     day = child.select(
-        "session_id", "usage_date", "c_total", (F.col("input_tokens") - F.col("cache_read_tokens")).alias("d_input_tokens"), F.col("output_tokens").alias("d_output_tokens"),
+        "session_id", "usage_date", "c_total", nonnegative(F.col("input_tokens"), F.col("cache_read_tokens"), "a child's input").alias("d_input_tokens"), F.col("output_tokens").alias("d_output_tokens"),
         F.lit(0).cast("bigint").alias("d_cache_creation_tokens"), F.col("cache_read_tokens").alias("d_cache_read_tokens"), F.col("total_tokens").alias("d_total_tokens"),
     )
     grid = reported.join(day, "session_id").filter("c_total > 0 and c_total <= o_total")
@@ -66,7 +77,7 @@ def corrections(sessions: DataFrame, usage: DataFrame) -> DataFrame:
     fits = F.col("p_cost") - F.col("q_cost") >= -TOLERANCE * 1e6
     for c in COUNTERS:
         fits = fits & (F.col(f"p_{c}") - F.col(f"q_{c}") >= 0)
-    grid = grid.withColumn("__fits", F.min(fits.cast("int")).over(whole)).filter("__fits = 1")
+    grid = grid.withColumn("fits", F.min(fits.cast("int")).over(whole)).filter("fits = 1")
     taken = [F.sum(F.greatest(F.col(f"p_{c}") - F.col(f"q_{c}"), F.lit(0))).alias(c) for c in COUNTERS]
     return grid.groupBy("usage_date", "model").agg(*taken, F.sum(F.greatest(F.col("p_cost") - F.col("q_cost"), F.lit(0.0))).alias("cost_micros"))
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meterlake.functions.scalars import next_run
+from meterlake.schema import unused
 
 # Minutes before the second and third attempt, and the attempts.
 RETRY_MINUTES = (5, 30)
@@ -39,7 +45,8 @@ def new_deliveries(log: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates whose (subscription, date, slot) has no successful daily delivery; one of equals by ordinal."""
     done = log.filter("status = 'success' and kind = 'daily'").select("subscription_id", "report_date", "slot").distinct()
     first = F.row_number().over(W.partitionBy("subscription_id", "report_date", "slot").orderBy("ordinal"))
-    rows = candidates.withColumn("__n", first).filter("__n = 1 or status <> 'success' or kind <> 'daily'").drop("__n")
+    place = unused(candidates, "place")
+    rows = candidates.withColumn(place, first).filter((F.col(place) == 1) | (F.col("status") != "success") | (F.col("kind") != "daily")).drop(place)
     daily = (F.col("status") == "success") & (F.col("kind") == "daily")
     return rows.filter(~daily).unionByName(rows.filter(daily).join(done, ["subscription_id", "report_date", "slot"], "left_anti").select(*rows.columns))
 
@@ -58,23 +65,35 @@ def after_attempt(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def run_counts(rows: DataFrame) -> DataFrame:
-    count = lambda s: F.count_if(F.col("outcome") == s).alias(s)
-    return rows.agg(F.count("*").alias("checked"), count("sent"), count("failed"), count("skipped"))
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return rows.agg(F.count("*").alias("checked"), count("success").alias("sent"), count("failure").alias("failed"), count("skipped"))
 
 
 def rate_limited(requests: DataFrame, maximum: int, window_seconds: int) -> DataFrame:
     """Fixed windows a key: the first request opens one, the first at or after its end the next.
 
     Requests are ``key``, ``at`` (epoch seconds), ``id``. A window's start depends on the one before, so a
-    key's times are folded in order; only requests of one key meet in a task, and the fold keeps two numbers."""
-    times = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"))
-    start = F.struct(F.lit(None).cast("bigint").alias("open"), F.array().cast("array<struct<id:bigint,open:bigint>>").alias("out"))
-
-    def step(acc, x):
-        opened = F.when(acc["open"].isNull() | (x["at"] >= acc["open"] + window_seconds), x["at"]).otherwise(acc["open"])
-        return F.struct(opened.alias("open"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), opened.alias("open")))).alias("out"))
-
-    opened = times.select("key", F.explode(F.aggregate("r", start, step)["out"]).alias("o")).select("key", "o.id", "o.open")
-    order = W.partitionBy("key", "open").orderBy("id")
-    rows = opened.withColumn("count", F.least(F.row_number().over(order), F.lit(maximum + 1)))
-    return rows.select("key", "id", (F.col("open") + window_seconds).alias("reset_at"), (F.col("count") <= maximum).alias("allowed"), F.greatest(F.lit(maximum) - F.col("count"), F.lit(0)).cast("bigint").alias("remaining"))
+    key's requests pass one task in order of time; it holds two numbers, and works by windows, not by requests."""
+    rows = requests.select("key", "at", "id").repartition("key").sortWithinPartitions("key", "at", "id")
+    names = pa.schema([("key", pa.string()), ("id", pa.int64()), ("reset_at", pa.int64()), ("allowed", pa.bool_()), ("remaining", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened, seen = None, 0, 0
+        for batch in batches:
+            keys, at = batch.column(0), batch.column(1).to_numpy()
+            n = len(at)
+            if not n:
+                continue
+            ends = pc.run_end_encode(keys)
+            opens, counts, start = np.empty(n, np.int64), np.empty(n, np.int64), 0
+            for key, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                while start < end:
+                    if key != last or at[start] >= opened + window_seconds:
+                        last, opened, seen = key, int(at[start]), 0
+                    stop = start + int(np.searchsorted(at[start:end], opened + window_seconds))
+                    opens[start:stop] = opened
+                    counts[start:stop] = seen + np.arange(1, stop - start + 1)
+                    seen, start = seen + stop - start, stop
+            yield pa.RecordBatch.from_arrays([keys, batch.column(2), pa.array(opens + window_seconds), pa.array(counts <= maximum), pa.array(np.maximum(maximum - counts, 0))], schema=names)
+
+    return rows.mapInArrow(run, "key string, id bigint, reset_at bigint, allowed boolean, remaining bigint")

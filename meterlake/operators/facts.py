@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlake.schema import LEGACY, LOGICAL, SUMMED, TOKENS
+from meterlake.schema import LEGACY, LOGICAL, SUMMED, TOKENS, unused
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,8 @@ def dedupe_legacy(usage: DataFrame) -> DataFrame:
 
     One pass: the flag is a window maximum over the logical key, through whose columns
     predicates of a scope are pushed to the scan. A key's rows are as many as a user's devices."""
-    named = F.max((F.col("device_id") != LEGACY).cast("int")).over(W.partitionBy(*LOGICAL))
-    return usage.withColumn("__named", named).filter((F.col("device_id") != LEGACY) | (F.col("__named") == 0)).drop("__named")
+    named, mark = F.max((F.col("device_id") != LEGACY).cast("int")).over(W.partitionBy(*LOGICAL)), unused(usage, "named")
+    return usage.withColumn(mark, named).filter((F.col("device_id") != LEGACY) | (F.col(mark) == 0)).drop(mark)
 
 
 def dedupe_legacy_anti(usage: DataFrame) -> DataFrame:

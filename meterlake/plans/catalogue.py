@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,31 +11,11 @@ from meterlake.functions.scalars import local_date, next_run, report_date, sched
 from meterlake.operators import caches, correction, delivery, facts
 from meterlake.operators.facts import Scope
 from meterlake.plans import serving
+from meterlake.plans.registry import END, MONTH, ORACLE, QUERIES, START, TODAY, USER, query, tables  # noqa: F401
 from meterlake.schema import LOGICAL, SOURCES
 from meterlake.sources import reports, session_logs
 from meterlake.sources.facade import ctes, view
 
-TODAY, MONTH, USER, START, END = "2024-01-20", "2024-01-01", "u7", "2024-01-10", "2024-02-05"
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if oracle:
-            ORACLE[name] = oracle.strip()
-        return fn
-
-    return add
-
-
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [view(spark, sf_dir, n) for n in names]
-
-
 def done(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("completed", "2024-01-21T00:00:00.000Z")], "phase string, completed_at string")
 
@@ -65,7 +45,7 @@ def json_list(key: str, rows: str, limit: int | None = None) -> str:
 
 # -- facts ---------------------------------------------------------------------------
 
-for _name, _fn in (("dedupe_legacy", facts.dedupe_legacy), ("dedupe_legacy_window", facts.dedupe_legacy), ("dedupe_legacy_anti", facts.dedupe_legacy_anti)):
+for _name, _fn in (("dedupe_legacy", facts.dedupe_legacy), ("dedupe_legacy_anti", facts.dedupe_legacy_anti)):
     query(_name, ctes("deduped") + " SELECT * FROM deduped")(lambda spark, d, fn=_fn: fn(view(spark, d, "usage")))
 
 
@@ -161,34 +141,77 @@ def _(spark, d):
     return serving.details_models(serving.details_base(view(spark, d, "usage"), USER, END, START, source="codex", model=" EL_B "))
 
 
-@query("details_range_summary", _details() + f", g AS (SELECT usage_date, {_ALL}, {SUM3} FROM b GROUP BY 1), h AS (SELECT CAST(COUNT(CASE WHEN total_tokens > 0 THEN 1 END) AS BIGINT) AS active_days, CAST(COALESCE(SUM(session_count), 0) AS BIGINT) AS session_count, {SUM3} FROM g) SELECT total_tokens, tokens_without_cache_read, {rate()} AS cache_rate, CAST(cost_micros AS DOUBLE) / 1000000.0 AS cost_usd, session_count, active_days FROM h")
+_DAYS = (
+    _details() + f""", ms AS (SELECT usage_date, source, model, {_ALL}, {SUM3} FROM b GROUP BY 1, 2, 3),
+    ss AS (SELECT usage_date, source, CAST(SUM(session_count) AS BIGINT) AS session_count, {SUM3} FROM ms GROUP BY 1, 2),
+    dd AS (SELECT usage_date, CAST(SUM(session_count) AS BIGINT) AS session_count, {SUM3}, list_reduce(list_prepend(0.0::DOUBLE, list(CAST(cost_micros AS DOUBLE) / 1000000.0 ORDER BY source)), lambda a, c: floor((a + c) * 10000 + 0.5) / 10000) AS cost_usd FROM ss GROUP BY 1),
+    cal AS (SELECT CAST(CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS STRING) AS usage_date)"""
+)
+
+
+@query(
+    "details_range_summary",
+    _DAYS + f""", h AS (SELECT CAST(COUNT(CASE WHEN total_tokens > 0 THEN 1 END) AS BIGINT) AS active_days, CAST(COALESCE(SUM(session_count), 0) AS BIGINT) AS session_count, COALESCE(SUM(cost_usd), 0) AS cost,
+      CAST(COALESCE(SUM(total_tokens), 0) AS BIGINT) AS total_tokens, CAST(COALESCE(SUM(tokens_without_cache_read), 0) AS BIGINT) AS tokens_without_cache_read FROM dd)
+    SELECT total_tokens, tokens_without_cache_read, {rate()} AS cache_rate, floor(cost * 10000 + 0.5) / 10000 AS cost_usd, session_count, active_days FROM h""",
+)
 def _(spark, d):
     return serving.details_range_summary(serving.details_base(view(spark, d, "usage"), USER, START, END))
 
 
 @query(
     "details_days_nested",
-    _details() + f""", by_model AS (SELECT usage_date, source, model, CAST(SUM(total_tokens) AS BIGINT) AS t, CAST(SUM(session_count) AS BIGINT) AS n FROM b GROUP BY 1, 2, 3),
-    by_source AS (SELECT usage_date, string_agg(source || '=' || t, ';' ORDER BY source) AS sources FROM (SELECT usage_date, source, CAST(SUM(t) AS BIGINT) AS t FROM by_model GROUP BY 1, 2) GROUP BY 1),
-    m AS (SELECT usage_date, CAST(SUM(t) AS BIGINT) AS t, CAST(SUM(n) AS BIGINT) AS n, string_agg(source || '/' || model || '=' || t, ';' ORDER BY t DESC, model, source) AS models FROM by_model GROUP BY 1),
-    s AS (SELECT CAST(CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS STRING) AS usage_date)
-    SELECT s.usage_date, COALESCE(m.t, 0) AS total_tokens, COALESCE(m.n, 0) AS session_count, COALESCE(sources, '') AS sources, COALESCE(models, '') AS models
-    FROM s LEFT JOIN m ON s.usage_date = m.usage_date LEFT JOIN by_source b2 ON b2.usage_date = s.usage_date""",
-)
+    _DAYS + f""" SELECT usage_date, COALESCE(total_tokens, 0) AS total_tokens, COALESCE(tokens_without_cache_read, 0) AS tokens_without_cache_read, COALESCE(session_count, 0) AS session_count,
+      COALESCE({rate()}, 0.0) AS cache_rate, COALESCE(cost_usd, 0.0) AS cost_usd, (SELECT COUNT(*) FROM ss WHERE ss.usage_date = cal.usage_date) AS n_sources, (SELECT COUNT(*) FROM ms WHERE ms.usage_date = cal.usage_date) AS n_models
+    FROM cal LEFT JOIN dd USING (usage_date)""",
+)
+def _(spark, d):
+    found = serving.details_days(serving.details_base(view(spark, d, "usage"), USER, START, END), START, END)
+    return found.withColumns({f"n_{c}": F.size(c).cast("bigint") for c in ("sources", "models")}).drop("sources", "models")
+
+
+@query("details_day_sources", _DAYS + f" SELECT usage_date, CAST(row_number() OVER (PARTITION BY usage_date ORDER BY source) - 1 AS INT) AS position, source, total_tokens, tokens_without_cache_read, {rate()} AS cache_rate FROM ss")
 def _(spark, d):
-    return serving.details_days_nested(serving.details_base(view(spark, d, "usage"), USER, START, END), START, END)
+    return serving.details_day_sources(serving.details_base(view(spark, d, "usage"), USER, START, END), START, END)
 
 
 @query(
-    "details_csv",
-    _details() + f", m AS ({_MODELS}) SELECT CAST(0 AS INT) AS position, '{serving.CSV_HEADER}' AS line UNION ALL SELECT CAST(row_number() OVER (ORDER BY usage_date DESC, total_tokens DESC, model, source) AS INT), "
-    "concat_ws(',', usage_date, source, model, CAST(input_tokens AS STRING), CAST(output_tokens AS STRING), CAST(cache_creation_tokens AS STRING), CAST(cache_read_tokens AS STRING), CAST(total_tokens AS STRING), "
-    "CAST(tokens_without_cache_read AS STRING), CAST(CAST(floor(cache_rate * 10000 + 0.5) AS BIGINT) AS STRING), CAST(CAST(floor(cost_usd * 100 + 0.5) AS BIGINT) AS STRING), CAST(session_count AS STRING)) FROM m",
+    "details_day_models",
+    _DAYS + f""" SELECT usage_date, CAST(row_number() OVER (PARTITION BY usage_date ORDER BY total_tokens DESC, model, source) - 1 AS INT) AS position, model, source, input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, total_tokens,
+      tokens_without_cache_read, session_count, {rate()} AS cache_rate, CAST(cost_micros AS DOUBLE) / 1000000.0 AS cost_usd FROM ms""",
 )
+def _(spark, d):
+    return serving.details_day_models(serving.details_base(view(spark, d, "usage"), USER, START, END), START, END)
+
+
+_FILTERED = ctes("deduped") + f", b AS (SELECT *, total_tokens - cache_read_tokens AS tokens_without_cache_read FROM deduped WHERE user_id = '{USER}' AND usage_date BETWEEN '2024-01-02' AND '2024-01-31')"
+
+
+@query("details_default_filters", _FILTERED + _MODELS)
+def _(spark, d):
+    """No dates, an unknown source, a blank device and model: the last 30 days of everything."""
+    filters = serving.parse_filters({"source": "other", "start": "1/2/2024", "device": " ", "model": "  "}, date(2024, 1, 31))
+    return serving.details_models(serving.details_base(view(spark, d, "usage"), USER, **filters))
+
+
+_NUMBER = "CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING) ELSE CAST({x} AS STRING) END"
+_LINES = (
+    _details() + f", m AS ({_MODELS}), l AS (SELECT CAST(0 AS INT) AS position, 'date,source,model,input_tokens,output_tokens,cache_creation_tokens,cache_read_tokens,cache_read_rate,total_tokens_without_cache_read,total_tokens,cost_usd,session_count' AS line "
+    "UNION ALL SELECT CAST(row_number() OVER (ORDER BY usage_date DESC, total_tokens DESC, model, source) AS INT), concat_ws(',', usage_date, source, model, CAST(input_tokens AS STRING), CAST(output_tokens AS STRING), CAST(cache_creation_tokens AS STRING), CAST(cache_read_tokens AS STRING), "
+    f"{_NUMBER.replace('{x}', 'cache_rate')}, CAST(tokens_without_cache_read AS STRING), CAST(total_tokens AS STRING), {_NUMBER.replace('{x}', 'cost_usd')}, CAST(session_count AS STRING)) FROM m)"
+)
+
+
+@query("details_csv", _LINES + " SELECT * FROM l")
 def _(spark, d):
     return serving.details_csv_rows(serving.details_models(serving.details_base(view(spark, d, "usage"), USER, START, END)))
 
 
+@query("details_csv_document", _LINES + " SELECT string_agg(line, chr(10) ORDER BY position) AS document FROM l")
+def _(spark, d):
+    return serving.details_csv_document(serving.details_models(serving.details_base(view(spark, d, "usage"), USER, START, END)))
+
+
 def _board(where: str, first: str, then: str) -> str:
     return (
         ctes("deduped", "summary", "profiles") + ",\n" + EFFECTIVE
@@ -243,9 +266,38 @@ def _(spark, d):
     return serving.subject_version(*tables(spark, d, "profiles", "summary", "totals"))
 
 
-@query("public_profile")
+def _profile(user: str) -> str:
+    """The figures of :func:`_public` beside the profile's columns."""
+    parts = [f"{p}_total_tokens AS {p}_tokens, {p}_tokens_without_cache_read AS {p}_net, {rate(p + '_')} AS {p}_rate, CAST({p}_cost_micros AS DOUBLE) / 1000000.0 AS {p}_cost" for p in ("lifetime", "today", "month")]
+    return _public(user, True).replace("SELECT user_id, lifetime_total_tokens", f"SELECT {', '.join(parts)}, user_id, lifetime_total_tokens")
+
+
+_FIGURES = ", ".join(f"{p}_{c}" for p in ("lifetime", "today", "month") for c in ("tokens", "net", "rate", "cost"))
+
+
+def _with_profile(slug: str, user: str, columns: str) -> str:
+    return f"SELECT {columns} FROM ({_profile(user)}) f JOIN ({ctes('profiles')} SELECT user_id, slug, display_name, timezone FROM profiles WHERE slug = '{slug}' AND is_public) p ON p.user_id = f.user_id"
+
+
+for _name, _slug, _user in (("public_profile", "user-7", "u7"), ("public_profile_fresh", "user-8", "u8"), ("public_profile_private", "user-5", "u5")):
+
+    @query(_name, _with_profile(_slug, _user, f"slug, display_name, timezone, {_FIGURES}, source_split, top_models"))
+    def _(spark, d, slug=_slug):
+        found = serving.public_profile(*tables(spark, d, "profiles", "usage", "summary", "totals"), slug, TODAY)
+        figures = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("lifetime", "today", "month") for c in ("tokens", "net", "rate", "cost")]
+        return found.select("slug", "display_name", "timezone", *figures, "source_split", "top_models")
+
+
+def _object(p: str) -> str:
+    return f"json_object('tokens', {p}_tokens, 'tokensWithoutCacheRead', {p}_net, 'cacheReadRate', {p}_rate, 'costUsd', {p}_cost)"
+
+
+@query(
+    "public_document",
+    _with_profile("user-7", "u7", f"slug, CAST(json_object('slug', slug, 'displayName', display_name, 'timezone', timezone, 'total', {_object('lifetime')}, 'today', {_object('today')}, 'month', {_object('month')}, 'sourceSplit', CAST(source_split AS JSON), 'topModels', CAST(top_models AS JSON)) AS STRING) AS document"),
+)
 def _(spark, d):
-    return serving.public_profile(*tables(spark, d, "profiles", "usage", "summary", "totals"), "user-7", TODAY)
+    return serving.public_document(serving.public_profile(*tables(spark, d, "profiles", "usage", "summary", "totals"), "user-7", TODAY))
 
 
 @query(
@@ -358,14 +410,31 @@ def _(spark, d):
     return caches.missing_keys(expected, usage.filter("user_id = 'u4'").select("source", "usage_date", "model").distinct())
 
 
-@query(
-    "snapshot_validation",
-    ctes("incoming") + " SELECT user_id, device_id, source, usage_date, model, ordinal, concat_ws(',', CASE WHEN length(model) > 7 THEN 'model_length' END, CASE WHEN cache_read_tokens > total_tokens THEN 'cache_read' END) AS reasons FROM (SELECT * REPLACE (CASE WHEN session_count % 2 = 0 THEN total_tokens ELSE 0 END AS total_tokens) FROM incoming)",
-)
+#: A snapshot an event, whose number modulo 14 says which rule it breaks.
+_CANDIDATES = """SELECT event_id, event_id % 14 AS k, CASE event_id % 14 WHEN 1 THEN 'other' ELSE 'codex' END AS source, CASE event_id % 14 WHEN 2 THEN '2024-1-5' ELSE '2024-01-05' END AS usage_date,
+  CASE event_id % 14 WHEN 3 THEN repeat('m', 161) WHEN 13 THEN '' ELSE 'm' END AS model, CASE event_id % 14 WHEN 4 THEN repeat('z', 81) WHEN 5 THEN 'Mars/Base' ELSE 'UTC' END AS timezone,
+  CAST(CASE event_id % 14 WHEN 6 THEN -1 ELSE 1 END AS BIGINT) AS input_tokens, CAST(CASE event_id % 14 WHEN 7 THEN -1 ELSE 1 END AS BIGINT) AS output_tokens, CAST(CASE event_id % 14 WHEN 8 THEN -1 ELSE 1 END AS BIGINT) AS cache_creation_tokens,
+  CAST(CASE event_id % 14 WHEN 9 THEN 9 ELSE 1 END AS BIGINT) AS cache_read_tokens, CAST(CASE event_id % 14 WHEN 10 THEN -1 ELSE 5 END AS BIGINT) AS total_tokens, CAST(CASE event_id % 14 WHEN 11 THEN -1 ELSE 0 END AS BIGINT) AS cost_micros,
+  CAST(CASE event_id % 14 WHEN 12 THEN -1 ELSE 0 END AS BIGINT) AS session_count FROM events"""
+_BROKEN = ["", "source", "usage_date", "model", "timezone,zone", "zone", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read", "cache_read,total_tokens", "cost", "sessions", "model"]
+
+
+@query("snapshot_validation", f"SELECT event_id, {_BROKEN}[event_id % 14 + 1] AS reasons FROM events")
 def _(spark, d):
-    rows = view(spark, d, "incoming").withColumn("total_tokens", F.when(F.col("session_count") % 2 == 0, F.col("total_tokens")).otherwise(F.lit(0).cast("bigint")))
-    found = caches.validated(rows, None, SOURCES)
-    return found.select("user_id", "device_id", "source", "usage_date", "model", "ordinal", F.array_join("reasons", ",").alias("reasons"))
+    rows = _sql(spark, d, _CANDIDATES)
+    return caches.validated(rows, caches.zone_names(spark), SOURCES).select("event_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("snapshot_accepted", "SELECT event_id FROM events WHERE event_id % 14 = 0")
+def _(spark, d):
+    """The rows of a request all of whose snapshots are valid."""
+    return caches.accepted(_sql(spark, d, _CANDIDATES).filter("k = 0"), caches.zone_names(spark), SOURCES).select("event_id")
+
+
+@query("upload_filter", ctes("usage", "incoming") + " SELECT i.source, i.usage_date, i.model, i.snapshot_hash, i.ordinal FROM incoming i WHERE i.user_id = 'u7' AND NOT EXISTS (SELECT 1 FROM usage u WHERE u.user_id = 'u7' AND u.source = i.source AND u.usage_date = i.usage_date AND u.model = i.model AND u.snapshot_hash = i.snapshot_hash)")
+def _(spark, d):
+    rows = view(spark, d, "incoming").filter("user_id = 'u7'").select("source", "usage_date", "model", "snapshot_hash", "ordinal")
+    return caches.filter_changed(rows, view(spark, d, "usage").filter("user_id = 'u7'"))
 
 
 @query(
@@ -380,12 +449,13 @@ def _(spark, d):
 # -- sources -------------------------------------------------------------------------
 
 _PARSED = ctes("logs") + """, j AS (SELECT *, TRY_CAST(value AS JSON) AS doc FROM logs),
-  r AS (SELECT kind, session_id, doc IS NULL AS bad, CASE WHEN kind = 'A' THEN doc->'$.payload.info.last_token_usage' ELSE doc->'$.message.usage' END AS u, CASE WHEN kind = 'A' THEN doc->>'$.payload.info.model' ELSE doc->>'$.message.model' END AS model, substr(doc->>'$.timestamp', 1, 10) AS usage_date FROM j),
-  n AS (SELECT *, CAST(u->>'$.input_tokens' AS BIGINT) AS i, CAST(u->>'$.output_tokens' AS BIGINT) AS o, COALESCE(CAST(u->>'$.cache_creation_input_tokens' AS BIGINT), 0) AS cc, COALESCE(CAST(u->>'$.cache_read_input_tokens' AS BIGINT), CAST(u->>'$.cached_input_tokens' AS BIGINT)) AS cr FROM r WHERE u IS NOT NULL)"""
+  r AS (SELECT kind, session_id, doc IS NULL AS bad, CASE WHEN kind = 'A' THEN doc->'$.payload.info.last_token_usage' ELSE doc->'$.message.usage' END AS u, CASE WHEN kind = 'A' THEN doc->>'$.payload.info.model' ELSE doc->>'$.message.model' END AS model, substr(doc->>'$.timestamp', 1, 10) AS usage_date, CAST(doc->>'$.costUSD' AS DOUBLE) AS own FROM j),
+  n AS (SELECT *, CAST(u->>'$.input_tokens' AS BIGINT) AS i, CAST(u->>'$.output_tokens' AS BIGINT) AS o, COALESCE(CAST(u->>'$.cache_creation_input_tokens' AS BIGINT), 0) AS cc, COALESCE(CAST(u->>'$.cache_read_input_tokens' AS BIGINT), CAST(u->>'$.cached_input_tokens' AS BIGINT)) AS cr,
+    COALESCE(CAST(u->>'$.cost_usd' AS DOUBLE), CAST(u->>'$.total_cost' AS DOUBLE), own) AS cost FROM r WHERE u IS NOT NULL AND model <> '<synthetic>')"""
 
 
 def _session(kind: str, source: str) -> None:
-    oracle = _PARSED + f" SELECT '{source}' AS source, usage_date, model, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(o) AS BIGINT) AS output_tokens, CAST(SUM(cc) AS BIGINT) AS cache_creation_tokens, CAST(SUM(cr) AS BIGINT) AS cache_read_tokens, CAST(SUM(i + o + cc + cr) AS BIGINT) AS total_tokens, CAST(0 AS BIGINT) AS cost_micros, COUNT(DISTINCT session_id) AS session_count FROM n WHERE kind = '{kind}' GROUP BY 2, 3"
+    oracle = _PARSED + f" SELECT '{source}' AS source, usage_date, model, CAST(SUM(i) AS BIGINT) AS input_tokens, CAST(SUM(o) AS BIGINT) AS output_tokens, CAST(SUM(cc) AS BIGINT) AS cache_creation_tokens, CAST(SUM(cr) AS BIGINT) AS cache_read_tokens, CAST(SUM(i + o + cc + cr) AS BIGINT) AS total_tokens, CAST(SUM(floor(COALESCE(cost, 0) * 1000000 + 0.5)) AS BIGINT) AS cost_micros, COUNT(DISTINCT session_id) AS session_count FROM n WHERE kind = '{kind}' GROUP BY 2, 3"
     query(f"session_parse_{kind.lower()}", oracle)(lambda spark, d: session_logs.metrics(session_logs.extracted(view(spark, d, "logs").filter(F.col("kind") == kind))))
 
 
@@ -393,33 +463,73 @@ _session("A", SOURCES[1])
 _session("B", SOURCES[0])
 
 
-@query("session_parse_quality", _PARSED + " SELECT kind, CAST(COUNT(CASE WHEN u IS NOT NULL THEN 1 END) AS BIGINT) AS metric, CAST(0 AS BIGINT) AS ignored, CAST(COUNT(CASE WHEN bad THEN 1 END) AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS unparsed, CAST(COUNT(CASE WHEN NOT bad AND u IS NULL THEN 1 END) AS BIGINT) AS skipped, COUNT(CASE WHEN u IS NOT NULL THEN 1 END) > 0 AS missing_cost FROM r GROUP BY kind")
+_STATUS = """CASE WHEN event_id % 50 = 0 THEN 'malformed' WHEN event_id % 20 = 1 THEN 'skipped' WHEN event_id % 20 = 2 THEN 'unparsed' WHEN event_id % 20 IN (3, 4) THEN 'ignored' ELSE 'metric' END"""
+
+
+@query(
+    "session_parse_quality",
+    f"WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS kind, event_id % 20 IN (5, 6, 8) AS costed, {_STATUS} AS status FROM events) SELECT kind, "
+    + ", ".join(f"COUNT(*) FILTER (status = '{x}') AS {x}" for x in ("metric", "ignored", "malformed", "unparsed", "skipped")) + ", bool_or(status = 'metric' AND NOT costed) AS missing_cost FROM e GROUP BY kind",
+)
 def _(spark, d):
     return session_logs.quality(session_logs.extracted(view(spark, d, "logs")))
 
 
+@query("session_line_costs", "WITH e AS (SELECT event_id, event_id % 20 AS k, " + _STATUS + " AS status FROM events) SELECT event_id, k IN (5, 6, 8) AS found, CASE k WHEN 5 THEN 0.25 WHEN 8 THEN 0.5 ELSE 0.0 END::DOUBLE AS cost FROM e WHERE status = 'metric'")
+def _(spark, d):
+    """A cost counts as found even if it is 0."""
+    rows = session_logs.extracted(view(spark, d, "logs")).filter("status = 'metric'")
+    return rows.select("event_id", F.col("cost").isNotNull().alias("found"), F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
 @query("snapshot_merge", ctes("usage") + " SELECT source, usage_date, timezone, model, " + _ALL + ", CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(SUM(cost_micros) AS BIGINT) AS cost_micros, MIN(synced_at) AS synced_at FROM usage GROUP BY 1, 2, 3, 4")
 def _(spark, d):
     return session_logs.merge_snapshots(view(spark, d, "usage"))
 
 
 _REPORTS = """SELECT event_id AS report_id, CASE event_id % 3
-  WHEN 0 THEN '{"data":[{"date":"2024-01-0' || (1 + event_id % 9) || '","breakdown":{"m1":{"inputTokens":' || event_id % 100 || ',"outputTokens":5,"cost":0.25},"m2":{"inputTokens":7,"totalTokens":' || event_id % 50 || '}}}]}'
-  WHEN 1 THEN '{"daily":[{"period":"Jan ' || (1 + event_id % 9) || ', 2024","modelsUsed":["a"],"inputTokens":' || event_id % 77 || ',"cacheReadInputTokens":3,"totalCost":0.5}]}'
+  WHEN 0 THEN '{"data":[{"date":"2024-01-0' || (1 + event_id % 9) || '","breakdown":{"m1":{"inputTokens":' || event_id % 100 || ',"outputTokens":5,"cost":0.25,"sessionCount":' || event_id % 4 || '},"m2":{"inputTokens":7,"totalTokens":' || event_id % 50 || '}}}]}'
+  WHEN 1 THEN '{"daily":[{"period":"Jan ' || (1 + event_id % 9) || ', 2024","modelsUsed":["a"],"inputTokens":' || event_id % 77 || ',"sessions":2,"cacheReadInputTokens":3,"totalCost":0.5}]}'
   ELSE '[{"usageDate":"2024-01-1' || event_id % 9 || 'T22:00:00Z","modelBreakdowns":[{"modelName":"b","inputTokens":"12","outputTokens":' || event_id % 31 || '}],"totalTokens":100,"cost":1}]' END AS value FROM events"""
 
 
-@query(
-    "report_normalize",
-    "WITH e AS (SELECT event_id AS i FROM events), r AS (SELECT i AS report_id, '2024-01-0' || (1 + i % 9) AS usage_date, 'm1' AS model, i % 100 AS a, 5 AS o, 0 AS cr, 0 AS x, 250000 AS c FROM e WHERE i % 3 = 0 "
-    "UNION ALL SELECT i, '2024-01-0' || (1 + i % 9), 'm2', 7, 0, 0, i % 50, 0 FROM e WHERE i % 3 = 0 UNION ALL SELECT i, '2024-01-0' || (1 + i % 9), 'a', i % 77, 0, 3, 0, 500000 FROM e WHERE i % 3 = 1 "
-    "UNION ALL SELECT i, '2024-01-1' || i % 9, 'b', 0, i % 31, 0, 0, CAST(floor((i % 31) / 100.0 * 1000000 + 0.5) AS BIGINT) FROM e WHERE i % 3 = 2) "
-    "SELECT CAST(report_id AS BIGINT) AS report_id, usage_date, model, CAST(a AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens, CAST(cr AS BIGINT) AS cache_read_tokens, "
-    "CAST(CASE WHEN x > 0 THEN x ELSE a + o + cr END AS BIGINT) AS total_tokens, CAST(c AS BIGINT) AS cost_micros, CAST(0 AS BIGINT) AS session_count FROM r",
+_NORMAL = (
+    "e AS (SELECT event_id AS i FROM events), r AS (SELECT i AS report_id, '2024-01-0' || (1 + i % 9) AS usage_date, 'm1' AS model, i % 100 AS a, 5 AS o, 0 AS cr, 0 AS x, 250000 AS c, i % 4 AS n FROM e WHERE i % 3 = 0 "
+    "UNION ALL SELECT i, '2024-01-0' || (1 + i % 9), 'm2', 7, 0, 0, i % 50, 0, 0 FROM e WHERE i % 3 = 0 UNION ALL SELECT i, '2024-01-0' || (1 + i % 9), 'a', i % 77, 0, 3, 0, 500000, 2 FROM e WHERE i % 3 = 1 "
+    "UNION ALL SELECT i, '2024-01-1' || i % 9, 'b', 0, i % 31, 0, 0, CAST(floor((i % 31) / 100.0 * 1000000 + 0.5) AS BIGINT), 0 FROM e WHERE i % 3 = 2)"
 )
+_NORMAL_COLUMNS = (
+    "CAST(report_id AS BIGINT) AS report_id, r.usage_date, r.model, CAST(a AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, CAST(0 AS BIGINT) AS cache_creation_tokens, CAST(cr AS BIGINT) AS cache_read_tokens, "
+    "CAST(CASE WHEN x > 0 THEN x ELSE a + o + cr END AS BIGINT) AS total_tokens, CAST(c AS BIGINT) AS cost_micros"
+)
+
+
+@query("report_normalize", f"WITH {_NORMAL} SELECT {_NORMAL_COLUMNS}, CAST(n AS BIGINT) AS session_count FROM r")
+def _(spark, d):
+    return reports.normalize(_sql(spark, d, _REPORTS))
+
+
+#: Session documents: an instant that is on the next day in the zone, a plain date, one without a day, and an
+#: empty breakdown; the second model wins only with more tokens.
+_SESSIONS = """SELECT event_id AS report_id, CASE event_id % 4
+  WHEN 0 THEN '{"data":[{"sessionId":"s","lastActivity":"2024-01-0' || (1 + event_id % 8) || 'T16:10:00Z","modelBreakdowns":[{"modelName":"m1","inputTokens":' || event_id % 10 || '},{"modelName":"a","totalTokens":' || event_id % 7 || '}]}]}'
+  WHEN 1 THEN '[{"date":"2024-01-0' || (1 + event_id % 8) || '","breakdown":{"b":{"inputTokens":1},"m2":{"inputTokens":1}}}, {"usageDate":"2024-01-03","modelBreakdowns":[],"totalTokens":1}]'
+  WHEN 2 THEN '{"sessions":[{"sessionId":"x","totalTokens":3},{"lastActivity":7,"date":"2024-01-01"}]}'
+  ELSE '{"data":[]}' END AS value FROM events"""
+_COUNTED = (
+    "c AS (SELECT usage_date, model, COUNT(*) AS session_count FROM (SELECT '2024-01-0' || (2 + event_id % 8) AS usage_date, CASE WHEN event_id % 7 > event_id % 10 THEN 'a' ELSE 'm1' END AS model FROM events WHERE event_id % 4 = 0 "
+    "UNION ALL SELECT '2024-01-0' || (1 + event_id % 8), 'b' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT '2024-01-03', 'all' FROM events WHERE event_id % 4 = 1) GROUP BY 1, 2)"
+)
+
+
+@query("session_counts", f"WITH {_COUNTED} SELECT * FROM c")
+def _(spark, d):
+    return reports.session_counts(_sql(spark, d, _SESSIONS), "Asia/Shanghai")
+
+
+@query("report_normalize_sessions", f"WITH {_NORMAL}, {_COUNTED} SELECT {_NORMAL_COLUMNS}, COALESCE(c.session_count, 0) AS session_count FROM r LEFT JOIN c ON c.usage_date = r.usage_date AND c.model = r.model")
 def _(spark, d):
-    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("facade_events")
-    return reports.normalize(spark.sql(_REPORTS.replace("FROM events", "FROM facade_events")))
+    return reports.normalize(_sql(spark, d, _REPORTS), _sql(spark, d, _SESSIONS), "Asia/Shanghai")
 
 
 @query("session_count_attribution", "WITH s AS (SELECT user_id AS session_id, CAST(CAST(ts AS DATE) AS STRING) AS usage_date, event_type AS model, CAST(round(value * 100) AS BIGINT) AS t, event_id AS n FROM events), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY t DESC, n) = 1) SELECT usage_date, model, COUNT(*) AS session_count FROM b GROUP BY 1, 2")
@@ -439,21 +549,6 @@ def _(spark, d):
     return correction.apportion(e, ["user_id"], ["event_id"], F.col("user_id") + 1000, F.col("event_id") % 7, "share").select("user_id", "event_id", "share")
 
 
-@query("subagent_correction")
-def _(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    date = F.col("ts").cast("date").cast("string")
-    nothing = [F.lit(0).cast("bigint").alias(c) for c in ("output_tokens", "cache_creation_tokens", "cache_read_tokens")]
-    parts = [(F.col("event_id") % 100 + 10).alias("input_tokens"), *nothing, (F.col("event_id") % 100 + 10).alias("total_tokens")]
-    records = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("line_no"), F.col("ts").cast("string").alias("ts"), date.alias("usage_date"), F.struct((F.col("event_id") % 400).alias("t")).alias("cumulative"), *parts)
-    children = e.select(F.col("user_id").alias("session_id")).distinct().withColumn("started_at", F.lit("2024-01-05"))
-    usage = correction.child_usage(records, children)
-    model = F.when(F.col("event_id") % 3 == 0, "a").otherwise("b").alias("model")
-    counters = [F.sum(c).alias(c) for c in correction.COUNTERS]
-    sessions = e.select(F.col("user_id").alias("session_id"), model, *parts).groupBy("session_id", "model").agg(*counters, (F.sum("total_tokens") * 100).alias("cost_micros")).withColumn("ordinal", F.when(F.col("model") == "a", 0).otherwise(1))
-    return correction.corrections(sessions, usage).withColumn("cost_micros", F.floor("cost_micros"))
-
-
 @query("local_day_bucket", ctes("profiles") + ", e AS (SELECT e.event_id, e.ts, p.timezone FROM events e JOIN profiles p ON p.user_id = 'u' || CAST(e.user_id AS STRING)) SELECT timezone, CAST(CAST(timezone(timezone, timezone('UTC', ts)) AS DATE) AS STRING) AS usage_date, COUNT(*) AS n FROM e GROUP BY 1, 2")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"))
@@ -522,7 +617,13 @@ def _(spark, d):
     return delivery.after_attempt(df, F.lit("2024-01-15 12:00:00").cast("timestamp")).select("id", "retry", "next_run_at", "failure_count")
 
 
-@query("rate_limit_fixed_window")
+@query(
+    "rate_limit_fixed_window",
+    """WITH RECURSIVE e AS (SELECT CAST(user_id AS STRING) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id AS id FROM events), w(key, opened) AS (
+      SELECT key, MIN(sec) FROM e GROUP BY key UNION ALL SELECT w.key, (SELECT MIN(e.sec) FROM e WHERE e.key = w.key AND e.sec >= w.opened + 86400) FROM w WHERE (SELECT MIN(e.sec) FROM e WHERE e.key = w.key AND e.sec >= w.opened + 86400) IS NOT NULL),
+    x AS (SELECT e.*, MAX(w.opened) AS opened FROM e JOIN w ON w.key = e.key AND w.opened <= e.sec GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY key, opened ORDER BY sec, id) AS n FROM x)
+    SELECT key, id, opened + 86400 AS reset_at, n <= 3 AS allowed, CAST(greatest(3 - n, 0) AS BIGINT) AS remaining FROM n""",
+)
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("id"))
     return delivery.rate_limited(e, 3, 86_400)
@@ -542,9 +643,5 @@ def _(spark, d):
     return session_logs.vanished_files(_sql(spark, d, _FILES).filter("size % 30 = 0"), _sql(spark, d, _MANIFEST))
 
 
-@query("stream_daily_usage")
-def _(spark, d):
-    """The stream's result over the log lines, by its own contribution table in one batch."""
-    from meterlake.streaming.ingest import contributions, daily_usage
-
-    return daily_usage(contributions(view(spark, d, "logs"), "UTC"))
+# the other parts of the catalogue register their queries as they are imported
+from meterlake.plans import account_queries, delivery_queries, refresh_queries, source_queries, text_queries  # noqa: E402, F401

@@ -4,12 +4,16 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import cache_read_rate, cost_usd, csv_field, like_anywhere
+from meterlake.functions.scalars import cache_read_rate, cost_usd, csv_field, js_number, like_anywhere, round_half_up
+from meterlake.functions.text import bar_height, share_text, trend_height
 from meterlake.operators.facts import Scope, dedupe_legacy, effective_summary, sums, with_net
-from meterlake.schema import SUMMED
+from meterlake.schema import SOURCES, SUMMED
 
 
 def rate(prefix: str = "") -> Column:
@@ -73,8 +77,6 @@ def daily_trend(usage: DataFrame, summary: DataFrame, user: str, start: str, end
 
 def device_filter(device: str | None) -> str | None:
     """None for all devices: blank, any spelling of "all", and malformed ids."""
-    import re
-
     text = (device or "").strip()
     return None if not text or text.lower() == "all" or not re.fullmatch(r"[A-Za-z0-9_-]{1,128}", text) else text
 
@@ -102,30 +104,76 @@ def details_models(base: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("usage_date"), F.desc("total_tokens"), "model", "source")
 
 
-def details_range_summary(base: DataFrame) -> DataFrame:
-    daily = base.groupBy("usage_date").agg(*sums(["total_tokens", "tokens_without_cache_read", "cost_micros", "session_count"]))
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-    found = daily.agg(*(zero(c) for c in ("total_tokens", "tokens_without_cache_read", "cost_micros", "session_count")), F.count_if(F.col("total_tokens") > 0).alias("active_days"))
-    return found.select("total_tokens", "tokens_without_cache_read", rate().alias("cache_rate"), cost_usd("cost_micros").alias("cost_usd"), "session_count", "active_days")
-
+def day_rows(base: DataFrame) -> DataFrame:
+    """A row a day that has usage, with its sources and models as lists.
 
-def details_days_nested(base: DataFrame, start: str, end: str) -> DataFrame:
-    """A row a day with the day's sources and models as arrays, empty where nothing is known."""
-    by = base.groupBy("usage_date", "source", "model").agg(*sums(["total_tokens", "session_count"]))
-    models = F.array_sort(F.collect_list(F.struct((-F.col("total_tokens")).alias("o"), "model", "source", "total_tokens")))
-    per_day = by.groupBy("usage_date").agg(F.sum("total_tokens").alias("total_tokens"), F.sum("session_count").alias("session_count"), models.alias("m"))
-    split = by.groupBy("usage_date", "source").agg(F.sum("total_tokens").alias("t")).groupBy("usage_date").agg(F.array_sort(F.collect_list(F.struct("source", "t"))).alias("s"))
-    joined = days(base.sparkSession, start, end).join(per_day.join(split, "usage_date"), "usage_date", "left")
-    return joined.select(
-        "usage_date",
-        F.coalesce("total_tokens", F.lit(0).cast("bigint")).alias("total_tokens"),
-        F.coalesce("session_count", F.lit(0).cast("bigint")).alias("session_count"),
-        F.coalesce(F.array_join(F.transform("s", lambda x: F.concat(x["source"], F.lit("="), x["t"].cast("string"))), ";"), F.lit("")).alias("sources"),
-        F.coalesce(F.array_join(F.transform("m", lambda x: F.concat(x["source"], F.lit("/"), x["model"], F.lit("="), x["total_tokens"].cast("string"))), ";"), F.lit("")).alias("models"),
-    ).orderBy("usage_date")
+    A day's cost is rounded to four places after each source, in the sources' order."""
+    by = base.groupBy("usage_date", "source", "model").agg(*sums(SUMMED)).withColumn("cost_usd", cost_usd("cost_micros"))
+    names = ["total_tokens", "tokens_without_cache_read", "cost_micros", "session_count"]
+    split = by.groupBy("usage_date", "source").agg(*sums(names)).withColumn("cost_usd", cost_usd("cost_micros"))
+    entry = F.struct("source", "total_tokens", "tokens_without_cache_read", rate().alias("cache_rate"), "cost_usd")
+    day = split.groupBy("usage_date").agg(*sums([n for n in names if n != "cost_micros"]), F.array_sort(F.collect_list(entry)).alias("sources"))
+    parts = [c for c in SUMMED if c != "cost_micros"]
+    item = F.struct((-F.col("total_tokens")).alias("order"), "model", "source", *parts, rate().alias("cache_rate"), "cost_usd")
+    models = by.groupBy("usage_date").agg(F.array_sort(F.collect_list(item)).alias("models"))
+    cost = F.aggregate("sources", F.lit(0.0), lambda held, x: round_half_up(held + x["cost_usd"]))
+    return day.withColumns({"cost_usd": cost, "cache_rate": rate()}).join(models, "usage_date")
 
 
-CSV_HEADER = "Date,Source,Model,Input,Output,Cache creation,Cache read,Total,Without cache read,Cache rate,Cost,Sessions"
+def details_range_summary(base: DataFrame) -> DataFrame:
+    """One row over the range's days; the cost is rounded to four places."""
+    found = day_rows(base)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    names = ["total_tokens", "tokens_without_cache_read", "session_count"]
+    cost = round_half_up(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).alias("cost_usd")
+    whole = found.agg(*map(zero, names), cost, F.count_if(F.col("total_tokens") > 0).alias("active_days"))
+    return whole.select(*names[:2], rate().alias("cache_rate"), "cost_usd", "session_count", "active_days")
+
+
+def details_days(base: DataFrame, start: str, end: str) -> DataFrame:
+    """A row a day of the range, zeros and empty lists where nothing is known."""
+    found = day_rows(base)
+    filled = days(base.sparkSession, start, end).join(found, "usage_date", "left")
+    number = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total_tokens", "tokens_without_cache_read", "session_count")}
+    number |= {c: F.coalesce(c, F.lit(0.0)) for c in ("cache_rate", "cost_usd")}
+    kinds = dict(found.dtypes)
+    lists = {c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("sources", "models")}
+    return filled.select("usage_date", *(x.alias(c) for c, x in (number | lists).items())).orderBy("usage_date")
+
+
+def details_day_sources(base: DataFrame, start: str, end: str) -> DataFrame:
+    """The days' sources, a row each."""
+    rows = details_days(base, start, end).select("usage_date", F.posexplode("sources").alias("position", "x"))
+    return rows.select("usage_date", "position", "x.source", "x.total_tokens", "x.tokens_without_cache_read", "x.cache_rate")
+
+
+def details_day_models(base: DataFrame, start: str, end: str) -> DataFrame:
+    """The days' models, a row each, the largest first."""
+    rows = details_days(base, start, end).select("usage_date", F.posexplode("models").alias("position", "x"))
+    return rows.select("usage_date", "position", "x.*").drop("order")
+
+
+def parse_filters(asked: dict[str, str], now: date) -> dict[str, str]:
+    """Arguments of :func:`details_base` from a request's text: the last 30 days unless dates are
+    given, all sources for one that is not known, a reversed range turned."""
+    iso = lambda name, other: text if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text := asked.get(name) or "") else other
+    start, end = iso("start", str(now - timedelta(days=29))), iso("end", str(now))
+    source = asked.get("source")
+    return {
+        "source": source if source in SOURCES else "all",
+        "start": min(start, end),
+        "end": max(start, end),
+        "device": asked.get("device") or "",
+        "model": (asked.get("model") or "").strip(),
+    }
+
+
+CSV_COLUMNS = {
+    "date": "usage_date", "source": "source", "model": "model", "input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_creation_tokens": "cache_creation_tokens",
+    "cache_read_tokens": "cache_read_tokens", "cache_read_rate": "cache_rate", "total_tokens_without_cache_read": "tokens_without_cache_read", "total_tokens": "total_tokens",
+    "cost_usd": "cost_usd", "session_count": "session_count",
+}
+CSV_HEADER = ",".join(CSV_COLUMNS)
 
 
 def details_csv_rows(models: DataFrame) -> DataFrame:
@@ -133,15 +181,47 @@ def details_csv_rows(models: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     order = W.orderBy(F.desc("usage_date"), F.desc("total_tokens"), "model", "source")  # one user's range
-    percent = (F.floor(F.col("cache_rate") * 10000 + 0.5)).cast("bigint").cast("string")
-    cents = F.floor(F.col("cost_usd") * 100 + 0.5).cast("bigint").cast("string")
-    names = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens", "tokens_without_cache_read"]
-    fields = [csv_field(F.col(c)) for c in ("usage_date", "source", "model")] + [F.col(c).cast("string") for c in names] + [percent, cents, F.col("session_count").cast("string")]
-    lines = models.select(F.row_number().over(order).alias("position"), F.concat_ws(",", *fields).alias("line"))
+    text = {"string": lambda c: csv_field(F.col(c)), "double": lambda c: js_number(F.col(c)), "bigint": lambda c: F.col(c).cast("string")}
+    kinds = dict(models.dtypes)
+    lines = models.select(F.row_number().over(order).alias("position"), F.concat_ws(",", *(text[kinds[c]](c) for c in CSV_COLUMNS.values())).alias("line"))
     head = models.sparkSession.range(1).select(F.lit(0).alias("position"), F.lit(CSV_HEADER).alias("line"))
     return head.unionByName(lines).orderBy("position")
 
 
+def details_csv_document(models: DataFrame) -> DataFrame:
+    """The whole document of one user's range: lines joined by line feeds, none at the end."""
+    lines = F.array_sort(F.collect_list(F.struct("position", "line")))
+    return details_csv_rows(models).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("document"))
+
+
+def trend_shares(base: DataFrame) -> DataFrame:
+    """The days' shares of a range's tokens as text, and the heights and widths of their bars."""
+    daily = base.groupBy("usage_date").agg(F.sum("total_tokens").alias("total_tokens"))
+    whole = daily.agg(F.max("total_tokens").alias("most"), F.sum("total_tokens").alias("whole"))
+    rows = daily.crossJoin(F.broadcast(whole))  # one row
+    value, total = F.col("total_tokens"), F.col("whole")
+    return rows.select(
+        "usage_date", "total_tokens", share_text(value, total).alias("share"),
+        trend_height(value, F.col("most")).cast("bigint").alias("height"), bar_height(value, total).cast("bigint").alias("width"),
+    )
+
+
+def report_rows(usage: DataFrame, profiles: DataFrame, day: str) -> DataFrame:
+    """What every user's message of a day says, a row a user with usage."""
+    base = with_net(dedupe_legacy(usage.filter(F.col("usage_date") == day)))
+    names = ["total_tokens", "tokens_without_cache_read", "cost_micros", "session_count"]
+
+    def largest(key: str) -> DataFrame:
+        by = base.groupBy("user_id", key).agg(*sums(names))
+        order = [(-F.col(c)).alias(f"o_{c}") for c in ("tokens_without_cache_read", "total_tokens")]
+        entry = F.struct(*order, F.col(key).alias("name"), F.col("total_tokens").alias("tokens"), F.col("tokens_without_cache_read").alias("net"), rate().alias("rate"), cost_usd("cost_micros").alias("cost"))
+        return by.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias(f"{key}s"))  # a user's sources or models of a day
+
+    rows = base.groupBy("user_id").agg(*sums(names)).join(profiles.select("user_id", "display_name", "timezone"), "user_id")
+    rows = rows.join(largest("source"), "user_id").join(largest("model"), "user_id")
+    return rows.withColumns({"report_date": F.lit(day), "cache_rate": rate(), "cost_usd": cost_usd("cost_micros")})
+
+
 METRICS = {"tokens": "total_tokens", "net": "tokens_without_cache_read", "cost": "cost_micros"}
 
 
@@ -172,25 +252,58 @@ def effective_totals(usage: DataFrame, summary: DataFrame, totals: DataFrame, st
 
 
 def public_totals(usage: DataFrame, summary: DataFrame, totals: DataFrame, user: str, today: str, strict: bool = False, breakdown: bool = True) -> DataFrame:
-    """One row: lifetime, today's and this month's figures; with ``breakdown`` the split by source and the five top models."""
+    """One row: lifetime, today's and this month's figures; with ``breakdown`` the split by source and the five top models.
+
+    The effective summary is read once: a row a (source, model) holds the lifetime's, the month's and the day's sums."""
     names = ["total_tokens", "tokens_without_cache_read", "cost_micros"]
-    mine = lambda df: df.filter(F.col("user_id") == user)
-    whole = effective_totals(mine(usage), mine(summary), mine(totals), strict).agg(*(F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(f"lifetime_{c}") for c in names))
-    month = effective_summary(usage, summary, Scope(user=user, start=today[:8] + "01"), strict)
-    day = F.col("usage_date") == today
-    by = month.groupBy("source", "model").agg(*sums(names), *(_when_sum(day, c, f"today_{c}") for c in names))
-    figures = by.agg(*(F.coalesce(F.sum(f"today_{c}"), F.lit(0)).cast("bigint").alias(f"today_{c}") for c in names), *(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(f"month_{c}") for c in names))
-    out = whole.crossJoin(F.broadcast(figures))  # one row each
+    day, month = F.col("usage_date") == today, F.col("usage_date") >= today[:8] + "01"
+    rows = effective_summary(usage, summary, Scope(user=user), strict)
+    by = rows.groupBy("source", "model").agg(
+        *(F.sum(c).alias(f"lifetime_{c}") for c in names), F.max("updated_at").alias("latest"), F.count_if(month).alias("in_month"),
+        *(_when_sum(month, c, c) for c in names), *(_when_sum(day, c, f"today_{c}") for c in names),
+    )
+    out = by.agg(*_figures(names))
+    if breakdown:
+        # sources and models of one user: both lists from one row a (source, model)
+        entry = F.struct("source", "model", "in_month", *names)
+        out = by.agg(*_figures(names), F.collect_list(entry).alias("items"))
+        items = F.filter("items", lambda x: x["in_month"] > 0)
+        out = out.withColumns({"source_split": _grouped_json(items, "source", None), "top_models": _grouped_json(items, "model", 5)})
+    stored = totals.filter(F.col("user_id") == user).agg(*(F.max(c).alias(f"t_{c}") for c in names), F.max("updated_at").alias("t_updated_at"))
+    fresh = F.col("t_updated_at").isNotNull() & (F.col("latest").isNull() | (F.col("latest") <= F.col("t_updated_at")))
+    whole = out.crossJoin(F.broadcast(stored))  # one row each
     columns = [F.lit(user).alias("user_id")]
+    life = {c: F.when(fresh, F.col(f"t_{c}")).otherwise(F.col(f"lifetime_{c}")) for c in names}
+    whole = whole.withColumns({f"lifetime_{c}": F.coalesce(x, F.lit(0).cast("bigint")) for c, x in life.items()})
     for p in ("lifetime", "today", "month"):
         columns += [F.col(f"{p}_total_tokens"), F.col(f"{p}_tokens_without_cache_read"), cost_usd(f"{p}_cost_micros").alias(f"{p}_cost_usd")]
     columns.append(rate("lifetime_").alias("lifetime_cache_rate"))
     if breakdown:
-        for key, limit, name in (("source", None, "source_split"), ("model", 5, "top_models")):
-            grouped = by.groupBy(key).agg(*sums(names))
-            out = out.crossJoin(F.broadcast(grouped.agg(ordered_json(grouped, key, limit).alias(name))))  # one row
-            columns.append(F.col(name))
-    return out.select(*columns)
+        columns += ["source_split", "top_models"]
+    return whole.select(*columns)
+
+
+def _figures(names: list[str]) -> list[Column]:
+    zero = F.lit(0).cast("bigint")
+    found = [F.sum(f"lifetime_{c}").alias(f"lifetime_{c}") for c in names] + [F.max("latest").alias("latest")]
+    found += [F.coalesce(F.sum(c), zero).alias(f"month_{c}") for c in names]
+    return found + [F.coalesce(F.sum(f"today_{c}"), zero).alias(f"today_{c}") for c in names]
+
+
+def _grouped_json(items: Column, key: str, limit: int | None) -> Column:
+    """:func:`ordered_json` of a list of (source, model) sums, by one of the two."""
+    keys = F.array_distinct(F.transform(items, lambda x: x[key]))
+
+    def entry(name: Column) -> Column:
+        own = F.filter(items, lambda x: x[key] == name)
+        add = lambda c: F.aggregate(own, F.lit(0).cast("bigint"), lambda held, x: held + x[c])
+        net, tokens = add("tokens_without_cache_read"), add("total_tokens")
+        return F.struct((-net).alias("a"), (-tokens).alias("b"), name.alias(key), tokens.alias("tokens"), net.alias("net"))
+
+    found = F.array_sort(F.transform(keys, entry))
+    if limit:
+        found = F.slice(found, 1, limit)
+    return F.to_json(F.transform(found, lambda x: F.struct(x[key].alias(key), x["tokens"].alias("tokens"), x["net"].alias("net"))))
 
 
 def subject_version(profiles: DataFrame, summary: DataFrame, totals: DataFrame) -> DataFrame:
@@ -220,10 +333,30 @@ def device_list(devices: DataFrame, tokens: DataFrame, user: str) -> DataFrame:
 
 
 def public_profile(profiles: DataFrame, usage: DataFrame, summary: DataFrame, totals: DataFrame, slug: str, today: str) -> DataFrame:
-    """The public document of a profile as JSON; no row if there is none or it is private."""
-    found = profiles.filter((F.col("slug") == slug) & F.col("is_public")).limit(1)
-    owner = found.select("user_id").first()
-    if owner is None:
-        return found.select("slug", F.lit("").alias("document"))
-    figures = public_totals(usage, summary, totals, owner[0], today)
-    return found.join(figures, "user_id").select("slug", F.to_json(F.struct("display_name", "timezone", "lifetime_total_tokens", "month_total_tokens", "today_total_tokens", "source_split", "top_models")).alias("document"))
+    """The public document of a profile; no row if there is none or it is private.
+
+    The owner is joined, not looked up first, so that the plan is made without running a job."""
+    names = ["total_tokens", "tokens_without_cache_read", "cost_micros"]
+    owner = F.broadcast(profiles.filter((F.col("slug") == slug) & F.col("is_public")).select("user_id", "slug", "display_name", "timezone").limit(1))  # one row
+    mine = lambda df: df.join(owner.select("user_id"), "user_id", "left_semi")
+    day, month = F.col("usage_date") == today, F.col("usage_date") >= today[:8] + "01"
+    rows = effective_summary(mine(usage), mine(summary), Scope(), False)
+    by = rows.groupBy("source", "model").agg(
+        *(F.sum(c).alias(f"lifetime_{c}") for c in names), F.max("updated_at").alias("latest"), F.count_if(month).alias("in_month"),
+        *(_when_sum(month, c, c) for c in names), *(_when_sum(day, c, f"today_{c}") for c in names),
+    )
+    figures = by.agg(*_figures(names), F.collect_list(F.struct("source", "model", "in_month", *names)).alias("items"))
+    kept = mine(totals).agg(*(F.max(c).alias(f"t_{c}") for c in names), F.max("updated_at").alias("t_updated_at"))
+    whole = owner.crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(kept))  # one row each
+    fresh = F.col("t_updated_at").isNotNull() & (F.col("latest").isNull() | (F.col("latest") <= F.col("t_updated_at")))
+    whole = whole.withColumns({f"lifetime_{c}": F.coalesce(F.when(fresh, F.col(f"t_{c}")).otherwise(F.col(f"lifetime_{c}")), F.lit(0).cast("bigint")) for c in names})
+    items = F.filter("items", lambda x: x["in_month"] > 0)
+    shown = [F.struct(F.col(f"{p}_total_tokens").alias("tokens"), F.col(f"{p}_tokens_without_cache_read").alias("net"), rate(f"{p}_").alias("rate"), cost_usd(f"{p}_cost_micros").alias("cost")).alias(p) for p in ("lifetime", "today", "month")]
+    return whole.select("slug", "display_name", "timezone", *shown, _grouped_json(items, "source", None).alias("source_split"), _grouped_json(items, "model", 5).alias("top_models"))
+
+
+def public_document(profile: DataFrame) -> DataFrame:
+    """``slug`` and the document as JSON."""
+    parts = [F.struct(F.col(f"{p}.tokens").alias("tokens"), F.col(f"{p}.net").alias("tokensWithoutCacheRead"), F.col(f"{p}.rate").alias("cacheReadRate"), F.col(f"{p}.cost").alias("costUsd")).alias(name) for p, name in (("lifetime", "total"), ("today", "today"), ("month", "month"))]
+    lists = [F.from_json(c, f"array<struct<{key}:string,tokens:bigint,net:bigint>>").alias(name) for c, key, name in (("source_split", "source", "sourceSplit"), ("top_models", "model", "topModels"))]
+    return profile.select("slug", F.to_json(F.struct("slug", F.col("display_name").alias("displayName"), "timezone", *parts, *lists)).alias("document"))

@@ -18,3 +18,11 @@ USAGE = (
     "input_tokens bigint, output_tokens bigint, cache_creation_tokens bigint, cache_read_tokens bigint, total_tokens bigint, "
     "cost_micros bigint, session_count bigint, synced_at string, snapshot_hash string"
 )
+
+
+def unused(rows, name: str) -> str:
+    """A column name that ``rows`` does not have, from ``name``."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

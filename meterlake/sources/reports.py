@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import json_number, json_text, report_date, total_tokens
+from meterlake.functions.scalars import json_number, json_text, local_date, report_date, total_tokens
 from meterlake.sources.session_logs import member
 
 # Where rows stand in a document, and alternative field names.
@@ -23,12 +23,19 @@ def array_of(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, path, "array<variant>")
 
 
-def rows_of(reports: DataFrame) -> DataFrame:
-    """One row an entry: the document itself if it is a list, else its first list, else the document if it has metrics."""
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """JSON files as rows: ``report_id`` (the file's path) and ``value`` (the whole document)."""
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    return text.select(F.col("_metadata.file_path").alias("report_id"), "value")
+
+
+def rows_of(reports: DataFrame, containers: tuple[str, ...] = CONTAINERS, alone: bool = True) -> DataFrame:
+    """One row an entry: the document itself if it is a list, else its first list, else (if ``alone``)
+    the document if it has metrics."""
     doc = F.try_parse_json("value")
     rows = reports.withColumn("doc", doc)
     single = F.when(F.coalesce(*(json_number(F.col("doc"), k) for k in ("totalTokens", "inputTokens", "outputTokens"))).isNotNull(), F.array("doc"))
-    entries = F.coalesce(array_of(F.col("doc"), "$"), *(array_of(F.col("doc"), f"$.{k}") for k in CONTAINERS), single)
+    entries = F.coalesce(array_of(F.col("doc"), "$"), *(array_of(F.col("doc"), f"$.{k}") for k in containers), *[single] * alone)
     found = rows.select("report_id", F.posexplode(entries).alias("row_no", "row"))
     return found.filter(F.schema_of_variant("row").startswith("OBJECT"))
 
@@ -66,20 +73,43 @@ def cost_of(metrics: Column, row: Column, whole: Column) -> Column:
     return F.when((direct > 0) | whole, direct).otherwise(shared)
 
 
-def normalize(reports: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
-    """Snapshots of reports (``report_id``, ``value``); with ``sessions`` their counts, 0 where there are none."""
+def normalize(reports: DataFrame, sessions: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
+    """Snapshots of reports (``report_id``, ``value``).
+
+    With ``sessions`` (documents of the same kind) the sessions of a day and model are counted from
+    them alone, 0 where they hold none; without, a row's own count is taken."""
     found = model_rows(rows_of(reports))
     date = report_date(F.coalesce(*(json_text(F.col("row"), k) for k in ("date", "usageDate", "period"))))
     parts = [m.alias(n) for m, n in zip(metrics_of(F.col("metrics")), NAMES)]
     micros = F.floor(cost_of(F.col("metrics"), F.col("row"), F.col("whole")) * 1e6 + 0.5).cast("bigint").alias("cost_micros")
-    out = found.select("report_id", date.alias("usage_date"), "model", *parts, total_of(F.col("metrics")).alias("total_tokens"), micros)
+    own = F.coalesce(json_number(F.col("metrics"), "sessionCount", "sessions"), F.lit(0.0)).cast("bigint").alias("session_count")
+    out = found.select("report_id", date.alias("usage_date"), "model", *parts, total_of(F.col("metrics")).alias("total_tokens"), micros, own)
     if sessions is None:
-        return out.withColumn("session_count", F.lit(0).cast("bigint"))
-    return out.join(sessions, ["usage_date", "model"], "left").withColumn("session_count", F.coalesce("session_count", F.lit(0).cast("bigint")))
+        return out
+    counted = session_counts(sessions, zone)
+    return out.drop("session_count").join(counted, ["usage_date", "model"], "left").withColumn("session_count", F.coalesce("session_count", F.lit(0).cast("bigint")))
+
+
+def session_date(row: Column, zone: str) -> Column:
+    """A session's day: that of its last activity in the zone."""
+    fields = [F.try_variant_get(row, f"$.{k}", "variant") for k in ("lastActivity", "date", "usageDate")]
+    first = F.coalesce(*(F.when(~F.is_variant_null(v), v) for v in fields))
+    text = F.when(F.schema_of_variant(first) == "STRING", F.try_variant_get(first, "$", "string"))
+    instant = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(text))
+    return F.coalesce(local_date(instant, F.lit(zone)), report_date(text))
+
+
+def session_counts(sessions: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Sessions by day and dominant model: of each session's models the one of most tokens, the first of equals."""
+    rows = rows_of(sessions).withColumn("day", session_date(F.col("row"), zone)).filter("day is not null")
+    days = rows.select("report_id", "row_no", "day")
+    parts = model_rows(rows.drop("day")).select("report_id", "row_no", "part_no", "model", total_of(F.col("metrics")).alias("total_tokens"))
+    best = parts.groupBy("report_id", "row_no").agg(F.max_by("model", F.struct("total_tokens", -F.col("part_no"))).alias("model"))
+    return best.join(days, ["report_id", "row_no"]).groupBy(F.col("day").alias("usage_date"), "model").agg(F.count("*").alias("session_count"))
 
 
 def attribute_sessions(rows: DataFrame) -> DataFrame:
     """Counts sessions by day and dominant model: of each session's rows
     (``session_id``, ``usage_date``, ``model``, ``total_tokens``, ``ordinal``) the largest, the first of equals."""
     best = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc("total_tokens"), "ordinal"))
-    return rows.withColumn("__n", best).filter("__n = 1").groupBy("usage_date", "model").agg(F.count("*").alias("session_count"))
+    return rows.select("usage_date", "model", best.alias("place")).filter("place = 1").groupBy("usage_date", "model").agg(F.count("*").alias("session_count"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import json_number, json_text, local_date, total_tokens
+from meterlake.functions.scalars import json_text, local_date, total_tokens
 from meterlake.schema import SOURCES
 
 # Alternative field names of the counters.
@@ -25,6 +25,8 @@ TOKEN_FIELDS = (
     "inputTokens", "outputTokens", "totalTokens", "cacheCreationTokens", "cacheReadTokens",
 )
 DEPTH = 5
+#: Every counter and cost that a usage object may hold.
+NUMBERS = (*INPUT, *OUTPUT, *CREATION, *READ, *TOTAL, *COST)
 
 
 def read_lines(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -49,6 +51,27 @@ def first_object(doc: Column, first: str, doc2: Column, second: str) -> Column:
     return F.when(is_null(value), member(doc2, second)).when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
+def has_token_field(doc: Column) -> Column:
+    """Whether an object within ``DEPTH`` levels below the document (objects and lists count) has a token field."""
+    fields, level, found = F.array(*map(F.lit, TOKEN_FIELDS)), F.array(doc), F.lit(False)
+    members = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    for _ in range(DEPTH + 1):
+        found = found | F.exists(level, lambda v: F.coalesce(F.arrays_overlap(F.map_keys(members(v)), fields), F.lit(False)))
+        level = F.flatten(F.transform(level, lambda v: F.coalesce(F.map_values(members(v)), F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))))
+    return found
+
+
+def numbers_of(text: Column, names: tuple[str, ...]) -> Column:
+    """Members of a JSON object that are numbers, in one pass; numbers in strings do not count."""
+    return F.from_json(text, ", ".join(f"`{n}` double" for n in names), {"allowNonNumericNumbers": "false"})
+
+
+def told_apart(names: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Names in two groups, in each of which no two differ by case alone: columns are not told apart by it."""
+    first = tuple(n for i, n in enumerate(names) if n.lower() not in {x.lower() for x in names[:i]})
+    return first, tuple(n for n in names if n not in first)
+
+
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are evaluated once a row: a generator of one row stands between
     them and what is built on them, where a projection would be copied into each use."""
@@ -75,16 +98,19 @@ def extracted(lines: DataFrame, zone: str | Column = "UTC") -> DataFrame:
     moment = F.try_to_timestamp(json_text(F.col("doc"), "timestamp"))
     rows = once(rows, {"model": F.when(a, model_a).otherwise(model_b), "moment": moment})
     u = F.col("usage")
+    read = {f"{name}{i}": numbers_of(text, group) for name, text, names in (("n", F.to_json(u), NUMBERS), ("own", F.col("value"), COST)) for i, group in enumerate(told_apart(names))}
+    rows = once(rows, read)
+    held = {(name, k): F.col(f"{name}{i}.{k}") for name, names in (("n", NUMBERS), ("own", COST)) for i, group in enumerate(told_apart(names)) for k in group}
     zero = F.lit(True)
     for key in (*INPUT, *OUTPUT, *CREATION, *READ, *TOTAL):
-        zero = zero & (F.coalesce(json_number(u, key), F.lit(0.0)) == 0)
+        zero = zero & (F.coalesce(held["n", key], F.lit(0.0)) == 0)
     synthetic = ~a & u.isNotNull() & (F.col("model") == "<synthetic>") & zero
     totals_only = a & F.col("counted") & u.isNull() & (
         member(F.col("info"), "$.total_token_usage").isNotNull() | member(F.col("doc"), "$.payload.total_token_usage").isNotNull()
     )
-    tokenish = F.when(a, F.col("value").rlike('"(' + "|".join(TOKEN_FIELDS) + r')"\s*:')).otherwise(
-        F.coalesce(F.to_json(u).rlike('"(' + "|".join(TOKEN_FIELDS) + r')"\s*:'), F.lit(False))
-    )
+    # the text is searched first: few lines hold such a field at all
+    named = F.col("value").rlike('"(' + "|".join(TOKEN_FIELDS) + r')"\s*:')
+    tokenish = F.when(named, has_token_field(F.when(a, F.col("doc")).otherwise(u))).otherwise(F.lit(False))
     status = (
         F.when(F.trim("value") == "", "blank")
         .when(F.col("doc").isNull(), "malformed")
@@ -95,9 +121,9 @@ def extracted(lines: DataFrame, zone: str | Column = "UTC") -> DataFrame:
         .otherwise("skipped")
     )
     rows = once(rows, {"status": status})
-    number = lambda *keys: F.coalesce(json_number(u, *keys), F.lit(0.0)).cast("bigint")
+    number = lambda *keys: F.coalesce(*(held["n", k] for k in keys), F.lit(0.0)).cast("bigint")
     parts = {"input_tokens": number(*INPUT), "output_tokens": number(*OUTPUT), "cache_creation_tokens": number(*CREATION), "cache_read_tokens": number(*READ)}
-    cost = F.coalesce(json_number(u, *COST), json_number(F.col("doc"), *COST))
+    cost = F.coalesce(*(held[name, k] for name in ("n", "own") for k in COST))
     rows = once(rows, parts | {"explicit": number(*TOTAL), "cost": cost, "usage_date": local_date(F.col("moment"), zone)})
     return rows.withColumn("total_tokens", total_tokens(F.col("explicit"), *(F.col(c) for c in parts)))
 
