@@ -14,21 +14,23 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, stored
+from .common import map_rows, shared_dir
 
 BLOCK = 576
+#: Frames from one seek point to the next.
+POINT = 64
 #: Fixed predictors of the format, as coefficients of the samples before.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 #: Precision and shift of the encoder's own predictor coefficients.
 LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 2, 8, 6
 RATE = 8000
+#: Samples of a PCM block that a stream is read by.
+PCM = 1 << 16
 #: Bytes that are encoded or decoded side by side; their arrays take some fifty times as much.
 AT_ONCE = 3 << 19
 
@@ -185,26 +187,32 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8)
         samples = (data[frame * BLOCK : (frame + c) * BLOCK] ^ 128).tobytes()
         info += hashlib.md5(samples, usedforsecurity=False).digest()
-        streams.append(b"fLaC\x80" + len(info).to_bytes(3) + info + whole[a:b])
+        points = [k for k in range(0, c, POINT)][1:]
+        table = b"".join((k * BLOCK).to_bytes(8) + (int(start[frame + k]) - a).to_bytes(8) + BLOCK.to_bytes(2) for k in points)
+        seek = b"\x83" + len(table).to_bytes(3) + table if points else b""
+        streams.append(b"fLaC" + (b"\0" if points else b"\x80") + len(info).to_bytes(3) + info + seek + whole[a:b])
         frame += c
     return streams
 
 
 @dataclass
 class Info:
-    """What a stream's header says, and where its first frame starts."""
+    """What a stream's header says, where its first frame starts and what number it has, and
+    the seek points: ``(sample, place)``."""
 
     block: int
     bits: int
     total: int
     md5: bytes
     start: int
+    number: int = 0
+    points: tuple[tuple[int, int], ...] = ()
 
     @classmethod
     def of(cls, stream: bytes) -> Info:
         if stream[:4] != b"fLaC":
             raise ValueError("not a FLAC stream")
-        at, found = 4, None
+        at, found, points = 4, None, []
         while True:
             kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4])
             if kind & 127 == 0:
@@ -213,12 +221,16 @@ class Info:
                 if (packed >> 41) & 7 or (packed >> 36 & 31) not in (7, 15):
                     raise ValueError("only mono streams of 8 or 16 bits")
                 found = (int.from_bytes(s[2:4]), (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, s[18:34])
+            elif kind & 127 == 3:
+                for p in range(at + 4, at + 4 + size - 17, 18):
+                    points.append((int.from_bytes(stream[p : p + 8]), int.from_bytes(stream[p + 8 : p + 16])))
             at += 4 + size
             if kind & 128:
                 break
         if not found:
             raise ValueError("no STREAMINFO")
-        return cls(*found, at)
+        unused = (1 << 64) - 1  # marks a place that holds no point
+        return cls(*found, at, points=tuple((k, at + o) for k, o in points if k != unused))
 
 
 #: Block sizes by the header's code, where the code alone gives it.
@@ -254,9 +266,9 @@ def find_frames(stream: bytes, info: Info) -> list[tuple[int, int, int]]:
     """
     frames, at, done = [], info.start, 0
     while done < info.total:
-        head = frame_heads(stream, at, len(frames))
+        head = frame_heads(stream, at, info.number + len(frames))
         if head is None:
-            raise ValueError(f"no frame {len(frames)}")
+            raise ValueError(f"no frame {info.number + len(frames)}")
         frames.append((at, *head))
         done += head[1]
         if done >= info.total:
@@ -265,8 +277,8 @@ def find_frames(stream: bytes, info: Info) -> list[tuple[int, int, int]]:
         while True:
             after = stream.find(b"\xff\xf8", after)
             if after < 0:
-                raise ValueError(f"frame {len(frames)} is missing")
-            if frame_heads(stream, after, len(frames)):
+                raise ValueError(f"frame {info.number + len(frames)} is missing")
+            if frame_heads(stream, after, info.number + len(frames)):
                 break
             after += 1
         at = after
@@ -277,9 +289,9 @@ def checked_frames(stream: bytes, info: Info) -> list[tuple[int, int, int]]:
     """The slow way for a stream with a false sync code: every end is tried against the CRC-16."""
     frames, at, done = [], info.start, 0
     while done < info.total:
-        head = frame_heads(stream, at, len(frames))
+        head = frame_heads(stream, at, info.number + len(frames))
         if head is None:
-            raise ValueError(f"no frame {len(frames)}")
+            raise ValueError(f"no frame {info.number + len(frames)}")
         frames.append((at, *head))
         done += head[1]
         crc, last, end = 0, done >= info.total, at
@@ -290,7 +302,7 @@ def checked_frames(stream: bytes, info: Info) -> list[tuple[int, int, int]]:
             for b in stream[end:stop]:
                 crc = (crc << 8 & 0xFFFF) ^ int(CRC16[(crc >> 8) ^ b])
             end = stop
-            if crc == 0 and (last or frame_heads(stream, stop, len(frames))):
+            if crc == 0 and (last or frame_heads(stream, stop, info.number + len(frames))):
                 break
             if last:
                 raise ValueError(f"checksum of frame {len(frames) - 1}")
@@ -376,9 +388,10 @@ def residuals(read: Reader, at: np.ndarray, block: int, order: int) -> tuple[np.
     return out, at
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of every stream; every frame's checksums and the stream's MD5 are verified."""
-    infos = [Info.of(s) for s in streams]
+def decode(streams: list[bytes], infos: list[Info] | None = None) -> list[np.ndarray]:
+    """The samples of every stream (or of the part that ``infos`` names, up to the stream's end);
+    every frame's checksums and, of whole streams, the MD5 are verified."""
+    infos = infos or [Info.of(s) for s in streams]
     found = [find_frames(s, i) for s, i in zip(streams, infos)]
     data = np.frombuffer(b"".join(streams), np.uint8)
     shift = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
@@ -464,6 +477,32 @@ def to_flac(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(docs, [id_col, text_col], run, "doc_id bigint, n_bytes bigint, media binary", AT_ONCE)
 
 
+def read_samples(stream: bytes, first: int, n: int) -> np.ndarray:
+    """``n`` samples from ``first`` on (fewer at the end), decoding only the frames that hold them:
+    from the last seek point before, headers are followed to the frames."""
+    info = Info.of(stream)
+    end = min(first + n, info.total)
+    if end <= first:
+        return np.zeros(0, np.int32)
+    sample, at = max([(0, info.start), *(p for p in info.points if p[0] <= first)])
+    rest = replace(info, start=at, number=sample // info.block, total=min(info.total - sample, end - sample + info.block))
+    frames = find_frames(stream, rest)
+    ends = sample + np.cumsum([f[2] for f in frames])
+    skip, last = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, end, "left"))
+    stop = frames[last + 1][0] if last + 1 < len(frames) else len(stream)
+    before = int(ends[skip - 1]) if skip else sample
+    own = replace(info, start=frames[skip][0], number=rest.number + skip, total=int(ends[last]) - before, md5=bytes(16))
+    return decode([stream[:stop]], [own])[0][first - before : end - before]
+
+
+def blocks_of(stream: bytes, samples: np.ndarray, block: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """PCM blocks of a decoded stream: number, first sample, samples, and their bytes."""
+    kind = "<i1" if Info.of(stream).bits == 8 else "<i2"
+    for k, a in enumerate(range(0, len(samples), block)):
+        part = samples[a : a + block]
+        yield k, a, len(part), part.astype(kind).tobytes()
+
+
 def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """PCM blocks of every stream: ``doc_id``, ``block``, ``first_sample`` (where to seek), ``n_samples``, ``pcm``.
 
@@ -473,10 +512,8 @@ def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", m
         kept = [(i, s) for i, s in zip(ids, streams) if s is not None]
         out: dict[str, list] = {"doc_id": [], "block": [], "first_sample": [], "n_samples": [], "pcm": []}
         for (i, s), x in zip(kept, decode([s for _, s in kept]) if kept else []):
-            kind = "<i1" if Info.of(s).bits == 8 else "<i2"
-            for k, a in enumerate(range(0, len(x), block)):
-                part = x[a : a + block]
-                for c, v in zip(out, (i, k, a, len(part), part.astype(kind).tobytes())):
+            for row in blocks_of(s, x, block):
+                for c, v in zip(out, (i, *row)):
                     out[c].append(v)
         return out
 
@@ -484,50 +521,37 @@ def pcm_blocks(media: DataFrame, *, block: int = 4096, id_col: str = "doc_id", m
     return map_rows(media, [id_col, media_col], run, schema, AT_ONCE)
 
 
+def write_pcm_blocks(media: DataFrame, target: str, *, block: int = 4096) -> None:
+    """The PCM blocks of all streams as a table, a stream's blocks side by side in order of samples."""
+    pcm_blocks(media, block=block).write.parquet(target)
+
+
+def folded(blocks: Iterator[tuple[int, int, int, bytes]]) -> tuple[int, str, int, str]:
+    """Size, SHA-256, CRC-32 of the last 32 bytes and feature of the payload in a stream's PCM blocks, block by block."""
+    digest, tail, size, total, squares, changes, last = hashlib.sha256(), b"", 0, 0, 0, 0, None
+    for _, first, _, pcm in blocks:
+        if first != size:
+            raise ValueError("a block is missing")
+        x = np.frombuffer(pcm, "<i1").astype(np.int64)
+        payload = (x + 128).astype(np.uint8).tobytes()
+        digest.update(payload)
+        tail, size = (tail + payload)[-32:], size + len(payload)
+        sign = x < 0
+        changes += int((sign[1:] != sign[:-1]).sum()) + (last is not None and last != bool(sign[0]))
+        total, squares, last = total + int(x.sum()), squares + int((x * x).sum()), bool(sign[-1])
+    return size, digest.hexdigest(), zlib.crc32(tail), f"blocks={size // BLOCK};sum={total};squares={squares};sign_changes={changes}"
+
+
 def stored_features(docs: DataFrame) -> DataFrame:
-    """The columns of :func:`media_features` by way of the shared folder: streams are written and
-    read back, so are their PCM blocks, and the payload's digests come from the blocks."""
-    media = stored(to_flac(docs).withColumn("row", F.monotonically_increasing_id()), "media")
-    blocks = stored(pcm_blocks(media, id_col="row"), "pcm_blocks")
-    parts = blocks.select(F.col("doc_id").alias("row"), "first_sample", "pcm").repartition("row").sortWithinPartitions("row", "first_sample")
-    found = pa.schema([("row", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, digest, tail, size, total, squares, changes, last = None, None, b"", 0, 0, 0, 0, None
-
-        def ended() -> tuple:
-            feature = f"blocks={size // BLOCK};sum={total};squares={squares};sign_changes={changes}"
-            return row, size, digest.hexdigest(), zlib.crc32(tail), feature
-
-        def of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), found.types)], schema=found)
-
-        for batch in batches:
-            done = []
-            for number, first, pcm in zip(*(c.to_pylist() for c in batch.columns)):
-                if number != row:
-                    if row is not None:
-                        done.append(ended())
-                    row, digest, tail, size, total, squares, changes, last = number, hashlib.sha256(), b"", 0, 0, 0, 0, None
-                if first != size:
-                    raise ValueError("a block is missing")
-                x = np.frombuffer(pcm, "<i1").astype(np.int64)
-                payload = (x + 128).astype(np.uint8).tobytes()
-                digest.update(payload)
-                tail, size = (tail + payload)[-32:], size + len(payload)
-                sign = x < 0
-                changes += int((sign[1:] != sign[:-1]).sum()) + (last is not None and last != bool(sign[0]))
-                total, squares, last = total + int(x.sum()), squares + int((x * x).sum()), bool(sign[-1])
-            if done:
-                yield of(done)
-        if row is not None:
-            yield of([ended()])
-
-    small_batches(docs.sparkSession)
-    payloads = parts.mapInArrow(run, "row bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, feature string")
-    streams = media.select("doc_id", "row", "n_bytes", F.length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return streams.join(payloads, "row").select(*columns)
+    """The columns of :func:`media_features` by way of the shared folder: the streams are written
+    and read back, and the payload's digests come from the PCM blocks decoded from them.
+
+    The blocks themselves are passed on in memory: with them on disk as well (:func:`write_pcm_blocks`)
+    a corpus takes more than twice its size."""
+    target = shared_dir(docs.sparkSession, "media")
+    media = to_flac(docs)
+    media.write.option("compression", "zstd").parquet(target)
+    return media_features(docs.sparkSession.read.schema(media.schema).parquet(target))
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -535,22 +559,16 @@ def media_features(media: DataFrame) -> DataFrame:
     blocks, sum, sum of squares and sign changes of the samples."""
 
     def run(ids: list, sizes: list, streams: list) -> dict[str, list]:
-        decoded = decode(streams)
-        payloads = [(x + 128).astype(np.uint8).tobytes() for x in decoded]
-        features = []
-        for x in decoded:
-            sign = x < 0
-            changes = int((sign[1:] != sign[:-1]).sum())
-            features.append(f"blocks={len(x) // BLOCK};sum={int(x.sum())};squares={int((x * x).sum(dtype=np.int64))};sign_changes={changes}")
+        found = [folded(blocks_of(s, x, PCM)) for s, x in zip(streams, decode(streams))]
         return {
             "doc_id": ids,
             "n_bytes": sizes,
-            "payload_bytes": [len(p) for p in payloads],
-            "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads],
-            "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
+            "payload_bytes": [f[0] for f in found],
+            "payload_sha256": [f[1] for f in found],
+            "tail_crc32": [f[2] for f in found],
             "media_bytes": [len(s) for s in streams],
             "media_sha256": [hashlib.sha256(s).hexdigest() for s in streams],
-            "feature": features,
+            "feature": [f[3] for f in found],
         }
 
     schema = (

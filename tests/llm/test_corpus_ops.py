@@ -122,18 +122,45 @@ def test_flac_query(spark):
 
 
 def test_flac_query_reads_back_what_it_stores(spark, monkeypatch, tmp_path):
-    from meterlake.llm import common, queries
+    from meterlake.llm import queries
 
     docs = documents(spark, [None, "", "é" * 400, prose(2, 9000), prose(2, 9000), prose(3, 3000)]).union(documents(spark, ["again", "again"]))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     written = []
-    monkeypatch.setattr(common, "shared_dir", lambda spark, what: written.append(what) or str(tmp_path / what))
+    monkeypatch.setattr(flac, "shared_dir", lambda spark, what: written.append(what) or str(tmp_path / f"{what}{len(written)}"))
     got = queries.op5_flac(spark, str(tmp_path))
-    want = flac.media_features(flac.to_flac(docs))
-    assert got.columns == want.columns and got.dtypes == want.dtypes
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert written == ["media", "pcm_blocks"]
-    assert spark.read.parquet(str(tmp_path / "pcm_blocks")).agg(F.sum("n_samples")).first()[0] == sum(r["payload_bytes"] for r in want.collect())
+    plain = [(i, *flac.payload_of(t)) for i, t in docs.select("doc_id", "text").collect()]
+    streams = {p: flac.encode([p])[0] for _, _, p in plain}
+    rows = sorted(tuple(r)[:7] for r in got.collect())
+    assert rows == sorted((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(streams[p]), hashlib.sha256(streams[p]).hexdigest()) for i, n, p in plain)
+    assert written == ["media"]
+    media = spark.read.parquet(str(tmp_path / "media1"))
+    flac.write_pcm_blocks(media, str(tmp_path / "pcm"), block=1000)
+    blocks = spark.read.parquet(str(tmp_path / "pcm"))
+    assert blocks.agg(F.sum("n_samples")).first()[0] == sum(len(p) for _, _, p in plain)
+    assert flac.stored_features(docs.limit(0)).collect() == []
+
+
+def test_samples_are_read_without_decoding_what_is_before(monkeypatch):
+    payload = flac.payload_of(prose(5, 30_000))[1]
+    stream = flac.encode([payload])[0]
+    info = flac.Info.of(stream)
+    assert len(info.points) == (len(payload) // flac.BLOCK - 1) // flac.POINT and info.points
+    samples = flac.decode([stream])[0]
+    decoded = []
+    plain = flac.decode
+    monkeypatch.setattr(flac, "decode", lambda s, i: decoded.append(i[0].total) or plain(s, i))
+    rng = random.Random(2)
+    for _ in range(60):
+        first, n = rng.randrange(len(samples)), rng.choice([1, 100, 576, 5000])
+        assert (flac.read_samples(stream, first, n) == samples[first : first + n]).all()
+        assert decoded[-1] <= n + 2 * flac.BLOCK
+    assert len(flac.read_samples(stream, len(samples), 5)) == 0
+    damaged = bytearray(stream)
+    damaged[-10] ^= 1
+    assert len(flac.read_samples(bytes(damaged), 0, 500)) == 500  # other frames are not touched
+    with pytest.raises(ValueError):
+        flac.read_samples(bytes(damaged), len(samples) - 5, 5)
 
 
 # -- near duplicates -----------------------------------------------------------------
