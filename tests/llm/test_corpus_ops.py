@@ -455,21 +455,33 @@ def plain_model(texts, order):
     return p
 
 
-@pytest.mark.parametrize("shard", [4_000_000, 300])
-def test_kneser_ney_equals_its_definition(spark, shard):
+@pytest.mark.parametrize("hot", [4_000_000, 300, 0])
+def test_kneser_ney_equals_its_definition(spark, hot):
     trusted = [prose(i, 40) for i in range(6)] + ["a", None, ""]
     others = [prose(3, 20), "ZZZ 999 %%%", "é\U0001f600", "", None, prose(3, 20)]
     p = plain_model([t for t in trusted if t], perplexity.ORDER)
     model = perplexity.fit(documents(spark, trusted))
     docs = documents(spark, others).withColumn("lang", F.when(F.col("doc_id") == 5, None).otherwise(F.col("lang")))
-    got = {r["doc_id"]: r for r in perplexity.log_perplexities(docs, model, shard).collect()}
+    got = {r["doc_id"]: r for r in perplexity.log_perplexities(docs, model, hot).collect()}
     for i, t in enumerate(others[:5]):
-        padded = chr(2) * 3 + "".join(min(c, "￿") for c in t or "")
-        want = sum(math.log(p(padded[k : k + 4])) for k in range(len(padded) - 3))
+        n = perplexity.ORDER
+        padded = chr(2) * (n - 1) + "".join(min(c, "￿") for c in t or "")
+        want = sum(math.log(p(padded[k : k + n])) for k in range(len(padded) - n + 1))
         assert got[i]["total"] == pytest.approx(want, rel=1e-4, abs=1e-6)
     assert got[5]["total"] == 0 and len(got) == len(others)
 
 
+def test_classifier_of_odd_tables(spark):
+    docs = documents(spark, [None, "", prose(1, 50), prose(1, 50), prose(2, 60_000, 400)]).withColumn("score", F.lit(1))
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0), (3, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in perplexity.quality_classifier(docs, labels).collect()}
+    assert len(got) == 5 and not got[0]["kept"] and not got[1]["kept"] and got[0]["perplexity"] is None
+    assert got[2]["perplexity"] == got[3]["perplexity"] and got[4]["n_chars"] > 100_000
+    none = perplexity.quality_classifier(docs, labels.limit(0)).collect()
+    assert [r["kept"] for r in sorted(none, key=lambda r: r["doc_id"])] == [False, False, True, True, True]
+    assert perplexity.quality_classifier(docs.limit(0), labels).collect() == []
+
+
 def test_classifier_keeps_held_out_clean_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = perplexity.quality_classifier(docs, labels).join(labels, "doc_id")
