@@ -13,8 +13,14 @@ stretches: these are fetched, joined into one text for each task, and :mod:`indu
 sorts its suffixes with their common prefixes; windows with a common prefix of the full
 length form a class, and the class's least place stays.
 
-Filters of fixed size (a bit for each repeated piece's hash, and for each stretch to be
-fetched) keep the rest out of the exchanges; their false hits only cost time.
+A piece of very many distinct stretches (those at the edges of a passage that stands in
+a large share of the documents) would make one task sort them all: its stretches are dealt
+window by window instead, by a 128-bit hash of the window's bytes, and of equal windows
+all but the least are repeats.
+
+Filters of fixed size (a bit for each repeated piece's hash, for each stretch to be
+fetched, and for each crowded piece) keep the rest out of the exchanges; their false hits
+only cost time.
 
 Defined cases: a null or empty text has no bytes; texts shorter than the length stay
 whole; rows with equal ids and equal texts count as one document, those with equal
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +50,8 @@ PIECE = 48
 FILTER = 27
 #: Bytes of stretches that one suffix sort takes at once, at a piece's end.
 TEXT = 1 << 22
+#: Distinct stretches of a piece beyond which it is dealt by windows.
+CROWDED = 2048
 #: The place of rows without an id.
 LAST = (1 << 63) - 1
 
@@ -204,7 +213,8 @@ def sorted_out(rows: DataFrame) -> DataFrame:
     arrow = pa.schema([(c, pa.bool_() if c == "multi" else pa.int32() if c == "n" else pa.int64()) for c in names] + [("state", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the last piece's least stretches, until the next piece begins
+        waiting: pa.RecordBatch | None = None  # a piece's first row, until the next row tells whether it is alone
+        before: int | None = None  # the piece of the row before it
         last: tuple | None = None
         for batch in batches:
             cols = dict(zip([*names, "whole"], batch.columns))
@@ -219,46 +229,52 @@ def sorted_out(rows: DataFrame) -> DataFrame:
             repeat = (whole | same) & ~again
             rest = pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
             yield stated(rest.filter(pa.array(repeat)), 0)
-            mine = rest.filter(pa.array(~repeat & ~again))
             if len(key) and not whole[-1]:
                 last = (int(key[-1]), int(mark[-1]), *(int(x[-1]) for x in place))
-            held.append(mine)
-            table = pa.Table.from_batches(held).combine_chunks()
-            if not table.num_rows:
+            mine = rest.filter(pa.array(~repeat & ~again))
+            if waiting is not None:
+                mine = pa.Table.from_batches([waiting, mine]).combine_chunks().to_batches()[0]
+            if not mine.num_rows:
                 continue
-            keys = table["key"].to_numpy()
-            cut = int(np.searchsorted(np.cumsum(keys[::-1] != keys[-1]), 1))  # rows of the last piece
-            ready = table.slice(0, table.num_rows - cut)
-            yield from judged_rows(ready)
-            held = table.slice(table.num_rows - cut).to_batches()
-        if held:
-            yield from judged_rows(pa.Table.from_batches(held).combine_chunks())
+            keys = mine.column(0).to_numpy()
+            several = mine.column(6).to_numpy(zero_copy_only=False).copy()
+            several[1:] |= keys[1:] == keys[:-1]
+            several[:-1] |= keys[1:] == keys[:-1]
+            several[0] |= before == int(keys[0])
+            stop = len(keys) if several[-1] else len(keys) - 1
+            waiting = None if several[-1] else mine.slice(stop)
+            before = int(keys[-1]) if several[-1] else int(keys[-2]) if len(keys) > 1 else before
+            yield stated(mine.slice(0, stop), 1 + several[:stop])
+        if waiting is not None:
+            yield stated(waiting, 1)
 
     def stated(batch: pa.RecordBatch, state: int | np.ndarray) -> pa.RecordBatch:
         column = pa.array(np.full(batch.num_rows, state, np.int32) if isinstance(state, int) else state.astype(np.int32))
         return pa.RecordBatch.from_arrays([*batch.columns, column], schema=arrow)
 
-    def judged_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        if table.num_rows:
-            keys = table["key"].to_numpy()
-            equal = keys[1:] == keys[:-1]
-            several = np.append(False, equal) | np.append(equal, False) | table["multi"].to_numpy(zero_copy_only=False)
-            yield stated(table.to_batches()[0], 1 + several)
-
     return parts.mapInArrow(run, PLACE + ", state int")
 
 
-def fetched(docs: DataFrame, held, wanted) -> DataFrame:
-    """The stretches whose places the second filter knows, with their bytes."""
+def fetched(docs: DataFrame, held, wanted, crowded) -> DataFrame:
+    """The stretches whose places the second filter knows, with their bytes; those of crowded
+    pieces as windows, whose hash stands for key and mark, without."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
         names = ["key", "mark", "doc", "sub", "at", "n", "multi", "bytes"]
         cols: list[list] = [[] for _ in names]
         for start, part in parts_of(texts):
             found = found_in(part, ids[start : start + len(part)], held.value)
-            hit = np.flatnonzero(holds(wanted.value, place_hash(found[0], found[1], found[2], found[4]))).tolist()
-            for col, x in zip(cols, found):
-                col += [x[i] for i in hit]
+            hit = holds(wanted.value, place_hash(found[0], found[1], found[2], found[4]))
+            many = hit & holds(crowded.value, np.array(found[0], np.int64).view(np.uint64)) if len(hit) else hit
+            for i in np.flatnonzero(hit & ~many).tolist():
+                for col, x in zip(cols, found):
+                    col.append(x[i])
+            for i in np.flatnonzero(many).tolist():
+                _, _, doc, sub, at, n, _, raw = (x[i] for x in found)
+                for k in range(n):
+                    high, low = divmod(xxhash.xxh3_128_intdigest(raw[k : k + LENGTH], 11), 1 << 64)
+                    for col, v in zip(cols, (low - (1 << 63), high - (1 << 63), doc, sub, at + k, 1, False, None)):
+                        col.append(v)
         return dict(zip(names, cols))
 
     return map_rows(docs, ["doc_id", "text"], run, PLACE + ", bytes binary")
@@ -310,7 +326,7 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text: list[tuple] = []  # stretches of whole pieces
         piece: list[tuple] = []
-        size, last = 0, None
+        size, last, window = 0, None, (None, None)
 
         def spans() -> pa.RecordBatch:
             cols: list[list] = [[] for _ in arrow]
@@ -322,7 +338,15 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=arrow)
 
         for batch in batches:
+            equal: list[tuple[int, int, int]] = []
             for key, mark, doc, sub, at, n, multi, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if raw is None:  # a window of a crowded piece: the least place comes first
+                    if window == (key, mark, doc, sub, at):
+                        continue
+                    if window[:2] == (key, mark):
+                        equal.append((doc, sub, at))
+                    window = (key, mark, doc, sub, at)
+                    continue
                 if last == (key, mark):
                     continue  # a false hit of the filter; the least place came first
                 if piece and piece[0][0] != key:
@@ -335,6 +359,9 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
                         text, size = [], 0
                 last = (key, mark)
                 piece.append((key, (doc, sub, at), n, raw, multi))
+            if equal:
+                doc, sub, at = (pa.array(c, pa.int64()) for c in zip(*equal))
+                yield pa.RecordBatch.from_arrays([doc, sub, at, pc.add(at, LENGTH)], schema=arrow)
         if len(piece) > 1 or piece and piece[0][4]:
             text += piece
         if text:
@@ -350,7 +377,9 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     found = stored(sorted_out(occurrences(docs, held)), "occurrences")
     least = found.filter("state = 2")
     wanted = context.broadcast(filter_words(hashed(least)))  # of fixed size
-    spans = sorted_stretches(fetched(docs, held, wanted))
+    many = least.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED)
+    crowded = context.broadcast(filter_words(many))  # of fixed size
+    spans = sorted_stretches(fetched(docs, held, wanted, crowded))
     whole = found.filter("state = 0").select("doc", "sub", F.col("at").alias("from"), (F.col("at") + F.col("n") + LENGTH - 1).alias("end"))
     every = whole.unionByName(spans)
     return every.groupBy("doc", "sub").agg(F.collect_list("from").alias("froms"), F.collect_list("end").alias("ends"))

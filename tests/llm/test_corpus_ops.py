@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meterlake.llm import flac, induced, mixing, perplexity, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
+from meterlake.llm import common, flac, induced, mixing, perplexity, quality_rules, secret_scan, simhash, suffix_dedup, url_filter
 from meterlake.llm.components import components
 from meterlake.llm.queries import ORACLE
 
@@ -311,7 +311,9 @@ def plain_dedup(rows, length):
     return out
 
 
-def test_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 3, 0])
+def test_dedup_equals_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     passage, other = prose(50, 40), prose(51, 25)
     texts = [None, "", "short", "ab" * 150, "a" * 700, passage, prose(1, 30) + " " + passage + " é " + prose(2, 10), passage, passage[:99], "x" + passage[3:160] + "y" + passage[3:160], other + passage + other]
     texts += [prose(60, 20) + other[:130] + prose(60 + i, 9) for i in range(12)] + ["é" * 60, "ü" + "é" * 60]
@@ -320,6 +322,16 @@ def test_dedup_equals_brute_force(spark):
     assert suffix_dedup.suffix_dedup(documents(spark, [])).collect() == []
 
 
+def test_dedup_of_a_passage_in_every_document(spark, monkeypatch):
+    """A passage whose edges differ everywhere, in small batches of rows, so that pieces go on from one to the next."""
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 20)
+    monkeypatch.setattr(common, "BATCH_ROWS", 7)
+    passage = prose(90, 30)
+    texts = [prose(100 + i, 12) + passage + prose(400 + i, 12) for i in range(90)] + [prose(100, 12)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.suffix_dedup(documents(spark, texts)).collect()}
+    assert got == plain_dedup([(i, t.encode()) for i, t in enumerate(texts)], 100)
+
+
 def test_dedup_keeps_the_first_of_repeated_rows(spark):
     passage, other, third = prose(70, 40), prose(71, 40), prose(72, 50)
     rows = [(3, passage), (3, passage), (5, "y " + passage + third), (5, "y " + passage + third), (1, "short"), (1, "short")]
