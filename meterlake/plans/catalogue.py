@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.functions.scalars import local_date, next_run, report_date, schedule_list
+from meterlake.functions.scalars import local_date, report_date
 from meterlake.operators import caches, correction, delivery, facts
 from meterlake.operators.facts import Scope
 from meterlake.plans import serving
@@ -556,10 +556,14 @@ def _(spark, d):
     return joined.groupBy("timezone", local_date(F.col("ts"), F.col("timezone")).alias("usage_date")).agg(F.count("*").alias("n"))
 
 
-@query("report_dates", "SELECT i AS id, d AS usage_date FROM (VALUES (1, '2024-01-05'), (2, '2024-01-05'), (3, '2026-04-28'), (4, 'someday'), (5, '2026-13-99')) t(i, d)")
+#: Dates in the forms that reports write, from the events' days.
+_DATES = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN date_format(ts, 'yyyy-MM-dd') WHEN 1 THEN date_format(ts, "yyyy-MM-dd'T'23:59:00'Z'") WHEN 2 THEN date_format(ts, 'MMM d, yyyy')
+  WHEN 3 THEN 'someday ' || CAST(event_id AS STRING) ELSE date_format(ts, "yyyy-MM-dd'T'23:30:00-02:00") END AS t FROM events"""
+
+
+@query("report_dates", "SELECT event_id AS id, CASE event_id % 5 WHEN 3 THEN 'someday ' || event_id WHEN 4 THEN strftime(CAST(ts AS DATE) + 1, '%Y-%m-%d') ELSE strftime(CAST(ts AS DATE), '%Y-%m-%d') END AS usage_date FROM events")
 def _(spark, d):
-    rows = [(1, "2024-01-05"), (2, "2024-01-05T23:59:00Z"), (3, "Apr 28, 2026"), (4, "someday"), (5, "2026-13-99")]
-    return spark.createDataFrame(rows, "id int, t string").select("id", report_date(F.col("t")).alias("usage_date"))
+    return _sql(spark, d, _DATES).select("id", report_date(F.col("t")).alias("usage_date"))
 
 
 # -- delivery ------------------------------------------------------------------------
@@ -603,20 +607,6 @@ def _(spark, d):
     return delivery.new_deliveries(log.filter("ordinal % 2 = 0"), log.filter("ordinal % 2 = 1"))
 
 
-@query("next_run_schedule", "SELECT i AS id, CAST(t AS TIMESTAMP) AS next_run_at FROM (VALUES (1, '2026-04-30 01:30:00'), (2, '2026-04-29 10:00:00'), (3, '2026-04-29 10:00:00'), (4, '2026-05-01 01:30:00')) v(i, t)")
-def _(spark, d):
-    rows = [(1, "2026-04-29 02:00:00", "09:30", []), (2, "2026-04-29 08:00:00", "", []), (3, "2026-04-29 02:00:00", "18:00, 09:30", []), (4, "2026-04-29 02:00:00", "09:30", [5])]
-    df = spark.createDataFrame(rows, "id int, now string, slots string, days array<int>")
-    return df.select("id", next_run(F.to_timestamp("now"), F.lit("Asia/Shanghai"), schedule_list(F.col("slots")), F.col("days")).alias("next_run_at"))
-
-
-@query("retry_state_transition", "SELECT i AS id, r AS retry, CAST(t AS TIMESTAMP) AS next_run_at, f AS failure_count FROM (VALUES (1, false, '2024-01-16 09:30:00', 0), (2, true, '2024-01-15 12:05:00', 1), (3, true, '2024-01-15 12:30:00', 2), (4, false, '2024-01-16 09:30:00', 0)) v(i, r, t, f)")
-def _(spark, d):
-    df = spark.createDataFrame([(1, "sent", 1), (2, "failed", 1), (3, "failed", 2), (4, "failed", 3)], "id int, outcome string, attempt int")
-    df = df.withColumns({"timezone": F.lit("UTC"), "slots": F.array(F.lit("09:30")), "weekdays": F.array().cast("array<int>")})
-    return delivery.after_attempt(df, F.lit("2024-01-15 12:00:00").cast("timestamp")).select("id", "retry", "next_run_at", "failure_count")
-
-
 @query(
     "rate_limit_fixed_window",
     """WITH RECURSIVE e AS (SELECT CAST(user_id AS STRING) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id AS id FROM events), w(key, opened) AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meterlake.functions.scalars import next_run
 from meterlake.operators import delivery, history, subscriptions
 from meterlake.plans.account_queries import zones
 from meterlake.plans.registry import NOW, USER, query
@@ -203,6 +204,30 @@ def _(spark, d):
     return subscriptions.deleted(view(spark, d, "subscriptions"), spark.sql(_SWITCHES.replace("FROM part", "FROM facade_part")))
 
 
+@query("next_run_schedule", ctes("subscriptions") + f", {_REPAIRED} SELECT id, {_next(_AT)} AS next_run_at FROM sub")
+def _(spark, d):
+    rows = subscriptions.scheduled(view(spark, d, "subscriptions"))
+    moment = F.lit(NOW).cast("timestamp")
+    return rows.select("id", subscriptions.iso(next_run(moment, F.col("timezone"), F.col("slots"), F.col("days"))).alias("next_run_at"))
+
+
+#: Attempts with their outcomes, a subscription's slots.
+_ATTEMPTS = "o AS (SELECT *, CASE CAST(substr(id, 5) AS INT) % 3 WHEN 0 THEN 'sent' ELSE 'failed' END AS outcome, failure_count + 1 AS attempt FROM sub)"
+
+
+@query(
+    "retry_state_transition",
+    ctes("subscriptions") + f""", {_REPAIRED}, {_ATTEMPTS} SELECT id, outcome = 'failed' AND attempt < 3 AS retry, CASE WHEN outcome = 'failed' AND attempt < 3 THEN CASE attempt WHEN 1 THEN '2024-01-15T12:05:00.000Z' ELSE '2024-01-15T12:30:00.000Z' END ELSE {_next(_AT)} END AS next_run_at,
+      CASE WHEN outcome = 'failed' AND attempt < 3 THEN attempt ELSE 0 END AS failure_count FROM o""",
+)
+def _(spark, d):
+    rows = subscriptions.scheduled(view(spark, d, "subscriptions")).withColumn("weekdays", F.col("days"))
+    outcome = F.when(F.substring("id", 5, 20).cast("int") % 3 == 0, "sent").otherwise("failed")
+    rows = rows.withColumns({"outcome": outcome, "attempt": F.col("failure_count") + 1}).drop("next_run_at", "failure_count")
+    found = delivery.after_attempt(rows, F.lit(NOW).cast("timestamp"))
+    return found.select("id", "retry", subscriptions.iso(F.col("next_run_at")).alias("next_run_at"), "failure_count")
+
+
 # -- history -------------------------------------------------------------------------
 
 #: Reports that runs make: some of stored keys, some twice in a batch.

@@ -11,7 +11,7 @@ from meterlake.operators import correction
 from meterlake.plans.registry import query
 from meterlake.sources import child_logs, scans
 from meterlake.sources.facade import ctes, view
-from meterlake.streaming import ingest
+from meterlake.streaming import ingest, jobs
 from meterlake.streaming.store import VersionedTable
 
 
@@ -79,6 +79,19 @@ def _(spark, d):
     return scans.with_cached(fresh, manifest, rows.filter("total_tokens % 2 = 1"), files.filter(number < 20), "now")
 
 
+@query("upload_batches", ctes("usage") + " SELECT user_id, device_id, source, usage_date, model, CAST((row_number() OVER (PARTITION BY user_id, device_id ORDER BY usage_date, source, model) - 1) // 30 AS INT) AS upload FROM usage")
+def _(spark, d):
+    return jobs.uploads(view(spark, d, "usage").select("user_id", "device_id", "source", "usage_date", "model"))
+
+
+_LOG_FILES = "SELECT 'log' || CAST(event_id AS STRING) AS path, event_id * 5000 AS size, event_id * 3600000 AS mtime_ms FROM events"
+
+
+@query("log_rotation", f"WITH l AS ({_LOG_FILES}) SELECT *, CASE WHEN mtime_ms < 500 * 3600000::BIGINT - 604800000 THEN 'drop' ELSE 'rotate' END AS action FROM l WHERE mtime_ms < 500 * 3600000::BIGINT - 604800000 OR size > 1048576")
+def _(spark, d):
+    return jobs.to_rotate(_sql(spark, d, _LOG_FILES), 500 * 3_600_000)
+
+
 # -- child sessions ------------------------------------------------------------------
 
 _COUNTERS = correction.COUNTERS

@@ -16,7 +16,7 @@ from meterlake.operators import caches, correction, facts, refresh
 from meterlake.plans import serving
 from meterlake.schema import USAGE
 from meterlake.sources import child_logs, reports, scans, session_logs
-from meterlake.streaming import ingest
+from meterlake.streaming import ingest, jobs
 from meterlake.streaming.store import VersionedTable
 
 
@@ -357,3 +357,30 @@ def test_report_files(spark, tmp_path):
     (tmp_path / "note.txt").write_text("{}")
     got = reports.normalize(reports.read_documents(spark, str(tmp_path))).collect()
     assert [(r["usage_date"], r["model"], r["total_tokens"]) for r in got] == [("2026-04-28", "m", 3)]
+
+
+def test_a_tick_goes_on_after_a_failure(spark):
+    usage = usage_rows(spark, [("u", "d", "codex", "2026-01-01", "m", 5, "t1", "a")])
+    summary = facts.summarize(usage.limit(0))
+    stored = {}
+
+    def deliver():
+        raise OSError("down")
+
+    history = spark.createDataFrame([("2026-01-01",), ("2026-01-20",)], "report_date string")
+    got = jobs.tick(refresh.Tables(usage, summary, caches.totals_of(summary)), refresh.Backfill(), history, "2026-01-20", 7, 50, "now", deliver, stored.__setitem__)
+    assert isinstance(got["delivery"], OSError) and got["backfill"] is None and got["prune"] is None
+    assert stored["state"].completed_at == "now" and stored["summary"].count() == 1 and stored["totals"].count() == 1 and stored["history"].count() == 1
+
+
+def test_uploads_are_tried_again():
+    waits, left = [], [OSError(), TimeoutError()]
+
+    def send():
+        if left:
+            raise left.pop()
+
+    assert jobs.sent(send, sleep=waits.append) == 3 and waits == [1.0, 2.0]
+    left[:] = [OSError(), OSError(), OSError()]
+    with pytest.raises(OSError):
+        jobs.sent(send, sleep=waits.append)
