@@ -40,6 +40,9 @@ def js_number(x: Column) -> Column:
     big = F.abs(x) >= 1e21
     small = (F.abs(x) < 1e-6) & (x != 0)
     sign = F.when(power > 0, F.lit("e+")).otherwise(F.lit("e"))
+    digits = F.regexp_replace(mantissa, r"[-.]", "")
+    tiny = F.concat(F.when(x < 0, "-").otherwise(""), F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when(F.abs(x) < 1, tiny).otherwise(plain)
     return F.when(big | small, F.concat(mantissa, sign, power.cast("string"))).when(text.contains("E"), plain).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 

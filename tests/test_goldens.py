@@ -32,8 +32,8 @@ def test_rates_and_rounding(spark):
 
 
 def test_number_text(spark):
-    rows = [(1.0,), (0.01,), (1e-7,), (1e21,), (0.0,), (12345678.5,), (0.000123,)]
-    assert values(spark, "x double", rows, S.js_number(F.col("x"))) == ["1", "0.01", "1e-7", "1e+21", "0", "12345678.5", "0.000123"]
+    rows = [(1.0,), (0.01,), (1e-7,), (1e21,), (0.0,), (12345678.5,), (0.000123,), (0.00019786307874950534,), (-0.0005,), (123456789012345680000.0,)]
+    assert values(spark, "x double", rows, S.js_number(F.col("x"))) == ["1", "0.01", "1e-7", "1e+21", "0", "12345678.5", "0.000123", "0.00019786307874950534", "-0.0005", "123456789012345680000"]
 
 
 @pytest.mark.parametrize(
