@@ -5,9 +5,9 @@ document a posterior over domains. Projected gradient steps (accelerated) then f
 nonnegative document rates, least squares from 1, whose expected domain token totals
 match the targets. Residuals count in units of each domain's own tokens, so that rare
 domains are met as soon and as well as common ones. A step sends two vectors of domain
-totals to the driver; a document's rate follows from its posterior and the last few steps,
-before which its state is written to the shared folder, so that a lost executor costs
-nothing but its tasks.
+totals to the driver. A document's rate follows from its posterior and the steps so far; the
+numbers that the steps work on are written to the shared folder now and then, so that the
+work grows with the steps and a lost executor costs nothing but its tasks.
 
 Defined cases: a null or empty text has no tokens, takes the prior as posterior and
 weighs nothing; documents without a label are only scored; of clashing labels of one
@@ -36,7 +36,7 @@ BUCKETS = 1 << 16
 SAMPLE = 20_000
 #: Word types that a worker remembers, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
-#: Steps after which the documents' state is written down.
+#: Steps after which the numbers that the steps work on are written down.
 REPLAYED = 32
 #: A feature counts as evidence if it stands in so many sampled documents at least, and
 #: in so many standard errors more of some domain's than chance would have it.
@@ -194,15 +194,16 @@ def fitted(documents: DataFrame, targets: Targets, scale: float = 1.0) -> DataFr
     (targets that the posteriors cannot meet, as of a domain without documents). Steps read
     the numbers alone, not the documents."""
     start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("point")).alias("state")
-    members, momentum = documents.select("row", "m", start), 1.0
+    whole, members, momentum = documents.select("row", "m", start), documents.select("m", start), 1.0
     masses = documents.agg(F.sum("m.n_tokens"), *(F.sum(F.col("m.n_tokens") * F.col(f"m.{c}")) for c in SHARES)).first()
     if not masses[0]:
-        return members
+        return whole
     total, mass = masses[0], np.array(masses[1:], float) / masses[0]
     goal = scale * np.array(targets.shares)
     width = 2 * len(DOMAINS)
     names = [f"s{k}" for k in range(width)]
-    history: list[np.ndarray] = []
+    history: list[np.ndarray] = []  # since the numbers were written
+    every: list[np.ndarray] = []
     before = None
     for _ in range(targets.steps + 1):
 
@@ -224,11 +225,12 @@ def fitted(documents: DataFrame, targets: Targets, scale: float = 1.0) -> DataFr
             break
         before = at_rate
         history.append(np.where(mass > 0, (at_point - goal) / np.where(mass > 0, mass, 1), 0.0))
+        every.append(history[-1])
         if len(history) == REPLAYED:
             members = stored(with_state(members, history, momentum, targets.near_one), "rates")
             none = np.zeros((0, len(DOMAINS)))
             momentum, history = rates_of(none, (np.zeros(0), np.zeros(0), momentum), history, targets.near_one)[2], []
-    return with_state(members, history, momentum, targets.near_one)
+    return with_state(whole, every, 1.0, targets.near_one)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Targets = Targets()) -> DataFrame:

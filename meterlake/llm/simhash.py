@@ -118,15 +118,16 @@ def lanes_of(hashes: np.ndarray, plan: Plan) -> list[int]:
 
 def min_hashes(hashes: np.ndarray, plan: Plan) -> list[int]:
     """For each block a hash of ``plan.least`` min-hashes of the shingles, as signed 64-bit integers."""
-    out = []
-    for block in range(len(plan.offsets)):
-        found = np.uint64(block)
-        for k in range(plan.least):
-            salt = 1000 + block * plan.least + k
-            parts = [mixed(hashes[a : a + STEP], salt).min() for a in range(0, len(hashes), STEP)]
-            found = mixed(np.array([found ^ (min(parts) if parts else np.uint64(0))], np.uint64), 7 + k)[0]
-        out.append(int(found.view(np.int64)))
-    return out
+    salts = mixed(np.arange(len(plan.offsets) * plan.least, dtype=np.uint64), 1000)
+    least = np.zeros(len(salts), np.uint64)
+    for a in range(0, len(hashes), STEP):  # the hashes are mixed well: a product by an odd number orders them anew
+        part = hashes[a : a + STEP]
+        found = np.fromiter(((part * (salt | np.uint64(1))).min() for salt in salts), np.uint64, len(salts))
+        least = np.minimum(least, found) if a else found
+    out = np.zeros(len(plan.offsets), np.uint64)
+    for k in range(plan.least):
+        out = mixed(out ^ least[k :: plan.least], 7 + k)
+    return out.view(np.int64).tolist()
 
 
 def block_names(plan: Plan) -> list[str]:
@@ -303,10 +304,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = EXACT, *, id_col: str = "doc_i
     return prints.withColumn("node", hex_of(lanes)).join(found, "node").select("doc_id", F.col("node").alias("fingerprint"), "component_id")
 
 
-def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set (sorted) the least one that pairs of that similarity or more connect it to."""
+def alike(sets: list[np.ndarray], similarity: float, known: list[str]) -> np.ndarray:
+    """For each set (sorted) the least one that pairs of that similarity or more connect it to;
+    sets of one ``known`` name are connected already."""
     size = np.array([len(x) for x in sets], np.int64)
-    label = np.arange(len(sets))
+    place: dict[str, int] = {}
+    label = np.array([place.setdefault(name, i) for i, name in enumerate(known)])
     for i in range(len(sets) - 1):
         if not size[i]:
             continue
@@ -327,37 +330,51 @@ def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def verify(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Edges between names, of groups (runs of equal ``cluster`` and ``pair``) in a sorted partition."""
     names: list[str] = []
+    known: list[str] = []
     sets: list[np.ndarray] = []
     last = None
 
     def edges() -> pa.RecordBatch:
-        label = alike(sets, plan.similarity).tolist()
-        tied = [i for i, j in enumerate(label) if i != j]
+        label = alike(sets, plan.similarity, known).tolist()
+        tied = [i for i, j in enumerate(label) if names[i] != names[j]]
         return pa.RecordBatch.from_arrays([pa.array([names[i] for i in tied], pa.string()), pa.array([names[label[i]] for i in tied], pa.string())], schema=schema)
 
     for batch in batches:
-        for cluster, pair, name, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for cluster, pair, name, part, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if last != (cluster, pair):
                 if len(sets) > 1:
                     yield edges()
-                names, sets, last = [], [], (cluster, pair)
+                names, known, sets, last = [], [], [], (cluster, pair)
             names.append(name)
+            known.append(part)
             sets.append(np.frombuffer(raw, np.uint64))
     if len(sets) > 1:
         yield edges()
 
 
+def verified(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """Edges ``a``, ``b`` between the ``name`` of rows of one ``cluster`` and ``pair`` whose sets are alike;
+    rows of one ``known`` name are connected already."""
+    dealt = rows.join(sets, ["t", "mark"]).select("cluster", "pair", "name", "known", "shingles")
+    dealt = dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "name")
+    small_batches(rows.sparkSession)
+    arrow = pa.schema([("a", pa.string()), ("b", pa.string())])
+    return stored(dealt.mapInArrow(lambda batches: verify(batches, plan, arrow), "a string, b string"), "verified")
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Edges ``a``, ``b`` (names) that connect all shingle sets of the similarity.
 
     ``nodes``: a row a distinct set with its ``name``, ``mark``, the hash ``t`` of one of its
-    texts, and its fingerprint. Only sets with a candidate are fetched."""
-    spark = docs.sparkSession
+    texts, and its fingerprint. Only sets with a candidate are fetched. A large group of candidates
+    is dealt into parts, each with the group's first set: copies of one text are connected through it,
+    and a set travels once. Only where that leaves several components, the sets outside the
+    largest meet each other and all parts of the largest."""
     lanes = [f"f{k}" for k in range(plan.lanes)]
     groups = components(links(nodes.select(*lanes, *block_names(plan)).distinct(), plan))
     placed = nodes.withColumn("node", hex_of(lanes)).join(groups, "node", "left")
     placed = placed.select("name", "mark", "t", F.coalesce("component", "node").alias("cluster"))
-    many = placed.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1")
+    many = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "t")).alias("first")).filter("n > 1")
     members = stored(placed.join(many, "cluster"), "candidates")
 
     def run(texts_of: list, texts: list) -> dict[str, list]:
@@ -366,16 +383,28 @@ def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
 
     wanted = docs.select(text_hash(), "text").join(members.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
     sets = stored(map_rows(wanted, ["t", "text"], run, "t bigint, mark bigint, shingles binary"), "shingles")
-    chunks = F.ceil(F.col("n") / SETS).cast("int")
-    rows = (
-        members.withColumns({"chunks": chunks, "mine": F.pmod(F.xxhash64("name"), chunks).cast("int")})
-        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("cluster", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("pair"), "name", "t", "mark")
-    )
-    dealt = rows.join(sets, ["t", "mark"]).select("cluster", "pair", "name", "shingles").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "name")
-    small_batches(spark)
-    arrow = pa.schema([("a", pa.string()), ("b", pa.string())])
-    return stored(dealt.mapInArrow(lambda batches: verify(batches, plan, arrow), "a string, b string"), "verified")
+    parts = lambda n: F.ceil(n / SETS).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("name"), F.greatest(parts(n), F.lit(1))).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    own = members.select("cluster", part(F.col("n")).alias("pair"), "name", "t", "mark", F.col("name").alias("known"))
+    large = stored(members.filter(F.col("n") > SETS), "large")
+    if large.isEmpty():
+        return verified(own, sets, plan)
+    firsts = large.groupBy("cluster").agg(F.min("first").alias("x"), F.max("n").alias("n")).select("cluster", upto(F.col("n")).alias("pair"), "x.name", "x.t", "x.mark", F.col("x.name").alias("known"))
+    once = verified(own.unionByName(firsts), sets, plan)
+    of = large.drop("n", "first").join(components(once).withColumnRenamed("node", "name"), "name", "left").withColumn("known", F.coalesce("component", "name")).drop("component")
+    of = stored(of, "parts")
+    sizes = of.groupBy("cluster", "known").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.count("*").alias("several")).filter("several > 1")
+    rows = of.join(main.withColumn("outer", F.col("n") - F.col("inner")).drop("n", "several"), "cluster")
+    inner, outer, across = F.col("inner"), F.col("outer"), parts(F.col("inner"))
+    columns = ["cluster", "pair", "name", "t", "mark", "known"]
+    inside = rows.filter("known = main").withColumns({"mine": part(inner), "other": upto(outer)}).withColumn("pair", F.col("other") * across + F.col("mine")).select(*columns)
+    apart = rows.filter("known <> main").withColumn("mine", part(outer))
+    met = apart.withColumn("other", upto(inner)).withColumn("pair", F.col("mine") * across + F.col("other")).select(*columns)
+    lower, upper = F.least("mine", "other"), F.greatest("mine", "other")
+    among = apart.withColumn("other", upto(outer)).withColumn("pair", parts(outer) * across + lower * parts(outer) + upper).select(*columns)
+    return once.unionByName(verified(inside.unionByName(met).unionByName(among), sets, plan))
 
 
 def mark_of(hashes: np.ndarray) -> int:

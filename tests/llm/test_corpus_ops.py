@@ -271,7 +271,7 @@ def test_similar_documents_equal_exact_jaccard(spark, monkeypatch):
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     assert sum(0.65 <= x < 0.8 for x in share.values()) >= 10 and sum(0.8 <= x < 0.9 for x in share.values()) >= 10
-    for chunk in (1024, 2):  # pairs of chunks
+    for chunk in (1024, 8, 2):  # pairs of parts
         monkeypatch.setattr(simhash, "SETS", chunk)
         got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
         assert [got[i] for i in range(len(texts))] == label
