@@ -19,8 +19,9 @@ import tempfile
 
 import numpy as np
 
-#: Tuples that a queue holds in memory before it goes to its scratch file.
-IN_MEMORY = 1 << 22
+#: Tuples that a queue holds in memory (9 bytes each) before it goes to its scratch file. A sort of
+#: 4 MB has some 3 million of them in a pass, so that its queues do go there.
+IN_MEMORY = 1 << 18
 
 
 class SymbolQueue:

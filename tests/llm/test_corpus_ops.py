@@ -311,6 +311,27 @@ def plain_dedup(rows, length):
     return out
 
 
+def test_a_sort_of_production_size_spills(monkeypatch):
+    """A text as large as a task's goes through the scratch file, and comes out as without."""
+    spilled = []
+    plain = induced.SymbolQueue.spill
+    monkeypatch.setattr(induced.SymbolQueue, "spill", lambda self: spilled.append(self.held) or plain(self))
+    raw = np.frombuffer(" ".join(prose(i, 400, 3000) for i in range(400)).encode()[: suffix_dedup.TEXT // 4], np.uint8).astype(np.int16) + 2
+    text = raw.copy()
+    text[::150] = 1
+    text = np.append(text, 0).astype(np.int16)
+    order, prefix = induced.suffix_order(text, suffix_dedup.LENGTH, 258)
+    assert len(spilled) >= 2 and max(spilled) > induced.IN_MEMORY
+    spilled.clear()
+    again, same = induced.suffix_order(text, suffix_dedup.LENGTH, 258, in_memory=1 << 30)
+    assert not spilled and (order == again).all() and (prefix == same).all()
+    at = np.random.default_rng(1).integers(1, len(order), 3000)
+    flat = text.astype(np.uint8).tobytes()
+    for i in at.tolist():
+        a, b = (flat[k : k + suffix_dedup.LENGTH] for k in (int(order[i - 1]), int(order[i])))
+        assert a <= b and (a[: prefix[i]] == b[: prefix[i]])
+
+
 @pytest.mark.parametrize("crowded", [suffix_dedup.CROWDED, 3, 0])
 def test_dedup_equals_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
