@@ -316,7 +316,7 @@ def test_a_sort_of_production_size_spills(monkeypatch):
     spilled = []
     plain = induced.SymbolQueue.spill
     monkeypatch.setattr(induced.SymbolQueue, "spill", lambda self: spilled.append(self.held) or plain(self))
-    raw = np.frombuffer(" ".join(prose(i, 400, 3000) for i in range(400)).encode()[: suffix_dedup.TEXT // 4], np.uint8).astype(np.int16) + 2
+    raw = np.frombuffer(" ".join(prose(i, 400, 3000) for i in range(1800)).encode()[: suffix_dedup.TEXT], np.uint8).astype(np.int16) + 2
     text = raw.copy()
     text[::150] = 1
     text = np.append(text, 0).astype(np.int16)
