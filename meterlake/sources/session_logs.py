@@ -84,22 +84,26 @@ def extracted(lines: DataFrame, zone: str | Column = "UTC") -> DataFrame:
     doc = F.try_parse_json("value")
     rows = once(lines, {"doc": doc})
     rows = once(rows, {"object": F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))})
-    payload = member(F.col("doc"), "$.payload")
-    info = F.try_variant_get(F.col("doc"), "$.payload.info", "variant")
-    counted = (json_text(F.col("doc"), "type") == "event_msg") & (json_text(payload, "type") == "token_count")
-    usage_a = F.when(counted, first_object(info, "$.last_token_usage", payload, "$.usage"))
-    message = F.coalesce(member(F.col("doc"), "$.message"), F.col("doc"))
-    usage_b = first_object(message, "$.usage", F.col("doc"), "$.usage")
     a = F.col("kind") == "A"
-    found = {"usage": F.when(F.col("object"), F.when(a, usage_a).otherwise(usage_b)), "message": message, "info": info, "counted": F.coalesce(counted, F.lit(False))}
-    rows = once(rows, found)
+    # what only one kind has is looked for in that kind, and what few lines hold behind a search of the text
+    counter = a & F.contains("value", F.lit("token_count"))
+    payload = F.when(counter, member(F.col("doc"), "$.payload"))
+    info = F.when(counter, F.try_variant_get(F.col("doc"), "$.payload.info", "variant"))
+    counted = F.when(counter, (json_text(F.col("doc"), "type") == "event_msg") & (json_text(payload, "type") == "token_count"))
+    rows = once(rows, {"payload": payload, "info": info, "counted": F.coalesce(counted, F.lit(False)), "message": F.when(~a, F.coalesce(member(F.col("doc"), "$.message"), F.col("doc")))})
+    usage_a = F.when(F.col("counted"), first_object(F.col("info"), "$.last_token_usage", F.col("payload"), "$.usage"))
+    usage_b = first_object(F.col("message"), "$.usage", F.col("doc"), "$.usage")
+    rows = once(rows, {"usage": F.when(F.col("object"), F.when(a, usage_a).otherwise(usage_b))})
     model_a = F.coalesce(json_text(F.col("info"), "model"), json_text(F.col("usage"), "model"), F.lit("all"))
     model_b = F.coalesce(json_text(F.col("message"), "model", "modelName"), json_text(F.col("doc"), "model"), F.lit("all"))
     moment = F.try_to_timestamp(json_text(F.col("doc"), "timestamp"))
     rows = once(rows, {"model": F.when(a, model_a).otherwise(model_b), "moment": moment})
     u = F.col("usage")
-    read = {f"{name}{i}": numbers_of(text, group) for name, text, names in (("n", F.to_json(u), NUMBERS), ("own", F.col("value"), COST)) for i, group in enumerate(told_apart(names))}
-    rows = once(rows, read)
+    costly = F.contains("value", F.lit("cost")) | F.contains("value", F.lit("Cost"))
+    rows = once(rows, {"text": F.to_json(u)})
+    behind = {("n", 0): u.isNotNull(), ("n", 1): F.contains("text", F.lit("USD")), ("own", 0): costly, ("own", 1): costly}
+    texts = {"n": (F.col("text"), NUMBERS), "own": (F.col("value"), COST)}
+    rows = once(rows, {f"{name}{i}": F.when(behind[name, i], numbers_of(texts[name][0], group)) for name, (_, names) in texts.items() for i, group in enumerate(told_apart(names))})
     held = {(name, k): F.col(f"{name}{i}.{k}") for name, names in (("n", NUMBERS), ("own", COST)) for i, group in enumerate(told_apart(names)) for k in group}
     zero = F.lit(True)
     for key in (*INPUT, *OUTPUT, *CREATION, *READ, *TOTAL):
