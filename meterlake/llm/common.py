@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,3 +148,23 @@ def rewrite_texts(docs: DataFrame, fn: Callable[[str | None], str | None], keep:
 
     schema = T.StructType([docs.schema[c] for c in [*others, text_col]])
     return map_rows(docs, [*others, text_col], run, schema).select(*map(quoted, docs.columns))
+
+
+#: Bits of a filter of hashes, as a power of two (16 MB).
+FILTER = 27
+
+
+def filter_words(keys: DataFrame) -> np.ndarray:
+    """A bit for each ``key``, from its upper bits: 2**FILTER bits at most reach the driver."""
+    place = F.shiftrightunsigned("key", 64 - FILTER)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER}) & 63 as int))")
+    bits = keys.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (FILTER - 6), np.uint64)
+    if bits.num_rows:
+        words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def holds(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key >> np.uint64(64 - FILTER)
+    return words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) != 0

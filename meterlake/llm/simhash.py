@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, quoted, small_batches, stored
+from .common import filter_words, holds, map_rows, quoted, small_batches, stored
 from .components import components
 
 #: Rows of one anchor that one task group compares.
@@ -355,7 +355,7 @@ def verify(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) ->
 def verified(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Edges ``a``, ``b`` between the ``name`` of rows of one ``cluster`` and ``pair`` whose sets are alike;
     rows of one ``known`` name are connected already."""
-    dealt = rows.join(sets, ["t", "mark"]).select("cluster", "pair", "name", "known", "shingles")
+    dealt = rows.join(sets, ["pick", "mark"]).select("cluster", "pair", "name", "known", "shingles")
     dealt = dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "name")
     small_batches(rows.sparkSession)
     arrow = pa.schema([("a", pa.string()), ("b", pa.string())])
@@ -365,32 +365,36 @@ def verified(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Edges ``a``, ``b`` (names) that connect all shingle sets of the similarity.
 
-    ``nodes``: a row a distinct set with its ``name``, ``mark``, the hash ``t`` of one of its
-    texts, and its fingerprint. Only sets with a candidate are fetched. A large group of candidates
+    ``nodes``: a row a distinct set with its ``name``, ``mark``, the hash ``pick`` of one of its
+    rows, and its fingerprint. Only sets with a candidate are fetched, from that row, which a filter
+    of fixed size finds: no text goes through an exchange. A large group of candidates
     is dealt into parts, each with the group's first set: copies of one text are connected through it,
     and a set travels once. Only where that leaves several components, the sets outside the
     largest meet each other and all parts of the largest."""
     lanes = [f"f{k}" for k in range(plan.lanes)]
     groups = components(links(nodes.select(*lanes, *block_names(plan)).distinct(), plan))
     placed = nodes.withColumn("node", hex_of(lanes)).join(groups, "node", "left")
-    placed = placed.select("name", "mark", "t", F.coalesce("component", "node").alias("cluster"))
-    many = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "t")).alias("first")).filter("n > 1")
+    placed = placed.select("name", "mark", "pick", F.coalesce("component", "node").alias("cluster"))
+    many = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "pick")).alias("first")).filter("n > 1")
     members = stored(placed.join(many, "cluster"), "candidates")
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_words(members.select(F.col("pick").alias("key"))))  # of fixed size
 
-    def run(texts_of: list, texts: list) -> dict[str, list]:
-        sets = [np.unique(shingle_hashes(t, plan.words)) for t in texts]
-        return {"t": texts_of, "mark": [mark_of(x) for x in sets], "shingles": [x.tobytes() for x in sets]}
+    def run(picks: list, texts: list) -> dict[str, list]:
+        hit = np.flatnonzero(holds(wanted.value, np.array(picks, np.int64).view(np.uint64))).tolist() if picks else []
+        sets = [np.unique(shingle_hashes(texts[i], plan.words)) for i in hit]
+        return {"pick": [picks[i] for i in hit], "mark": [mark_of(x) for x in sets], "shingles": [x.tobytes() for x in sets]}
 
-    wanted = docs.select(text_hash(), "text").join(members.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
-    sets = stored(map_rows(wanted, ["t", "text"], run, "t bigint, mark bigint, shingles binary"), "shingles")
+    rows = docs.select("doc_id", text_hash(), "text").select(row_hash(), "text")
+    found = map_rows(rows, ["pick", "text"], run, "pick bigint, mark bigint, shingles binary")
+    sets = stored(found.dropDuplicates(["pick", "mark"]), "shingles")
     parts = lambda n: F.ceil(n / SETS).cast("int")
     part = lambda n: F.pmod(F.xxhash64("name"), F.greatest(parts(n), F.lit(1))).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
-    own = members.select("cluster", part(F.col("n")).alias("pair"), "name", "t", "mark", F.col("name").alias("known"))
+    own = members.select("cluster", part(F.col("n")).alias("pair"), "name", "pick", "mark", F.col("name").alias("known"))
     large = stored(members.filter(F.col("n") > SETS), "large")
     if large.isEmpty():
         return verified(own, sets, plan)
-    firsts = large.groupBy("cluster").agg(F.min("first").alias("x"), F.max("n").alias("n")).select("cluster", upto(F.col("n")).alias("pair"), "x.name", "x.t", "x.mark", F.col("x.name").alias("known"))
+    firsts = large.groupBy("cluster").agg(F.min("first").alias("x"), F.max("n").alias("n")).select("cluster", upto(F.col("n")).alias("pair"), "x.name", "x.pick", "x.mark", F.col("x.name").alias("known"))
     once = verified(own.unionByName(firsts), sets, plan)
     of = large.drop("n", "first").join(components(once).withColumnRenamed("node", "name"), "name", "left").withColumn("known", F.coalesce("component", "name")).drop("component")
     of = stored(of, "parts")
@@ -398,7 +402,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     main = sizes.groupBy("cluster").agg(F.max_by("known", F.struct("n", "known")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("inner"), F.count("*").alias("several")).filter("several > 1")
     rows = of.join(main.withColumn("outer", F.col("n") - F.col("inner")).drop("n", "several"), "cluster")
     inner, outer, across = F.col("inner"), F.col("outer"), parts(F.col("inner"))
-    columns = ["cluster", "pair", "name", "t", "mark", "known"]
+    columns = ["cluster", "pair", "name", "pick", "mark", "known"]
     inside = rows.filter("known = main").withColumns({"mine": part(inner), "other": upto(outer)}).withColumn("pair", F.col("other") * across + F.col("mine")).select(*columns)
     apart = rows.filter("known <> main").withColumn("mine", part(outer))
     met = apart.withColumn("other", upto(inner)).withColumn("pair", F.col("mine") * across + F.col("other")).select(*columns)
@@ -412,6 +416,11 @@ def mark_of(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes(), 7) - (1 << 63)
 
 
+def row_hash() -> Column:
+    """One hash of a row's id and text."""
+    return F.xxhash64(F.coalesce("doc_id", F.lit(0)), "t").alias("pick")
+
+
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
 
@@ -433,7 +442,7 @@ def similar_rows(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     name = F.concat(hex_of(lanes), hex_of(["mark"])).alias("name")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
     same = [F.min(c).alias(c) for c in block_names(plan)]  # of one set
-    nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min("t").alias("t"), *same).select("*", name), "sets")
+    nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min(row_hash()).alias("pick"), *same).select("*", name), "sets")
     groups = components(verified_links(docs, nodes, plan))
     of = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     ids = of.groupBy("component").agg(F.min("least").alias("first"))

@@ -41,13 +41,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices, stored
+from .common import filter_words, holds, map_rows, slices, stored
 from .induced import suffix_order
 
 LENGTH = 100
 PIECE = 48
-#: Bits of the filter of repeated pieces, as a power of two (16 MB).
-FILTER = 27
 #: Bytes of stretches that one suffix sort takes at once, at a piece's end.
 TEXT = 1 << 22
 #: Distinct stretches of a piece beyond which it is dealt by windows.
@@ -130,22 +128,6 @@ def order_key(i: int | None) -> int:
     return LAST if i is None else i
 
 
-def filter_words(keys: DataFrame) -> np.ndarray:
-    """A bit for each ``key``, from its upper bits: 2**FILTER bits at most reach the driver."""
-    place = F.shiftrightunsigned("key", 64 - FILTER)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER}) & 63 as int))")
-    bits = keys.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER - 6), np.uint64)
-    if bits.num_rows:
-        words[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
-    return words
-
-
-def holds(words: np.ndarray, key: np.ndarray) -> np.ndarray:
-    spot = key >> np.uint64(64 - FILTER)
-    return words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
-
-
 def repeated_pieces(docs: DataFrame) -> DataFrame:
     """Hashes (``key``) of pieces that name two stretches or stand twice in one."""
 
