@@ -265,13 +265,18 @@ def compare(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) ->
         yield edges([np.concatenate(c) for c in zip(*held)])
 
 
+def alike_at_every_size(side: DataFrame) -> DataFrame:
+    """A side that grows with the corpus is never broadcast: a small corpus takes the plan of a large one."""
+    return side.hint("merge")
+
+
 def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     """Edges ``a``, ``b`` (hex fingerprints) that connect all linked fingerprints."""
     spark = distinct.sparkSession
     lanes = [f"f{k}" for k in range(plan.lanes)]
     placed = distinct.select(*lanes, F.explode(anchors(plan)).alias("x")).select("x.key", "x.home", *lanes)
     crowded = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(placed.join(crowded, "key"), "anchors")
+    met = stored(placed.join(alike_at_every_size(crowded), "key"), "anchors")
     few = met.filter(F.col("n") <= CHUNK).select("key", F.lit(0).alias("pair"), "home", *lanes)
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64(*lanes), chunks).cast("int")
@@ -355,7 +360,7 @@ def verify(batches: Iterator[pa.RecordBatch], plan: Plan, schema: pa.Schema) ->
 def verified(rows: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Edges ``a``, ``b`` between the ``name`` of rows of one ``cluster`` and ``pair`` whose sets are alike;
     rows of one ``known`` name are connected already."""
-    dealt = rows.join(sets, ["pick", "mark"]).select("cluster", "pair", "name", "known", "shingles")
+    dealt = rows.join(alike_at_every_size(sets), ["pick", "mark"]).select("cluster", "pair", "name", "known", "shingles")
     dealt = dealt.repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "name")
     small_batches(rows.sparkSession)
     arrow = pa.schema([("a", pa.string()), ("b", pa.string())])
@@ -373,10 +378,10 @@ def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     largest meet each other and all parts of the largest."""
     lanes = [f"f{k}" for k in range(plan.lanes)]
     groups = components(links(nodes.select(*lanes, *block_names(plan)).distinct(), plan))
-    placed = nodes.withColumn("node", hex_of(lanes)).join(groups, "node", "left")
+    placed = nodes.withColumn("node", hex_of(lanes)).join(alike_at_every_size(groups), "node", "left")
     placed = placed.select("name", "mark", "pick", F.coalesce("component", "node").alias("cluster"))
     many = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "pick")).alias("first")).filter("n > 1")
-    members = stored(placed.join(many, "cluster"), "candidates")
+    members = stored(placed.join(alike_at_every_size(many), "cluster"), "candidates")
     wanted = docs.sparkSession.sparkContext.broadcast(filter_words(members.select(F.col("pick").alias("key"))))  # of fixed size
 
     def run(picks: list, texts: list) -> dict[str, list]:
@@ -444,10 +449,10 @@ def similar_rows(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     same = [F.min(c).alias(c) for c in block_names(plan)]  # of one set
     nodes = stored(prints.groupBy(*lanes, "mark").agg(least.alias("least"), F.min(row_hash()).alias("pick"), *same).select("*", name), "sets")
     groups = components(verified_links(docs, nodes, plan))
-    of = nodes.join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name"))
+    of = nodes.join(alike_at_every_size(groups.withColumnRenamed("node", "name")), "name", "left").withColumn("component", F.coalesce("component", "name"))
     ids = of.groupBy("component").agg(F.min("least").alias("first"))
     found = stored(of.join(ids, "component").select(*lanes, "mark", "first"), "found")
-    return prints.join(found, [*lanes, "mark"]).select("doc_id", "t", F.col("first").alias("least"))
+    return prints.join(alike_at_every_size(found), [*lanes, "mark"]).select("doc_id", "t", F.col("first").alias("least"))
 
 
 def similar_documents(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
