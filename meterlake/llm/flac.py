@@ -32,7 +32,7 @@ RATE = 8000
 #: Samples of a PCM block that a stream is read by.
 PCM = 1 << 16
 #: How streams are packed on disk: large pages, so that copies of a text are found in one.
-PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
+PACKING = {"compression": "zstd", "parquet.compression.codec.zstd.level": "17", "parquet.page.size": str(8 << 20)}
 #: Bytes that are encoded or decoded side by side; their arrays take some fifty times as much.
 AT_ONCE = 3 << 19
 
