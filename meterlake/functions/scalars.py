@@ -24,9 +24,9 @@ def round_half_up(x: Column, digits: int = 4) -> Column:
 
 
 def percent_text(rate: Column) -> Column:
-    """Whole percents; one decimal for rates between 0 and 1 %."""
+    """Whole percents; one decimal for rates between 0 and 1 %, from one product: 0.0055 is 0.6 %."""
     digits = F.when((rate > 0) & (rate < 0.01), 1).otherwise(0)
-    value = F.when(digits == 1, round_half_up(rate * 100, 1)).otherwise(F.floor(rate * 100 + 0.5))
+    value = F.when(digits == 1, F.floor(rate * 1000 + 0.5) / 10).otherwise(F.floor(rate * 100 + 0.5))
     return F.concat(F.when(digits == 1, F.format_number(value, 1)).otherwise(value.cast("bigint").cast("string")), F.lit("%"))
 
 

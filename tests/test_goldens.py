@@ -31,6 +31,11 @@ def test_rates_and_rounding(spark):
     assert values(spark, "x double", [(0.00145,), (-2.5,)], S.round_half_up(F.col("x"))) == [0.0014, -2.5]
 
 
+def test_tenths_of_a_percent_at_ties(spark):
+    rows = [(k / 2000,) for k in range(1, 20, 2)] + [(0.00049,)]
+    assert values(spark, "x double", rows, S.percent_text(F.col("x"))) == [f"{k / 10}%" for k in range(1, 11)] + ["0.0%"]
+
+
 def test_number_text(spark):
     rows = [(1.0,), (0.01,), (1e-7,), (1e21,), (0.0,), (12345678.5,), (0.000123,), (0.00019786307874950534,), (-0.0005,), (123456789012345680000.0,)]
     assert values(spark, "x double", rows, S.js_number(F.col("x"))) == ["1", "0.01", "1e-7", "1e+21", "0", "12345678.5", "0.000123", "0.00019786307874950534", "-0.0005", "123456789012345680000"]
