@@ -165,10 +165,11 @@ def source_name(source: Column) -> Column:
     return found
 
 
-def report_message(words: Wording = Wording(), most: int = MESSAGE_BYTES) -> Column:
+def report_message(words: Wording = Wording(), most: int = MESSAGE_BYTES, count_text=integer_text) -> Column:
     """The message of a report's row: ``display_name``, ``report_date``, ``timezone``, ``total_tokens``,
     ``tokens_without_cache_read``, ``cache_rate``, ``cost_usd``, ``session_count``, ``url`` and the lists
-    ``sources`` and ``models`` (structs of ``name``, ``tokens``, ``net``, ``rate``, ``cost``), largest first."""
+    ``sources`` and ``models`` (structs of ``name``, ``tokens``, ``net``, ``rate``, ``cost``), largest first.
+    ``count_text`` writes the number of sessions."""
 
     def entries(items: Column, named) -> Column:
         line = lambda x: F.concat(F.lit("- "), message_escape(named(x["name"])), F.lit(": "), integer_text(x["net"]), F.lit(f" ({words.tokens.lower()} "), integer_text(x["tokens"]), F.lit(", "), percent_text(x["rate"]), F.lit(", "), usd_text(x["cost"]), F.lit(")"))
@@ -180,7 +181,7 @@ def report_message(words: Wording = Wording(), most: int = MESSAGE_BYTES) -> Col
         F.concat(F.lit("## "), message_escape(F.col("display_name")), F.lit(f" {words.title}")),
         F.concat(message_escape(F.col("report_date")), F.lit(" / "), message_escape(F.col("timezone"))), F.lit(""),
         F.concat(F.lit(f"{words.tokens}: "), integer_text(F.col("total_tokens")), F.lit(", "), integer_text(F.col("tokens_without_cache_read")), F.lit(f" {words.net}")),
-        F.concat(F.lit(f"{words.rate}: "), percent_text(F.col("cache_rate")), F.lit(f", {words.cost}: "), usd_text(F.col("cost_usd")), F.lit(f", {words.sessions}: "), integer_text(F.col("session_count"))), F.lit(""),
+        F.concat(F.lit(f"{words.rate}: "), percent_text(F.col("cache_rate")), F.lit(f", {words.cost}: "), usd_text(F.col("cost_usd")), F.lit(f", {words.sessions}: "), count_text(F.col("session_count"))), F.lit(""),
         F.lit(f"**{words.sources}**"), entries(F.col("sources"), source_name), F.lit(""), F.lit(f"**{words.models}**"), entries(F.col("models"), lambda x: x), F.lit(""),
         F.concat(F.lit(f"[{words.link}]("), F.col("url"), F.lit(")")),
     ]

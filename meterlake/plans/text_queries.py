@@ -112,7 +112,7 @@ def _(spark, d):
     from meterlake.plans import serving
 
     rows = serving.report_rows(view(spark, d, "usage"), view(spark, d, "profiles"), "2024-01-20")
-    return rows.withColumn("url", F.concat(F.lit("/reports/"), F.col("user_id"))).select("user_id", text.report_message().alias("message"))
+    return rows.withColumn("url", F.concat(F.lit("/reports/"), F.col("user_id"))).select("user_id", text.report_message(count_text=lambda n: n.cast("string")).alias("message"))
 
 
 # -- one-off rewrites ----------------------------------------------------------------

@@ -7,13 +7,14 @@ import json
 from datetime import date, datetime, timezone
 from xml.etree import ElementTree
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions import scalars as S
 from meterlake.functions import text
 from meterlake.operators import caches, correction, facts, refresh
-from meterlake.plans import serving
+from meterlake.plans import catalogue, serving
 from meterlake.schema import USAGE
 from meterlake.sources import child_logs, reports, scans, session_logs
 from meterlake.streaming import ingest, jobs
@@ -36,6 +37,17 @@ def test_tenths_of_a_percent_at_ties(spark):
     assert values(spark, "x double", rows, S.percent_text(F.col("x"))) == [f"{k / 10}%" for k in range(1, 11)] + ["0.0%"]
 
 
+def test_report_messages_of_busy_days_equal_their_statement(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT 11 AS event_id, TIMESTAMP '2024-01-20 08:00:00' AS ts, 5 AS user_id, 'click' AS event_type, 19.67 :: DOUBLE AS value UNION ALL SELECT 1000 + i, TIMESTAMP '2024-01-20 09:00:00', 7, 'click', 1.0 FROM range(2000) r(i)")
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, 'c' || i AS c_name, 0 :: INT AS c_nationkey FROM range(10) r(i)")
+    for t in ("events", "customer"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = sorted((r["user_id"], r["message"]) for r in catalogue.QUERIES["report_messages"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(f"SELECT user_id, message FROM ({catalogue.ORACLE['report_messages']})").fetchall())
+    assert "Cache rate: 0.6%" in got[0][1] and "Sessions: 1500" in got[1][1]
+
+
 def test_number_text(spark):
     rows = [(1.0,), (0.01,), (1e-7,), (1e21,), (0.0,), (12345678.5,), (0.000123,), (0.00019786307874950534,), (-0.0005,), (123456789012345680000.0,)]
     assert values(spark, "x double", rows, S.js_number(F.col("x"))) == ["1", "0.01", "1e-7", "1e+21", "0", "12345678.5", "0.000123", "0.00019786307874950534", "-0.0005", "123456789012345680000"]
