@@ -379,8 +379,9 @@ def verified_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     lanes = [f"f{k}" for k in range(plan.lanes)]
     groups = components(links(nodes.select(*lanes, *block_names(plan)).distinct(), plan))
     placed = nodes.withColumn("node", hex_of(lanes)).join(alike_at_every_size(groups), "node", "left")
-    placed = placed.select("name", "mark", "pick", F.coalesce("component", "node").alias("cluster"))
-    many = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "pick")).alias("first")).filter("n > 1")
+    placed = stored(placed.select("name", "mark", "pick", F.coalesce("component", "node").alias("cluster")), "placed")
+    # a table of its own, so that adaptive execution can split a large cluster's rows
+    many = stored(placed.groupBy("cluster").agg(F.count("*").alias("n"), F.min(F.struct("name", "mark", "pick")).alias("first")).filter("n > 1"), "many")
     members = stored(placed.join(alike_at_every_size(many), "cluster"), "candidates")
     wanted = docs.sparkSession.sparkContext.broadcast(filter_words(members.select(F.col("pick").alias("key"))))  # of fixed size
 
@@ -464,14 +465,26 @@ def one_of_each(docs: DataFrame, plan: Plan = SIMILAR) -> DataFrame:
     """The document of the least id (then hash of the text) of each group, once; rows without an id all stay.
 
     Rows with one id and different texts are different documents. Of rows equal in both
-    the one whose columns hash least stays."""
+    the one whose columns hash least stays. Only rows that a filter of fixed size says may
+    have to go meet the list of those that do; all others go through no exchange."""
     found = stored(similar_rows(docs, plan).filter("doc_id is not null"), "groups")
     gone = stored(found.filter("doc_id <> least.doc_id or t <> least.t").select("doc_id", "t").distinct(), "gone")
     again = stored(found.filter("doc_id = least.doc_id and t = least.t").groupBy("doc_id", "t").count().filter("count > 1"), "again")
+    asked = gone.union(again.select("doc_id", "t")).select(row_hash().alias("key"))
+    wanted = docs.sparkSession.sparkContext.broadcast(filter_words(asked))  # of fixed size
+
+    def met(picks):
+        import pandas as pd
+
+        return pd.Series(holds(wanted.value, picks.to_numpy().view(np.uint64)))
+
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col("doc_id"), text_hash())
-    left = rows.join(gone, ["doc_id", "t"], "left_anti")
+    rows = rows.withColumn("met", F.pandas_udf(met, "boolean")(row_hash()))
+    apart, left = rows.filter("not met").select("row"), rows.filter("met").drop("met").join(alike_at_every_size(gone), ["doc_id", "t"], "left_anti")
     if not again.isEmpty():
+        again = alike_at_every_size(again)
         whole = F.struct(*(F.xxhash64(F.col("row").getField(c)) for c in docs.columns))
         once = left.join(again, ["doc_id", "t"], "left_semi").groupBy("doc_id", "t").agg(F.min_by("row", whole).alias("row"))
         left = left.join(again, ["doc_id", "t"], "left_anti").select("row").union(once.select("row"))
-    return left.select("row.*")
+    return apart.union(left.select("row")).select("row.*")

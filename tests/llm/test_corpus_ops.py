@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -378,6 +379,32 @@ def test_one_of_each_keeps_rows_that_copy_nothing(spark):
     assert simhash.one_of_each(docs.limit(0)).collect() == []
 
 
+def plan_nodes(plan):
+    """The nodes of an executed plan, through adaptive stages."""
+    yield plan
+    inner = "executedPlan" if plan.nodeName() == "AdaptiveSparkPlan" else "plan" if plan.nodeName().endswith("QueryStage") else ""
+    if inner:
+        yield from plan_nodes(getattr(plan, inner)())
+    for i in range(plan.children().size()):
+        yield from plan_nodes(plan.children().apply(i))
+
+
+def test_one_of_each_sends_no_text_that_stays(spark):
+    texts = [prose(3000 + k, 30) for k in range(150)]
+    docs = documents(spark, texts + texts[:5])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on a corpus whose lists are long
+    try:
+        found = simhash.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in found.collect()) == list(range(150))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    nodes = list(plan_nodes(found._jdf.queryExecution().executedPlan()))
+    dealt = [p for p in nodes if p.nodeName() == "Exchange" and re.search(r"\b(row|text)#", p.output().mkString(","))]
+    assert dealt
+    assert sum(p.metrics().apply("shuffleRecordsWritten").value() for p in dealt) <= 10
+
+
 # -- pages ---------------------------------------------------------------------------
 
 PAGES = [
