@@ -20,16 +20,22 @@ never merged, equal rows get equal scores.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import give_back, map_rows, serve, small_batches, stored
 
 ORDER = 5
 PAD = 2
 #: Model entries that are broadcast at most (12 bytes each).
 HOT = 4_000_000
+#: Entries of a run, in which they reach the driver, at most.
+RUN = 1 << 16
 #: Counts that are told apart when the least count of a broadcast entry is chosen.
 COUNTED = 1000
 #: Bits of the filter of other entries, as a power of two (16 MB).
@@ -132,9 +138,10 @@ def discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = of_counts.select("lang", *(F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * n[i] / n[i - 1])).alias(f"d{i}") for i in (1, 2, 3)))
     taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = counts.join(F.broadcast(cut), "lang").select("lang", "k", "ctx", "low", "c", taken.alias("d"))  # a row a language
-    weights = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("lost")).select("lang", "ctx", "total", (F.col("lost") / F.col("total")).alias("w"))
+    lost = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("lost"))
+    weights = stored(lost.select("lang", "ctx", "total", (F.col("lost") / F.col("total")).alias("w")), "weights")  # the model would derive all orders' at once
     shares = rows.join(weights, ["lang", "ctx"]).select("lang", "k", "low", "c", ((F.col("c") - F.col("d")) / F.col("total")).alias("share"), "w")
-    return shares, weights.select("lang", "ctx", "total", "w")
+    return shares, weights
 
 
 def fit(trusted: DataFrame) -> DataFrame:
@@ -201,20 +208,52 @@ def maybe(words: np.ndarray | None, key: np.ndarray) -> np.ndarray:
     return words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1) != 0
 
 
+def runs(entries: DataFrame) -> DataFrame:
+    """Of ``lang``, ``kind``, ``k``, ``v`` the keys and logarithms of a language's and a kind's entries in
+    runs: 12 bytes an entry, where rows with their language take several times that in the driver."""
+
+    def packed(rows: pa.Table) -> Iterator[tuple]:
+        lang = rows.column("lang").combine_chunks().dictionary_encode()
+        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "k", "v"))
+        group = lang.indices.to_numpy().astype(np.int64) << 8 | kind
+        order = np.argsort(group, kind="stable")
+        found, first = np.unique(group[order], return_index=True)
+        for g, own in zip(found.tolist(), np.split(order, first[1:])):
+            yield lang.dictionary[g >> 8].as_py(), g & 255, key[own].tobytes(), np.log(value[own]).astype(np.float32).tobytes()
+
+    columns = ["lang", "kind", "keys", "logs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve(__name__)
+        held: list[pa.RecordBatch] = []
+        for batch in (b for bs in (batches, [None]) for b in bs):
+            if batch is not None and sum(b.num_rows for b in held) + batch.num_rows <= RUN:
+                held.append(batch)
+                continue
+            if held:
+                for row in packed(pa.Table.from_batches(held)):
+                    yield pa.RecordBatch.from_pydict({c: [x] for c, x in zip(columns, row)}, schema=arrow)
+            held = [batch]
+
+    small_batches(entries.sparkSession)
+    arrow = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary())])
+    return entries.select("lang", "kind", "k", "v").mapInArrow(run, "lang string, kind int, keys binary, logs binary")
+
+
 class Hot:
     """The broadcast entries, by language and kind, as sorted keys and logarithms, and the filter of the others."""
 
-    def __init__(self, rows, words: np.ndarray | None) -> None:
+    def __init__(self, rows: pa.Table, words: np.ndarray | None) -> None:
         self.words = words
         self.tables: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        lang = rows.column("lang").to_numpy(zero_copy_only=False)
-        kind, key, value = (rows.column(c).to_numpy() for c in ("kind", "k", "v"))
-        for g in np.unique(lang):
-            for j in np.unique(kind[lang == g]):
-                own = np.flatnonzero((lang == g) & (kind == j))
-                k = key[own].view(np.uint64)
-                order = np.argsort(k, kind="stable")
-                self.tables[str(g), int(j)] = (k[order], np.log(value[own][order]).astype(np.float32))
+        parts: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        for batch in rows.to_batches():
+            for lang, kind, keys, logs in zip(*batch.columns):
+                parts[lang.as_py(), kind.as_py()].append((np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(logs.as_buffer(), np.float32)))
+        for group, own in parts.items():
+            k = np.concatenate([x for x, _ in own])
+            order = np.argsort(k)
+            self.tables[group] = (k[order], np.concatenate([x for _, x in own])[order])
 
     def find(self, lang: str, kind: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = self.tables.get((lang, kind), (np.zeros(0, np.uint64), np.zeros(0, np.float32)))
@@ -265,7 +304,11 @@ def log_perplexities(docs: DataFrame, model: DataFrame, hot: int = HOT) -> DataF
     spark = docs.sparkSession
     least = least_hot(model, hot)
     near, far = model.filter(F.col("c") >= least), model.filter(F.col("c") < least)
-    held = spark.sparkContext.broadcast(Hot(near.select("lang", "kind", "k", "v").toArrow(), filter_words(far)))  # of at most `hot` entries
+    words = filter_words(far)
+    held = spark.sparkContext.broadcast(Hot(runs(near).toArrow(), words))  # of at most `hot` entries
+    exact = words is None
+    del words
+    give_back()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
     columns = ["row", "doc_id", "lang", "n_chars", "total", "n", *GRAMS, *CONTEXTS]
 
@@ -304,8 +347,9 @@ def log_perplexities(docs: DataFrame, model: DataFrame, hot: int = HOT) -> DataF
     kinds = {"lang": "string", "total": "double"}
     schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in columns)
     found = stored(map_rows(rows, ["row", "doc_id", "lang", "text"], run, schema, 1 << 20), "scores")
+    held.destroy()  # the scores are written
     whole = found.filter("n is null").select("row", "doc_id", "lang", "n_chars", "total")
-    if held.value.words is None:
+    if exact:
         return whole.drop("row")
     open_ = found.filter("n is not null")
     same = [F.min(c).alias(c) for c in (*GRAMS[:-1], *CONTEXTS)]  # all follow from the n-gram

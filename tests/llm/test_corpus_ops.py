@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -531,6 +532,26 @@ def test_kneser_ney_equals_its_definition(spark, hot):
     assert got[5]["total"] == 0 and len(got) == len(others)
 
 
+def test_broadcast_entries_take_little_of_the_driver(spark):
+    """Entries reach the driver packed, in runs, and not as rows that each name their language."""
+    n = 300_000
+    entries = spark.range(n, numPartitions=3).select(F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"), F.lit(5).alias("kind"), F.xxhash64("id").alias("k"), (1 / (F.col("id") + 2)).alias("v"), F.lit(2).cast("bigint").alias("c"))
+    model = entries.localCheckpoint()
+    tracemalloc.start()
+    try:
+        got = perplexity.log_perplexities(documents(spark, ["abc", None]), model).collect()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 50 * n and sorted(r["n_chars"] for r in got) == [0, 3]
+    hot = perplexity.Hot(perplexity.runs(model).toArrow(), None)
+    assert sorted((g, len(k), len(v)) for g, (k, v) in hot.tables.items()) == [(("de", 5), n * 2 // 3, n * 2 // 3), (("en", 5), n // 3, n // 3)]
+    for lang, kind, k, v in model.filter("lang = 'en'").limit(2000).select("lang", "kind", "k", "v").collect():
+        hit, value = hot.find(lang, kind, np.array([k]).view(np.uint64))
+        assert hit[0] and value[0] == pytest.approx(math.log(v), rel=1e-6)
+    assert perplexity.Hot(perplexity.runs(model.limit(0)).toArrow(), None).tables == {}
+
+
 def test_classifier_of_odd_tables(spark):
     docs = documents(spark, [None, "", prose(1, 50), prose(1, 50), prose(2, 60_000, 400)]).withColumn("score", F.lit(1))
     labels = spark.createDataFrame([(2, 1, 0), (3, 1, 0), (3, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
