@@ -87,44 +87,52 @@ def rising(text: np.ndarray) -> np.ndarray:
     out = np.ones(n, bool)
     if n < 2:
         return out
-    step = np.sign(text[1:].astype(np.int64) - text[:-1])  # 1: next symbol is larger
-    differs = np.append(np.flatnonzero(step), n - 1)
-    nxt = differs[np.searchsorted(differs, np.arange(n - 1))]
-    sign = np.append(step, -1)  # a run up to the end falls
-    out[:-1] = sign[nxt] > 0
+    up = text[1:] > text[:-1]  # the next symbol is larger
+    differs = np.flatnonzero(text[1:] != text[:-1])
+    # a run of one symbol goes as its last does; a run up to the end falls
+    runs = np.diff(differs, prepend=-1, append=n - 2)
+    out[:-1] = np.repeat(np.append(up[differs], False), runs)
     return out
 
 
 def sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds in the order of their suffixes' first ``depth`` symbols, and their common prefixes.
 
-    A level orders the seeds that the levels before left equal by their next 7 symbols
-    (9 bits each), recursively, until all differ or the depth is reached."""
-    padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(depth + 8, np.uint64)])
-    n = len(padded) - 6
-    symbols = padded[:n].copy()
-    for k in range(1, 7):
-        symbols <<= np.uint64(9)
-        symbols |= padded[k : n + k]
-    del padded
+    A level orders the seeds that the levels before left equal by their next symbols,
+    recursively, until all differ or the depth is reached. Symbols are packed by their rank in
+    the text; the group that a seed is in stands in the upper bits of its key, so that one
+    sort of nearly ordered numbers makes a level."""
+    there = np.zeros(int(text.max()) + 1, bool)
+    there[text] = True
+    bits = int(np.count_nonzero(there)).bit_length()
+    width = 8 if bits <= 8 else 4
+    symbols = np.zeros(len(text) + depth + 8, np.uint64)  # 0: beyond the end
+    symbols[: len(text)] = np.cumsum(there).astype(np.uint64)[text]
+    for k in (1, 2, 4)[: width.bit_length() - 1]:
+        after = symbols[k:].copy()
+        symbols <<= np.uint64(bits * k)
+        symbols[:-k] |= after
     order = seeds.copy()
     prefix = np.full(len(order), depth, np.int64)
     prefix[:1] = 0
-    live, group, done = np.arange(len(order)), np.zeros(len(order), np.int64), 0
+    live, group, done = np.arange(len(order)), np.zeros(len(order), np.uint64), 0
     while len(live) and done < depth:
+        above = int(group[-1]).bit_length()
+        most = min(width, (64 - above) // bits)
         key = symbols[order[live] + done]
-        by = np.lexsort((key, group)) if done else np.argsort(key, kind="stable")
+        key >>= np.uint64(bits * (width - most))
+        if above:
+            key |= group << np.uint64(64 - above)
+        by = np.argsort(key, kind="stable")
         order[live], key = order[live][by], key[by]
-        apart = group[1:] != group[:-1]
-        split = ~apart & (key[1:] != key[:-1])
-        at = np.flatnonzero(split) + 1
+        at = np.flatnonzero((key[1:] != key[:-1]) & (group[1:] == group[:-1])) + 1
         differ = key[at] ^ key[at - 1]
-        same = sum((differ >> np.uint64(9 * (6 - k))) == 0 for k in range(7))
+        same = sum((differ >> np.uint64(bits * (most - 1 - k))) == 0 for k in range(most))
         prefix[live[at]] = np.minimum(done + same, depth)
-        group = np.concatenate([[0], np.cumsum(apart | split)])
-        tied = np.append(group[1:] == group[:-1], False)
+        tied = np.append(key[1:] == key[:-1], False)
         tied[1:] |= tied[:-1]
-        live, group, done = live[tied], group[tied], done + 7
+        live, key, done = live[tied], key[tied], done + most
+        group = np.cumsum(np.append(np.zeros(min(1, len(key)), bool), key[1:] != key[:-1])).astype(np.uint64)
     return order, prefix
 
 
@@ -143,6 +151,10 @@ def least_between(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate([p[i] for p in parts]) for i in (0, 1))
+
+
 def induce(text: np.ndarray, start: list, types: np.ndarray, want: bool, depth: int, symbols: int, in_memory: int) -> list:
     """One pass. ``start[c]``: sorted tuples of the other type with first symbol c (or None).
 
@@ -195,13 +207,12 @@ def induce(text: np.ndarray, start: list, types: np.ndarray, want: bool, depth:
     for symbol in turns:
         own = []
         waiting = queue.take(symbol)
-        while waiting:
-            part = waiting.pop(0)
-            own.append(part)
-            if (more := feed(*part)) is not None:
-                waiting.append(more)
+        wave = joined(waiting) if waiting else None
+        while wave is not None:
+            own.append(wave)
+            wave = feed(*wave)
         if own:
-            out[symbol] = tuple(np.concatenate([p[i] for p in own]) for i in (0, 1))
+            out[symbol] = joined(own)
         seeds = start[symbol]
         if seeds is not None and len(seeds[0]):
             where, prefix = seeds

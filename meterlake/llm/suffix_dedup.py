@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, holds, map_rows, slices, stored
+from .common import FILTER, filter_words, holds, map_rows, slices, stored
 from .induced import suffix_order
 
 LENGTH = 100
@@ -54,15 +54,41 @@ CROWDED = 2048
 LAST = (1 << 63) - 1
 
 
+def words_from(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    words = np.empty(len(data), np.uint64)
+    for k in range(8):
+        part = words[k::8]
+        part[:] = np.frombuffer(padded, "<u8", len(part), k)
+    return words
+
+
 def piece_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed hash of the PIECE bytes from each place on."""
-    n = len(data) - PIECE + 1
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)).copy().view("<u8").ravel()
-    h = word[:n] * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(8, PIECE, 8):
-        h = (h ^ (h >> np.uint64(29)) ^ word[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    """A mixed hash of the PIECE bytes from each place on: of 16 by two of 8, of 32 by two of 16, then of 32 and 16."""
+    h = words_from(data)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    by_16 = h[:-8] * np.uint64(0xBF58476D1CE4E5B9)
+    by_16 += h[8:]
+    h = by_16[:-32] * np.uint64(0x94D049BB133111EB)
+    h += by_16[16:-16]
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h += by_16[32:]
+    h = h[: len(data) - PIECE + 1]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def spread(least: np.ndarray) -> np.ndarray:
+    """One to one: least hashes are small numbers, which would share a filter's first few bits."""
+    key = least * np.uint64(0x9E3779B97F4A7C15)
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key ^ (key >> np.uint64(29))
 
 
 def windows_least(h: np.ndarray, span: int) -> np.ndarray:
@@ -90,35 +116,36 @@ def stretches(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...
     best = windows_least(h, span)
     # a window may not leave its text
     ends = np.cumsum(sizes)
-    inside = np.ones(n + length, bool)
-    for k in range(1, length):
-        inside[np.minimum(np.maximum(ends - k, 0), n)] = False
-    small = sizes < length
-    for e, size in zip(ends[small].tolist(), sizes[small].tolist()):
-        inside[max(0, e - size) : min(e, n)] = False
+    inside = np.ones(n + 1, bool)
+    inside[np.clip(ends[:, None] - np.arange(1, length), 0, n)] = False
     inside = inside[:n]
-    begins = inside.copy()
-    begins[1:] &= (best[1:] != best[:-1]) | ~inside[:-1]
+    begins, goes_on = inside.copy(), best[1:] == best[:-1]
+    goes_on &= inside[1:]
+    goes_on &= inside[:-1]
+    begins[1:] &= ~goes_on
     first = np.flatnonzero(begins)
-    stops = np.flatnonzero(inside & np.append(begins[1:] | ~inside[1:], True))
-    key = best[first]
-    every = np.lib.stride_tricks.sliding_window_view(h, span)
-    place = np.empty(len(first), np.int64)
-    last = np.empty(len(first), np.int64)
-    for a in range(0, len(first), 8192):
-        cut = slice(a, a + 8192)
-        place[cut] = first[cut] + (every[first[cut]] == key[cut, None]).argmax(1)
-        last[cut] = stops[cut] + span - 1 - (every[stops[cut]] == key[cut, None])[:, ::-1].argmax(1)
+    last = inside.copy()
+    last[:-1] &= ~goes_on
+    stops = np.flatnonzero(last)
+    least = best[first]
+    # a piece stands twice if it does in the first window, or comes in anew at the end of a later one
+    anew = np.cumsum(h[span - 1 :] == best, dtype=np.int32)
+    multi = anew[stops] > anew[first]
+    half = (h >> np.uint64(32)).astype(np.uint32)  # equal halves of different pieces only cost time
+    every, mine = np.lib.stride_tricks.sliding_window_view(half, span), (least >> np.uint64(32)).astype(np.uint32)
+    for a in range(0, len(first), 2048):
+        cut = slice(a, a + 2048)
+        multi[cut] |= np.count_nonzero(every[first[cut]] == mine[cut, None], axis=1) > 1
     text = np.searchsorted(ends, first, "right")
-    return text, key, first - (ends - sizes)[text], stops - first + 1, place != last
+    return text, spread(least), first - (ends - sizes)[text], stops - first + 1, multi
 
 
 def raw_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def parts_of(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts as bytes, about a megabyte at a time, with the place of the first."""
+def parts_of(texts: list[str | None], most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, some 128 kB at a time (a part's arrays, 1 MB each, stay in a core's cache), with the place of the first."""
     raw = [raw_of(t) for t in texts]
     for a, b in slices([len(r) for r in raw], most):
         yield a, raw[a:b]
@@ -128,26 +155,63 @@ def order_key(i: int | None) -> int:
     return LAST if i is None else i
 
 
-def repeated_pieces(docs: DataFrame) -> DataFrame:
-    """Hashes (``key``) of pieces that name two stretches or stand twice in one."""
+#: Ranges of hashes, as a power of two, by which the pieces are counted.
+RANGES = 10
+
+
+def repeated_pieces(docs: DataFrame) -> np.ndarray:
+    """The filter (as :func:`common.filter_words`) of pieces that name two stretches or stand twice in one.
+
+    A batch sends its sorted hashes in packed runs, one a range; a task counts a range at a time."""
+    edges = np.arange(1, 1 << RANGES, dtype=np.uint64) << np.uint64(64 - RANGES)
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        found = []
+        found = [np.zeros(0, np.uint64)]
         for _, part in parts_of(texts):
             _, key, _, _, multi = stretches(part)
             found += [key, key[multi]]  # a piece twice in its stretch counts as two
-        keys, n = np.unique(np.concatenate(found), return_counts=True)
-        return {"key": keys.view(np.int64), "n": n}
+        keys = np.sort(np.concatenate(found))
+        keys = keys[np.append(np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2])]  # two tell enough
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return {"range": [i for i, _, _ in some], "keys": [keys[a:b].tobytes() for _, a, b in some]}
+
+    size = 1 << (FILTER - 6 - RANGES)
+    arrow = pa.schema([("range", pa.int32()), ("words", pa.binary())])
 
-    counts = map_rows(docs, ["doc_id", "text"], run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    return counts.filter("n > 1").select("key")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
 
+        def words() -> pa.RecordBatch:
+            keys = np.sort(np.frombuffer(b"".join(held), np.uint64))
+            spot = keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - FILTER)
+            out = np.zeros(size, np.uint64)
+            np.bitwise_or.at(out, (spot >> np.uint64(6)).astype(np.int64) - at * size, np.uint64(1) << (spot & np.uint64(63)))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out.tobytes()], pa.binary())], schema=arrow)
 
-def place_hash(key: list[int], mark: list[int], doc: list[int], at: list[int]) -> np.ndarray:
-    """One hash of a stretch and its place."""
-    h = np.array(key, np.int64).view(np.uint64)
-    for x in (mark, doc, at):
-        h = (h ^ np.array(x, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            for i, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if i != at:
+                    if held:
+                        yield words()
+                    at, held = i, []
+                held.append(keys)
+        if held:
+            yield words()
+
+    runs = map_rows(docs, ["doc_id", "text"], run, "range int, keys binary")
+    found = runs.repartition("range").sortWithinPartitions("range").mapInArrow(counted, "range int, words binary").toArrow()
+    out = np.zeros(size << RANGES, np.uint64)
+    for i, words in zip(found["range"].to_pylist(), found["words"]):
+        out[i * size : (i + 1) * size] = np.frombuffer(words.as_buffer(), np.uint64)
+    return out
+
+
+def place_hash(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One hash of a stretch's piece and place."""
+    h = key.astype(np.int64).view(np.uint64)
+    for x in (doc, at):
+        h = (h ^ x.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
     return h
 
@@ -155,15 +219,40 @@ def place_hash(key: list[int], mark: list[int], doc: list[int], at: list[int]) -
 PLACE = "key bigint, mark bigint, doc bigint, sub bigint, at bigint, n int, multi boolean"
 
 
-def found_in(part: list[bytes], ids: list, words: np.ndarray) -> tuple[list, ...]:
-    """Columns key, mark, doc, sub, at, n, multi of the stretches that pass the filter, and their bytes."""
+def found_in(part: list[bytes], ids: list, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Arrays key, doc, sub, at, n, multi of the stretches that pass the filter, and the place of each one's text."""
     text, key, first, count, multi = stretches(part)
-    hit = holds(words, key)
-    text, key, first, count, multi = (x[hit].tolist() for x in (text, key.view(np.int64), first, count, multi))
-    doc, sub = [order_key(i) for i in ids], [zlib.crc32(r) for r in part]
-    pieces = [part[t][a : a + n + LENGTH - 1] for t, a, n in zip(text, first, count)]
+    hit = np.flatnonzero(holds(words, key))
+    text = text[hit]
+    doc = np.fromiter(map(order_key, ids), np.int64, len(ids))
+    sub = np.fromiter(map(zlib.crc32, part), np.int64, len(part))
+    return key[hit].view(np.int64), doc[text], sub[text], first[hit], count[hit], multi[hit], text
+
+
+def bytes_of(part: list[bytes], text: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[bytes]:
+    return (part[t][a:b] for t, a, b in zip(text.tolist(), at.tolist(), (at + n + (LENGTH - 1)).tolist()))
+
+
+def marks(pieces: Iterator[bytes], n: int) -> np.ndarray:
+    """A hash of each stretch's bytes."""
     digest = xxhash.xxh3_64_intdigest
-    return key, [digest(p, 7) - (1 << 63) for p in pieces], [doc[t] for t in text], [sub[t] for t in text], first, count, multi, pieces
+    return (np.fromiter((digest(p, 7) for p in pieces), np.uint64, n) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def not_least(key: np.ndarray, mark: np.ndarray, place: list[np.ndarray]) -> np.ndarray:
+    """True where another of the same key and mark has a smaller place."""
+    out = np.zeros(len(key), bool)
+    if not len(key):
+        return out
+    by = np.argsort(mark)
+    same = mark[by[1:]] == mark[by[:-1]]
+    some = by[np.append(same, False) | np.append(False, same)]
+    some = some[np.lexsort((*(x[some] for x in reversed(place)), mark[some], key[some]))]
+    if len(some):
+        head = np.append(True, (key[some[1:]] != key[some[:-1]]) | (mark[some[1:]] != mark[some[:-1]]))
+        least = some[head][np.cumsum(head) - 1]
+        out[some] = np.logical_or.reduce([x[some] != x[least] for x in place])
+    return out
 
 
 def occurrences(docs: DataFrame, held) -> DataFrame:
@@ -171,16 +260,12 @@ def occurrences(docs: DataFrame, held) -> DataFrame:
     with a smaller place, so that it is a repeat without further ado."""
 
     def run(ids: list, texts: list) -> dict[str, list]:
-        cols: list[list] = [[] for _ in range(7)]
+        found = []
         for start, part in parts_of(texts):
-            for col, x in zip(cols, found_in(part, ids[start : start + len(part)], held.value)):
-                col += x
-        least: dict[tuple[int, int], tuple] = {}
-        for k, m, *place in zip(*cols[:5]):
-            if (old := least.get((k, m))) is None or place < old:
-                least[k, m] = place
-        whole = [least[k, m] != place for k, m, *place in zip(*cols[:5])]
-        return dict(zip(["key", "mark", "doc", "sub", "at", "n", "multi"], cols)) | {"whole": whole}
+            key, doc, sub, at, n, multi, text = found_in(part, ids[start : start + len(part)], held.value)
+            found.append((key, marks(bytes_of(part, text, at, n), len(key)), doc, sub, at, n.astype(np.int32), multi))
+        cols = dict(zip(["key", "mark", "doc", "sub", "at", "n", "multi"], map(np.concatenate, zip(*found))))
+        return cols | {"whole": not_least(cols["key"], cols["mark"], [cols[c] for c in ("doc", "sub", "at")])}
 
     return map_rows(docs, ["doc_id", "text"], run, PLACE + ", whole boolean")
 
@@ -246,16 +331,19 @@ def fetched(docs: DataFrame, held, wanted, crowded) -> DataFrame:
         cols: list[list] = [[] for _ in names]
         for start, part in parts_of(texts):
             found = found_in(part, ids[start : start + len(part)], held.value)
-            hit = holds(wanted.value, place_hash(found[0], found[1], found[2], found[4]))
-            many = hit & holds(crowded.value, np.array(found[0], np.int64).view(np.uint64)) if len(hit) else hit
-            for i in np.flatnonzero(hit & ~many).tolist():
-                for col, x in zip(cols, found):
-                    col.append(x[i])
+            hit = np.flatnonzero(holds(wanted.value, place_hash(found[0], found[1], found[3])))
+            key, doc, sub, at, n, multi, text = (x[hit] for x in found)
+            raw = list(bytes_of(part, text, at, n))
+            many = holds(crowded.value, key.view(np.uint64))
+            mark = marks(iter(raw), len(raw))
+            for col, x in zip(cols, (key, mark, doc, sub, at, n, multi)):
+                col += x[~many].tolist()
+            cols[-1] += [raw[i] for i in np.flatnonzero(~many).tolist()]
             for i in np.flatnonzero(many).tolist():
-                _, _, doc, sub, at, n, _, raw = (x[i] for x in found)
-                for k in range(n):
-                    high, low = divmod(xxhash.xxh3_128_intdigest(raw[k : k + LENGTH], 11), 1 << 64)
-                    for col, v in zip(cols, (low - (1 << 63), high - (1 << 63), doc, sub, at + k, 1, False, None)):
+                place = int(doc[i]), int(sub[i])
+                for k in range(int(n[i])):
+                    high, low = divmod(xxhash.xxh3_128_intdigest(raw[i][k : k + LENGTH], 11), 1 << 64)
+                    for col, v in zip(cols, (low - (1 << 63), high - (1 << 63), *place, int(at[i]) + k, 1, False, None)):
                         col.append(v)
         return dict(zip(names, cols))
 
@@ -355,7 +443,7 @@ def sorted_stretches(rows: DataFrame) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``doc``, ``sub``, ``froms``, ``ends``: byte ranges to remove, a row a document that has any (unsorted, may overlap)."""
     context = docs.sparkSession.sparkContext
-    held = context.broadcast(filter_words(repeated_pieces(docs)))  # of fixed size
+    held = context.broadcast(repeated_pieces(docs))  # of fixed size
     found = stored(sorted_out(occurrences(docs, held)), "occurrences")
     least = found.filter("state = 2")
     wanted = context.broadcast(filter_words(hashed(least)))  # of fixed size
@@ -370,10 +458,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 def hashed(places: DataFrame) -> DataFrame:
     """:func:`place_hash` of rows, as ``key``."""
 
-    def run(key: list, mark: list, doc: list, at: list) -> dict[str, list]:
-        return {"key": place_hash(key, mark, doc, at).view(np.int64)}
+    def run(key: list, doc: list, at: list) -> dict[str, list]:
+        return {"key": place_hash(*(np.array(x, np.int64) for x in (key, doc, at))).view(np.int64)}
 
-    return map_rows(places.withColumn("at", F.col("at").cast("bigint")), ["key", "mark", "doc", "at"], run, "key bigint")
+    return map_rows(places.withColumn("at", F.col("at").cast("bigint")), ["key", "doc", "at"], run, "key bigint")
 
 
 def cut_out(raw: bytes, froms: list | None, ends: list | None) -> tuple[int, int, bytes]:

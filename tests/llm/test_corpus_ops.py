@@ -313,6 +313,24 @@ def plain_dedup(rows, length):
     return out
 
 
+def test_pieces_spread_over_their_filter(spark):
+    """Least hashes are small numbers: as keys they would share a filter's first few bits, and most single pieces would pass it."""
+    passage = prose(7, 300)
+    texts = [prose(i, 3000) + passage * (i % 3 == 0) for i in range(12)] + [None, "", "a" * 300, passage[:99]]
+    raw = [(t or "").encode() for t in texts]
+    found = [suffix_dedup.stretches([r]) for r in raw]
+    keys = np.concatenate([f[1] for f in found])
+    share = np.bincount((keys >> np.uint64(60)).astype(int), minlength=16) / len(keys)
+    assert len(keys) > 5000 and 0.03 < share.min() and share.max() < 0.1
+    counted = Counter(k for f in found for key, multi in zip(f[1].tolist(), f[4].tolist()) for k in [key] * (1 + multi))
+    words = suffix_dedup.repeated_pieces(documents(spark, texts).repartition(3))
+    want = np.array([k for k, n in counted.items() if n > 1], np.uint64)
+    assert len(want) > 10 and common.holds(words, want).all()
+    spots = {int(k) >> (64 - common.FILTER) for k in want}
+    assert int(np.bitwise_count(words).sum()) == len(spots)
+    assert not suffix_dedup.repeated_pieces(documents(spark, [])).any()
+
+
 def test_a_sort_of_production_size_spills(monkeypatch):
     """A text as large as a task's goes through the scratch file, and comes out as without."""
     spilled = []
